@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tobflow.llm import line_dedup
+from tobflow.llm import line_dedup, near_dup
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
+    "op4_near_dup": near_dup.op4_near_dup,
 }
 
 ORACLES = {
