@@ -1,9 +1,11 @@
 """MinHash near-dedup: one-permutation hashing with optimal densification, banded buckets, star candidate edges.
 
 Documents with equal shingle sets form one node. Within a bucket every node is a candidate only of the bucket's
-smallest node (a star), so candidates grow with the bucket, not with its square. Candidates are confirmed on
-the full shingle sets. Buckets that still hold nodes of several components then give the pairs across
-components, and these are confirmed too, so a star never hides a link that would join two components.
+hub, the node that shares most buckets with most rows, so candidates grow with the bucket, not with its square.
+Candidates are confirmed on the full shingle sets. Buckets that still hold nodes of several components then give
+the pairs across components that can still reach the similarity, and these are confirmed too, so a star never
+hides a link that would join two components. Such a pair either shares a rare shingle outside its hub's set, or
+has no more in common than the smaller set without its rare shingles (see _across).
 """
 
 from __future__ import annotations
@@ -122,33 +124,33 @@ def _sets(k: int):
     return run
 
 
-def _confirm(percent: int):
+MEASURED = "node long, hub long, n_node long, n_hub long, n_common long, outside array<long>"
+
+
+def _measure(percent: int):
     """Rows sorted by hub and slice, the hub's own set first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hub, own = None, None
         for batch in batches:
-            u, v = [], []
+            rows: list[tuple] = []
             for h, node, raw in zip(batch.column("hub").to_pylist(), batch.column("node").to_pylist(), batch.column("shingles").to_pylist(), strict=True):
-                s = np.frombuffer(raw, np.uint64)
+                x = np.frombuffer(raw, np.uint64)
                 if node == h:
-                    hub, own = h, s
+                    hub, own = h, x
                     continue
                 assert hub == h, "a hub's set comes before its members"
-                small, large = sorted((len(s), len(own)))
-                if 100 * small < percent * large:
-                    continue
-                both = len(np.intersect1d(s, own, assume_unique=True))
-                if 100 * both >= percent * (len(s) + len(own) - both):
-                    u.append(node)
-                    v.append(h)
-            yield pa.record_batch([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+                outside = np.setdiff1d(x, own, assume_unique=True)
+                rows.append((node, h, len(x), len(own), len(x) - len(outside), outside[: (100 - percent) * len(x) // 100 + 1].view(np.int64)))
+            columns = list(zip(*rows, strict=True)) or [()] * 6
+            kinds = [pa.int64()] * 5 + [pa.list_(pa.int64())]
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["node", "hub", "n_node", "n_hub", "n_common", "outside"])
 
     return run
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, percent: int, slice_size: int = 256) -> DataFrame:
-    """The pairs (node, hub) whose full sets reach the similarity, as edges (u, v).
+def compared(pairs: DataFrame, sets: DataFrame, percent: int, slice_size: int = 256) -> DataFrame:
+    """The pairs (node, hub) with the sizes of their full sets and of their intersection, and least shingles outside the hub.
 
     A hub's members are dealt over slices of about slice_size, each of which gets the hub's set once.
     """
@@ -158,11 +160,33 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int, slice_size: int =
     hubs = slices.join(sets.withColumnRenamed("node", "hub"), "hub")
     hubs = hubs.select("hub", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), F.col("hub").alias("node"), "shingles")
     rows = members.unionByName(hubs).repartition("hub", "slice").sortWithinPartitions("hub", "slice", F.col("node") != F.col("hub"))
-    return rows.select("hub", "node", "shingles").mapInArrow(_confirm(percent), "u long, v long")
+    return rows.select("hub", "node", "shingles").mapInArrow(_measure(percent), MEASURED)
+
+
+def _across(members: DataFrame, percent: int, common: int = 16) -> DataFrame:
+    """Pairs (node, hub) of different components under one hub that may reach the similarity.
+
+    A set of n shingles may lack (100 - percent) % of them in a partner, so if the two share any shingle outside
+    the hub, one is among the least so many, plus one, of either set (``outside``). A shingle that at most
+    ``common`` members have there is rare. Pairs sharing a rare one are joined on it. Any other pair shares
+    none of its rare ones, and so at most the rest of either set.
+    """
+    listed = members.select("hub", "node", "component", "n_node", F.explode("outside").alias("shingle"))
+    counts = listed.groupBy("hub", "shingle").agg(F.count("*").alias("holders"))
+    rare = table(listed.join(counts, ["hub", "shingle"]).where(F.col("holders") <= common), "rare")
+    differ = [F.col("a.hub") == F.col("b.hub"), F.col("a.component") < F.col("b.component"), F.col("a.n_node") * 100 >= F.col("b.n_node") * percent, F.col("b.n_node") * 100 >= F.col("a.n_node") * percent]
+    shared = rare.where("holders > 1")
+    by_rare = shared.alias("a").join(shared.alias("b"), [F.col("a.shingle") == F.col("b.shingle"), *differ])
+    n_rare = rare.groupBy("hub", "node").agg(F.count("*").alias("n_rare"))
+    rest = members.drop("outside").join(n_rare, ["hub", "node"], "left").withColumn("rest", F.col("n_node") - F.coalesce("n_rare", F.lit(0)))
+    rest = table(rest.where(F.col("rest") * 100 >= F.col("n_node") * percent), "rest")
+    by_rest = rest.alias("a").join(rest.alias("b"), [*differ, F.least("a.rest", "b.rest") * (100 + percent) >= (F.col("a.n_node") + F.col("b.n_node")) * percent])
+    pair = [F.greatest("a.node", "b.node").alias("node"), F.least("a.node", "b.node").alias("hub")]
+    return by_rest.select(*pair).union(by_rare.select(*pair)).distinct()
 
 
 def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, bands: int = 46, rows: int = 6) -> DataFrame:
-    """doc_id, row_hash, n_shingles, component_id, kept: a row per row of docs.
+    """doc_id, n_shingles, component_id, kept: a row per row of docs.
 
     Links join documents whose sets of distinct word shingles have 100 * intersection >= percent * union. A pair
     at 0.8 shares no bucket with a chance of (1 - 0.8**6)**46 = 8e-7, and more similar pairs with less. Null or
@@ -174,26 +198,29 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, ban
     source = base.select("doc_id", F.col("text").cast("binary").alias("bytes"))
     found = table(source.mapInArrow(_sketches(shingle, bands, rows), "doc_id long, n_shingles long, node long, keys array<long>"), "sketches")
     exploded = found.where("n_shingles > 0").select("node", F.explode("keys").alias("key"))
-    hubs = exploded.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub <> last").select("key", "hub")
-    shared = table(exploded.join(hubs, "key").select("key", "node", "hub").distinct(), "buckets")
-    pairs = table(shared.where("node <> hub").select("node", "hub").distinct(), "pairs")
-
-    members = found.join(shared.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    sizes = exploded.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("size")).where("low <> high")
+    shared = table(exploded.join(sizes.select("key", "size"), "key").distinct(), "buckets")
+    reach = shared.groupBy("node").agg(F.sum("size").alias("reach"))
+    ranked = table(shared.join(reach, "node"), "ranked")
+    hubs = ranked.groupBy("key").agg(F.max(F.struct("reach", "node"))["node"].alias("hub"))
+    starred = table(ranked.join(hubs, "key").select("key", "node", "hub"), "stars")
+    pairs = table(starred.where("node <> hub").select("node", "hub").distinct(), "pairs")
+
+    members = found.join(starred.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     members = table(members, "members")
     bounded = members.count() * 16 <= BROADCAST_BYTES
     texts = source.join(F.broadcast(members) if bounded else members, "doc_id").select("node", "bytes")
     sets = table(texts.mapInArrow(_sets(shingle), "node long, shingles binary"), "sets")
 
-    edges = table(confirmed(pairs, sets, percent), "links")
-    labels = components(edges)
-    sizes = found.where("n_shingles > 0").select("node", "n_shingles").distinct()
-    placed = shared.join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+    linked = F.col("n_common") * 100 >= (F.col("n_node") + F.col("n_hub") - F.col("n_common")) * percent
+    measured = table(compared(pairs, sets, percent), "measured")
+    labels = components(measured.where(linked).select(F.col("node").alias("u"), F.col("hub").alias("v")))
+    placed = starred.join(labels, "node", "left").select("key", "node", "hub", F.coalesce("component", "node").alias("component"))
     mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
-    open_rows = table(placed.join(mixed, "key").join(sizes, "node"), "open")
-    left, right = open_rows.alias("a"), open_rows.alias("b")
-    across = left.join(right, (F.col("a.key") == F.col("b.key")) & (F.col("a.component") < F.col("b.component")) & (F.col("a.n_shingles") * 100 >= F.col("b.n_shingles") * percent) & (F.col("b.n_shingles") * 100 >= F.col("a.n_shingles") * percent))
-    across = across.select(F.greatest("a.node", "b.node").alias("node"), F.least("a.node", "b.node").alias("hub")).distinct().join(pairs, ["node", "hub"], "left_anti")
-    more = table(confirmed(table(across, "across"), sets, percent), "links")
+    # pairs with the hub itself have been measured, so only its members are open
+    still = placed.join(mixed, "key").where("node <> hub").select("node", "hub", "component").distinct()
+    across = table(_across(table(still.join(measured, ["node", "hub"]).select("hub", "node", "component", "n_node", "outside"), "open"), percent), "across")
+    more = table(compared(across, sets, percent).where(linked).select(F.col("node").alias("u"), F.col("hub").alias("v")), "links")
     if not more.isEmpty():
         labels = components(labels.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more))
 
