@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from tobflow.llm import line_dedup, near_dup
+from tobflow.llm import decontam, line_dedup, near_dup, toxicity
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
+    "op3_toxicity": toxicity.op3_toxicity,
     "op4_near_dup": near_dup.op4_near_dup,
+    "op9_decontam": decontam.op9_decontam,
 }
 
 ORACLES = {
     "op1_line_dedup": line_dedup.OP1_SQL,
+    "op9_decontam": decontam.OP9_SQL,
 }

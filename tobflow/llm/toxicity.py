@@ -21,11 +21,15 @@ from tobflow.llm.common import documents, keyed, training_fold
 from tobflow.llm.features import char_grams, training_sample
 
 EDGES = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
-SIZES = (3, 4)
+SIZES = (4, 6, 8)
+#: Bytes of the stems that training looks at.
+STEM = (5, 9)
 BUCKETS = 1 << 17
 #: Tokens of a chain; longer documents are consecutive chains.
 CHAIN = 96
 CACHE = 1_000_000
+#: Of a document, see document_features.
+FEATURES = 8
 TOKEN = re.compile(rb"[^\x09-\x0d\x20]+")
 
 
@@ -97,38 +101,52 @@ def chains_of(values: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.n
 
 
 def document_features(p: np.ndarray, mask: np.ndarray, doc: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Per document: 1, logit of its largest marginal, log of its expected toxic tokens, their share."""
+    """Per document: 1, logit of its largest marginal, log and root of its expected toxic tokens, their share, its length, and products."""
     peak, mass = np.zeros(len(lengths)), np.zeros(len(lengths))
     np.maximum.at(peak, doc, p.max(axis=1, initial=0.0))
     np.add.at(mass, doc, (p * (p > 0.02)).sum(axis=1))
     peak = np.clip(peak, 1e-6, 1 - 1e-6)
-    return np.stack([np.ones(len(lengths)), np.log(peak / (1 - peak)) / 4, np.log1p(mass), np.sqrt(mass / np.maximum(lengths, 1))], axis=1)
+    share, size = np.sqrt(mass / np.maximum(lengths, 1)), np.log1p(lengths) / 5
+    return np.stack([np.ones(len(lengths)), np.log(peak / (1 - peak)) / 4, np.log1p(mass), np.minimum(mass, 3), 10 * share, size, 10 * share * size, np.log1p(mass) * size], axis=1)
+
+
+def _units(word: bytes) -> list[bytes]:
+    return [b"<" + word + b">", *(b"<" + word[:n] for n in range(STEM[0], min(STEM[1], len(word) - 1) + 1))]
 
 
 def evidence(texts: list[list[bytes]], labels: np.ndarray, neighbours: int, odds: float) -> set[bytes]:
-    """Words of toxic texts with so many different left neighbours there, and such odds against clean texts."""
+    """Units (whole words, or stems that start many words) whose rate among the tokens of toxic texts is so many times that in clean ones.
+
+    A unit needs so many different left neighbours in toxic texts (copies of one text have the same), and a
+    stem as many different words.
+    """
     left: dict[bytes, set] = defaultdict(set)
+    kinds: dict[bytes, set] = defaultdict(set)
     toxic: dict[bytes, int] = defaultdict(int)
     clean: dict[bytes, int] = defaultdict(int)
     for words, y in zip(texts, labels, strict=True):
-        for w in set(words):
-            (toxic if y else clean)[w] += 1
-        if y:
-            for a, b in zip([b"", *words[:-1]], words, strict=True):
-                left[b].add(a)
-    n1, n0 = labels.sum(), (1 - labels).sum()
-    return {w for w, c in toxic.items() if len(left[w]) >= neighbours and (c + 0.5) / (n1 + 1) >= odds * (clean[w] + 0.5) / (n0 + 1)}
+        for before, w in zip([b"", *words[:-1]], words, strict=False):
+            for u in _units(w):
+                if y:
+                    toxic[u] += 1
+                    left[u].add(before)
+                    kinds[u].add(w)
+                else:
+                    clean[u] += 1
+    n1 = sum(len(t) for t, y in zip(texts, labels, strict=True) if y)
+    n0 = sum(len(t) for t, y in zip(texts, labels, strict=True) if not y)
+    return {u for u, c in toxic.items() if len(left[u]) >= neighbours and (u[-1:] == b">" or len(kinds[u]) >= neighbours) and (c + 0.5) / (n1 + 1) >= odds * (clean[u] + 0.5) / (n0 + 1)}
 
 
 def fit(texts: list[str], labels: np.ndarray, *, steps: int = 80, rate: float = 0.15, decay: float = 1e-4, seed: int = 7) -> Model:
     """Fit token weights and changes by the chain likelihood, then the document calibration; plain numpy."""
     rng = np.random.default_rng(seed)
     docs = [cores(t.encode().lower().split()) for t in texts]
-    bad = evidence(docs, labels, neighbours=4, odds=12.0)
+    bad = evidence(docs, labels, neighbours=8, odds=10.0)
     vocabulary: dict[bytes, int] = {}
     ids = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in d], np.int64) for d in docs]
     words = list(vocabulary)
-    is_bad = np.array([w in bad for w in words], bool)
+    is_bad = np.array([not bad.isdisjoint(_units(w)) for w in words], bool)
     lengths = np.array([len(d) for d in ids])
     flat = np.concatenate(ids) if ids else np.empty(0, np.int64)
     token_ids, mask, doc = chains_of(flat.astype(float), lengths)
@@ -157,13 +175,13 @@ def fit(texts: list[str], labels: np.ndarray, *, steps: int = 80, rate: float =
         weights += rate * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.99**step)) + 1e-4)
         bias += rate * float(slope.sum()) / n
         change = change + rate * (moves - pairs) / n
-    model = Model(weights.astype(np.float32), bias, change, np.zeros(4))
+    model = Model(weights.astype(np.float32), bias, change, np.zeros(FEATURES))
     values = emissions(words, model.weights, bias)[flat] if len(flat) else np.empty(0)
     e, mask, doc = chains_of(values, lengths)
     x = document_features(marginals(e, mask, change)[0], mask, doc, lengths)
-    b, share = np.zeros(4), np.where(labels == 1, 0.5 / max(1, labels.sum()), 0.5 / max(1, (1 - labels).sum()))
-    for _ in range(3000):
-        b += 2.0 * (x.T @ (share * (labels - 1 / (1 + np.exp(-x @ b)))) - 1e-4 * b)
+    b, share = np.zeros(FEATURES), np.where(labels == 1, 0.5 / max(1, labels.sum()), 0.5 / max(1, (1 - labels).sum()))
+    for _ in range(20_000):
+        b += 0.2 * (x.T @ (share * (labels - 1 / (1 + np.exp(-x @ b)))) - 1e-4 * b)
     model.calibration = b
     return model
 
