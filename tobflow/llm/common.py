@@ -47,14 +47,22 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def keyed(docs: DataFrame, *extra: str) -> DataFrame:
+def keyed(docs: DataFrame, *, carry: bool = False) -> DataFrame:
     """doc_id, text (null as empty) and row_hash, which tells rows of one doc_id apart.
 
-    Other columns of docs are left out, so their names cannot clash; ``extra`` names those to keep.
+    Other columns of docs are left out, so their names cannot clash; ``carry`` keeps the row as a struct ``row``.
     Rows that repeat an identical (doc_id, text) are interchangeable and share every decision.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("row_hash"), *extra)
+    whole = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if carry else []
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("row_hash"), *whole)
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id is not in gone (doc_id); gone is broadcast only where its counted size allows."""
+    gone = table(gone.where("doc_id IS NOT NULL").select("doc_id").distinct(), "gone")
+    small = gone.count() * 16 <= BROADCAST_BYTES
+    return docs.join(F.broadcast(gone) if small else gone, "doc_id", "left_anti").select(docs.columns)
 
 
 def training_fold(doc_id: str = "doc_id"):

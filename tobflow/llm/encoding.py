@@ -15,7 +15,8 @@ import numpy as np
 #: Pieces kept by a worker's cache.
 CACHE = 600_000
 _BEFORE_WORD = re.compile(r" (?=\S)")
-_BLANK = re.compile(r"[ \t\n\r]+")
+#: White space other than space, tab and line ends.
+_OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
 
 class PieceEncoder:
@@ -39,9 +40,10 @@ class PieceEncoder:
         self.ids, self.ends = array("I"), array("Q", [0])
 
     def pieces(self, text: str) -> list[str]:
-        single = len(text.split()) == text.count(" ") + text.count("\n") + 1
         if self.drops_space:
-            return text.split() if single else [p for p in _BLANK.split(text) if p]
+            return [p for p in text.replace("\n", " ").split(" ") if p]
+        # with words that single spaces or line feeds part, every space is followed by a non-space
+        single = len(text.split()) == text.count(" ") + text.count("\n") + 1 and not _OTHER_SPACE.search(text)
         parts = text.split(" ") if single else _BEFORE_WORD.split(text)
         # the first piece has no space before it: marked by one behind it, which no other piece of a text ends with
         parts[0] = parts[0] + " \0" if parts[0] else ""

@@ -102,17 +102,17 @@ class LineRuns:
         return self._merge(self._runs())
 
 
-def dedup_lines(docs: DataFrame, *, min_chars: int = 20, min_docs: int = 3, batches: int = 3, fanout: int = 2) -> DataFrame:
+def dedup_lines(docs: DataFrame, *, min_chars: int = 20, min_docs: int = 3, batches: int = 3, fanout: int = 2, carry: bool = False) -> DataFrame:
     """Drop lines held by min_docs documents or more from all but the largest doc_id that holds them.
 
     Returns doc_id, row_hash, text (the kept lines joined by a line feed), n_lines and n_dropped, a row per row
     of docs. Null text counts as empty (one empty line); a null doc_id leaves its row as it is and is not
     counted; repeated rows of a doc_id count once and share decisions; an empty table gives no rows; other
-    columns of docs are ignored, whatever their names.
+    columns of docs are ignored, whatever their names; ``carry`` adds each row of docs as a struct ``row``.
     """
     spark = docs.sparkSession
-    rows = keyed(docs)
-    hashed = line_hashes(rows, min_chars).withColumn("batch", F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int"))
+    rows = keyed(docs, carry=carry)
+    hashed = line_hashes(rows.drop("row"), min_chars).withColumn("batch", F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int"))
     hashed = table(hashed, "lines", partition_by=("batch",))
     runs = LineRuns(spark, fanout)
     for b in range(batches):
@@ -130,6 +130,7 @@ def dedup_lines(docs: DataFrame, *, min_chars: int = 20, min_docs: int = 3, batc
         F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text"),
         (F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).cast("long").alias("n_lines"),
         F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped"),
+        *(["row"] if carry else []),
     )
 
 

@@ -186,62 +186,94 @@ def fit(texts: list[str], labels: np.ndarray, *, steps: int = 80, rate: float =
     return model
 
 
+class _Scorer:
+    """Scores and marginals of texts; emissions of words are kept for later batches."""
+
+    def __init__(self, model: Model):
+        self.model, self.known = model, {}
+
+    def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(score per text, P(toxic) per token of all texts, tokens per text)"""
+        model = self.model
+        tokens = [t.lower().split() for t in texts]
+        fresh = list(set().union(*tokens).difference(self.known))
+        if fresh:
+            if len(self.known) > CACHE:
+                self.known = {}
+                fresh = list(set().union(*tokens))
+            self.known.update(zip(fresh, emissions(cores(fresh), model.weights, model.bias).tolist(), strict=True))
+        known = self.known
+        lengths = np.array([len(t) for t in tokens])
+        values = np.fromiter((known[w] for t in tokens for w in t), np.float64, int(lengths.sum()))
+        e, mask, doc = chains_of(values, lengths)
+        p = marginals(e, mask, model.change)[0]
+        return 1 / (1 + np.exp(-document_features(p, mask, doc, lengths) @ model.calibration)), p[mask], lengths
+
+
+def toxic_spans(text: bytes, p: np.ndarray, threshold: float) -> list[dict]:
+    """Runs of tokens whose marginal reaches the threshold: start and end in code points, and the largest marginal."""
+    places, spans, last = [m.span() for m in TOKEN.finditer(text)], [], -2
+    for i in np.flatnonzero(p >= threshold).tolist():
+        start, end = (len(text[:x].decode("utf-8", "replace")) for x in places[i])
+        if i == last + 1:
+            spans[-1].update(end=end, p=max(spans[-1]["p"], float(p[i])))
+        else:
+            spans.append({"start": start, "end": end, "p": float(p[i])})
+        last = i
+    return spans
+
+
 def _score(model: Model, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[bytes, float] = {}
+        scorer, kind = _Scorer(model), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("p", pa.float64())]))
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
                 texts = batch.column("bytes").to_pylist()
-                tokens = [t.lower().split() for t in texts]
-                fresh = list(set().union(*tokens).difference(known))
-                if fresh:
-                    if len(known) > CACHE:
-                        known.clear()
-                        fresh = list(set().union(*tokens))
-                    known.update(zip(fresh, emissions(cores(fresh), model.weights, model.bias).tolist(), strict=True))
-                lengths = np.array([len(t) for t in tokens])
-                values = np.fromiter((known[w] for t in tokens for w in t), np.float64, int(lengths.sum()))
-                e, mask, doc = chains_of(values, lengths)
-                p = marginals(e, mask, model.change)[0]
-                score = 1 / (1 + np.exp(-document_features(p, mask, doc, lengths) @ model.calibration))
-                spans: list[list] = [[] for _ in texts]
-                flat, bounds = p[mask], np.cumsum(lengths)
-                hits = np.flatnonzero(flat >= threshold)
-                owners = np.searchsorted(bounds, hits, "right")
-                for d in np.unique(owners).tolist():
-                    begin = int(bounds[d] - lengths[d])
-                    places = [m.span() for m in TOKEN.finditer(texts[d])]
-                    for i in hits[owners == d].tolist():
-                        a, b = places[i - begin]
-                        start = len(texts[d][:a].decode("utf-8", "replace"))
-                        end = start + len(texts[d][a:b].decode("utf-8", "replace"))
-                        if spans[d] and spans[d][-1]["token"] == i - 1:
-                            spans[d][-1].update(end=end, token=i, p=max(spans[d][-1]["p"], float(flat[i])))
-                        else:
-                            spans[d].append({"start": start, "end": end, "token": i, "p": float(flat[i])})
-                clean = [[{"start": s["start"], "end": s["end"], "p": s["p"]} for s in x] for x in spans]
-                kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("p", pa.float64())]))
-                yield pa.record_batch([batch.column("doc_id"), batch.column("row_hash"), pa.array(score), pa.array(clean, kind)], names=["doc_id", "row_hash", "score", "spans"])
+                score, p, lengths = scorer(texts)
+                parts = np.split(p, np.cumsum(lengths)[:-1])
+                spans = [toxic_spans(t, x, threshold) if (x >= threshold).any() else [] for t, x in zip(texts, parts, strict=True)]
+                yield pa.record_batch([batch.column("doc_id"), batch.column("row_hash"), pa.array(score), pa.array(spans, kind)], names=["doc_id", "row_hash", "score", "spans"])
+
+    return run
+
+
+def _keep(model: Model):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = _Scorer(model)
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                batch = whole.slice(at, 512)
+                score = scorer([(t or "").encode() for t in batch.column("text").to_pylist()])[0]
+                yield batch.filter(pa.array(score < 0.5))
 
     return run
 
 
+def _learned(docs: DataFrame, labels: DataFrame, per_class: int, longest: int) -> Model:
+    sample = training_sample(docs, labels, "toxic", per_class, longest)
+    return fit(sample["text"].tolist(), sample["label"].to_numpy(dtype=np.int64))
+
+
 def score_toxicity(docs: DataFrame, labels: DataFrame, *, per_class: int = 1500, longest: int = 20_000, threshold: float = 0.5) -> DataFrame:
     """doc_id, row_hash, held_out, score, predicted and spans (start, end in code points, p), a row per row of docs.
 
     Learns from at most per_class labelled texts a class outside the held-out fold (see training_sample), whose
     texts come from docs; a score depends on the text alone. Null and empty texts get the score of a document
     without tokens; a null doc_id is held out; repeated rows score alike; without labels every score is that of
-    the untrained model (0.5); an empty table gives no rows; other columns are ignored.
+    an untrained model; an empty table gives no rows; other columns are ignored.
     """
-    sample = training_sample(docs, labels, "toxic", per_class, longest)
-    model = fit(sample["text"].tolist(), sample["label"].to_numpy(dtype=np.int64))
+    model = _learned(docs, labels, per_class, longest)
     source = keyed(docs).select("doc_id", "row_hash", F.col("text").cast("binary").alias("bytes"))
     out = source.mapInArrow(_score(model, threshold), "doc_id long, row_hash long, score double, spans array<struct<start:int,end:int,p:double>>")
     return out.select("doc_id", "row_hash", F.coalesce(training_fold() == 0, F.lit(True)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "spans")
 
 
+def without_toxic(docs: DataFrame, labels: DataFrame, *, per_class: int = 1500, longest: int = 20_000) -> DataFrame:
+    """The rows of docs that score_toxicity does not predict toxic, with all their columns."""
+    return docs.mapInArrow(_keep(_learned(docs, labels, per_class, longest)), docs.schema)
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = score_toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return out.drop("row_hash")
