@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tobflow.llm import decontam, line_dedup, near_dup, packing, toxicity
+from tobflow.llm import decontam, line_dedup, near_dup, packing, quality, toxicity
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_near_dup": near_dup.op4_near_dup,
+    "op6_quality": quality.op6_quality,
     "op8_packing": packing.op8_packing,
     "op9_decontam": decontam.op9_decontam,
 }
