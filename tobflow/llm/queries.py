@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
-from tobflow.llm import decontam, line_dedup, near_dup, packing, quality, toxicity
+from tobflow.llm import decontam, line_dedup, near_dup, packing, quality, suffix_dedup, toxicity, vector_dedup, warc
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_near_dup": near_dup.op4_near_dup,
+    "op5_suffix_dedup": suffix_dedup.op5_suffix_dedup,
     "op6_quality": quality.op6_quality,
+    "op7_warc": warc.op7_warc,
     "op8_packing": packing.op8_packing,
     "op9_decontam": decontam.op9_decontam,
+    "op10_vector_dedup": vector_dedup.op10_vector_dedup,
 }
 
 ORACLES = {
     "op1_line_dedup": line_dedup.OP1_SQL,
+    "op7_warc": warc.OP7_SQL,
     "op9_decontam": decontam.OP9_SQL,
 }
