@@ -36,27 +36,32 @@ def marked(text: Column) -> Column:
 
 
 def tokens(text: Column) -> Column:
-    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(text, " "))
+    """Words of a marked text; an empty one has one empty word."""
+    return F.split(text, " ")
 
 
-def window_hashes(words: Column, size: int) -> Column:
-    """Hash of each run of ``size`` words, in order; none where there are fewer."""
-    places = F.sequence(F.lit(0), F.size(words) - size)
-    hashes = F.transform(places, lambda i: F.xxhash64(*[F.get(words, i + j) for j in range(size)]))
-    return F.when(F.size(words) >= size, hashes).otherwise(F.array().cast("array<bigint>"))
+def window_hashes(hashes: Column, size: int) -> Column:
+    """Hash of each run of ``size`` hashed words, in order; none where there are fewer."""
+    places = F.sequence(F.lit(0), F.size(hashes) - size)
+    windows = F.transform(places, lambda i: F.xxhash64(*[F.get(hashes, i + j) for j in range(size)]))
+    return F.when(F.size(hashes) >= size, windows).otherwise(F.array().cast("array<bigint>"))
 
 
 def _template_tokens(text: Column) -> Column:
     return tokens(F.regexp_replace(text, *TEMPLATE))
 
 
+def _hashed(words: Column) -> Column:
+    return F.transform(words, lambda w: F.xxhash64(w))
+
+
 def benchmark_windows(benchmark: DataFrame, size: int, literals: int) -> tuple[DataFrame, DataFrame]:
     """(items: item_id, item_words, item_windows; windows: item_id, at, hash of those with enough literal words)."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), marked(F.coalesce(F.col("text"), F.lit(""))).alias("m")).where("item_id IS NOT NULL").distinct()
     items = items.select("item_id", tokens(F.col("m")).alias("item_words"), _template_tokens(F.col("m")).alias("t"))
     n_literal = lambda i: F.size(F.filter(F.slice("t", i + 1, size), lambda w: ~w.rlike(f"^[{NUMBER}-{UNIT}]")))
     places = F.when(F.size("t") >= size, F.filter(F.sequence(F.lit(0), F.size("t") - size), lambda i: n_literal(i) >= literals)).otherwise(F.array().cast("array<int>"))
-    items = items.withColumn("hashes", window_hashes(F.col("t"), size)).withColumn("places", places).where(F.size("places") > 0)
+    items = items.withColumn("hashes", window_hashes(_hashed(F.col("t")), size)).withColumn("places", places).where(F.size("places") > 0)
     windows = items.select("item_id", F.explode("places").alias("at"), "hashes").select("item_id", "at", F.get("hashes", F.col("at")).alias("hash"))
     return items.select("item_id", "item_words", F.size("places").alias("item_windows")), windows
 
@@ -74,9 +79,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, size: int = 8, litera
     items, windows = table(items, "items"), table(windows, "windows")
     small = windows.count() * 64 <= BROADCAST_BYTES
     rows = keyed(docs)
-    # a projection of its own for the words, so that each lambda call reads the array and does not build it
-    words = rows.select("doc_id", "row_hash", _template_tokens(marked(F.col("text"))).alias("words")).where(F.size("words") >= size)
-    hashes = words.select("doc_id", "row_hash", F.posexplode(window_hashes(F.col("words"), size)).alias("doc_at", "hash"))
+    # projections of their own, and an outer explode, which no filter is inferred from: what repeats is computed anew
+    words = rows.select("doc_id", "row_hash", _hashed(_template_tokens(marked(F.col("text")))).alias("words"))
+    hashes = words.select("doc_id", "row_hash", F.posexplode_outer(window_hashes(F.col("words"), size)).alias("doc_at", "hash"))
     hits = hashes.join(F.broadcast(windows) if small else windows, "hash")
     alignments = hits.groupBy("doc_id", "row_hash", "item_id", (F.col("doc_at") - F.col("at")).alias("shift")).agg(F.collect_set("at").alias("places"))
     alignments = table(alignments, "alignments")
