@@ -42,13 +42,15 @@ def bucketize(book: DataFrame, freq_us: int, tick, clock: str = "timestamp") ->
     """The dense day grid of each stream: symbol, day0, t, flow, dmid_ticks, depth, spread_ticks, n_events, mid.
 
     book has symbol, day0 and seq (see with_days). State is carried forward over empty buckets, and into the
-    day from the last row before it; tick is a number or a column of book's streams.
+    day from the last row before it. tick is a number, or a table of symbol, day0 and tick.
     """
     grid = day_grid(book, freq_us).join(bucket_flow(book, freq_us, clock), [*STREAM, "k"], "left").join(seeds(book, clock), STREAM, "left")
     order = Window.partitionBy(*STREAM).orderBy("k")
     so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     state = {c: F.last(F.coalesce(c, F.when(F.col("k") == 0, F.col(f"seed.{c}"))), ignorenulls=True).over(so_far) for c in ("mid", "depth", "spread")}
     filled = grid.select(*STREAM, "k", "seed", F.coalesce("flow", F.lit(0.0)).alias("flow"), F.coalesce("n_events", F.lit(0)).alias("n_events"), *[v.alias(c) for c, v in state.items()])
+    if isinstance(tick, DataFrame):
+        filled, tick = filled.join(F.broadcast(tick.select(*STREAM, "tick")), STREAM), F.col("tick")
     was = F.when(F.col("k") == 0, F.col("seed.mid")).otherwise(F.lag("mid").over(order))
     return filled.select(
         *STREAM,

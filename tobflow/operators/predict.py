@@ -14,7 +14,8 @@ MODELS = ("flow", "flow_over_depth", "ar1", "ti")
 def predictive_frame(fine: DataFrame, tick, step_us: int, freq_us: int, latencies_us: tuple[int, ...]) -> DataFrame:
     """A row per decision time t: what is known at t, and the price move over [t + L, t + freq + L) for each latency L.
 
-    fine is a dense day grid of step_us with flow, ti, mid, depth and spread_ticks. The state at T is that at the
+    fine is a dense day grid of step_us with flow, ti, mid, depth and spread_ticks; tick is a number or a column
+    of it. The state at T is that at the
     end of the bucket ending at T; each value comes from a frame of one instant, so all come from one sort.
     Frames that meet a funding time and rows with a missing value are left out. Latency columns carry L in ms.
     """
@@ -35,14 +36,14 @@ def predictive_frame(fine: DataFrame, tick, step_us: int, freq_us: int, latencie
         columns[f"y_{name}"] = S.in_ticks(state("mid", freq_us + lat) - entry, tick)
         columns[f"mid_entry_{name}"] = entry
         columns[f"half_spread_bps_{name}"] = state("spread_ticks", lat) * tick / 2 / entry * 1e4
-    rows = fine.select(*STREAM, "t", *[v.alias(k) for k, v in columns.items()])
+    rows = fine.select(*STREAM, "t", F.lit(tick).cast("double").alias("tick"), *[v.alias(k) for k, v in columns.items()])
     t = F.col("t")
     inside = (F.pmod(t - F.col("day0"), F.lit(freq_us)) == 0) & (t >= F.col("day0") + freq_us) & (t < F.col("day0") + (DAY // freq_us - 1) * freq_us)
     rows = rows.where(inside & ~S.overlaps_funding(t - freq_us, t + freq_us + max(latencies_us))).dropna("any")
     spans = {"feat_start": t - freq_us, "feat_end": t}
     for lat in latencies_us:
         spans |= {f"tgt_start_{lat / 1000:g}": t + lat, f"tgt_end_{lat / 1000:g}": t + freq_us + lat}
-    return rows.withColumns({**spans, "day": S.iso_day(F.col("day0")), "tick": F.lit(tick).cast("double")})
+    return rows.withColumns({**spans, "day": S.iso_day(F.col("day0"))})
 
 
 def long_frame(frame: DataFrame, latencies_us: tuple[int, ...]) -> DataFrame:
