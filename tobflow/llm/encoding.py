@@ -9,14 +9,17 @@ from __future__ import annotations
 import os
 import re
 from array import array
+from functools import cache
+from itertools import chain, repeat
 
 import numpy as np
 
-#: Pieces kept by a worker's cache.
-CACHE = 600_000
+#: Pieces kept by a worker's cache, and how many are encoded in one string.
+CACHE = 1_500_000
+TOGETHER = 256
 _BEFORE_WORD = re.compile(r" (?=\S)")
-#: White space other than space, tab and line ends.
-_OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+#: White space other than spaces and line feeds.
+_OTHER_SPACE = re.compile("[\t\x0b-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
 
 class PieceEncoder:
@@ -33,6 +36,13 @@ class PieceEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.drops_space = drops_space
+        vocabulary = self.tokenizer.get_vocab()
+        #: Bytes of each id (a byte-level vocabulary spells a byte as one character).
+        self.id_bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for token, i in vocabulary.items():
+            self.id_bytes[i] = len(token)
+        #: The id of a zero byte alone, which parts pieces that are encoded together.
+        self.mark = self.tokenizer.encode("\0", add_special_tokens=False).ids[-1]
         self.forget()
 
     def forget(self) -> None:
@@ -42,8 +52,8 @@ class PieceEncoder:
     def pieces(self, text: str) -> list[str]:
         if self.drops_space:
             return [p for p in text.replace("\n", " ").split(" ") if p]
-        # with words that single spaces or line feeds part, every space is followed by a non-space
-        single = len(text.split()) == text.count(" ") + text.count("\n") + 1 and not _OTHER_SPACE.search(text)
+        # whether a non-space follows every space
+        single = "  " not in text and " \n" not in text and text[-1:] != " " and not _OTHER_SPACE.search(text)
         parts = text.split(" ") if single else _BEFORE_WORD.split(text)
         # the first piece has no space before it: marked by one behind it, which no other piece of a text ends with
         parts[0] = parts[0] + " \0" if parts[0] else ""
@@ -54,28 +64,56 @@ class PieceEncoder:
             return piece
         return piece[:-2] if piece.endswith(" \0") else " " + piece
 
+    def _encode_new(self, pieces: list[str]) -> None:
+        """Encode pieces that are not known, many in one string, and learn their ids."""
+        # alone: those whose boundary another piece would hide
+        hidden = (lambda p: "\0" in p) if self.drops_space else (lambda p: p.endswith(" \0") or p[:1].isspace())
+        alone = [p for p in pieces if hidden(p)]
+        rest = [p for p in pieces if not hidden(p)] if alone else pieces
+        for p, e in zip(alone, self.tokenizer.encode_batch_fast([self._text(p) for p in alone], add_special_tokens=False), strict=True):
+            self._learn([p], np.array(e.ids, np.uint32), np.array([len(e.ids)]))
+        groups = [rest[i : i + TOGETHER] for i in range(0, len(rest), TOGETHER)]
+        texts = [" \0 ".join(g) if self.drops_space else " " + " ".join(g) for g in groups]
+        for group, e in zip(groups, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, np.uint32)
+            if self.drops_space:
+                marks = np.flatnonzero(ids == self.mark)
+                self._learn(group, np.delete(ids, marks), np.append(marks, len(ids)) - np.arange(len(group)))
+            else:
+                bytes_to = np.cumsum(np.fromiter(map(len, map(str.encode, group)), np.int64, len(group)) + 1)
+                self._learn(group, ids, np.searchsorted(np.cumsum(self.id_bytes[ids]), bytes_to) + 1)
+
+    def _learn(self, pieces: list[str], ids: np.ndarray, ends: np.ndarray) -> None:
+        if len(ends) != len(pieces) or ends[-1] != len(ids):
+            raise ValueError("ids do not follow the pieces")
+        first, base = len(self.ends) - 1, len(self.ids)
+        self.known.update(zip(pieces, range(first, first + len(pieces)), strict=True))
+        self.ids.frombytes(ids.astype(np.uint32).tobytes())
+        self.ends.frombytes((ends + base).astype(np.uint64).tobytes())
+
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         split = [self.pieces(t) for t in texts]
-        fresh = set().union(*split).difference(self.known)
-        if fresh:
-            if len(self.known) > CACHE:
-                self.forget()
-                fresh = set().union(*split)
-            new = list(fresh)
-            for at in range(0, len(new), 20_000):
-                part = new[at : at + 20_000]
-                for piece, e in zip(part, self.tokenizer.encode_batch([self._text(p) for p in part], add_special_tokens=False), strict=True):
-                    self.known[piece] = len(self.ends) - 1
-                    self.ids.extend(e.ids)
-                    self.ends.append(len(self.ids))
         counts = np.fromiter(map(len, split), np.int64, len(split))
-        find = self.known.__getitem__
-        at = np.fromiter((find(p) for pieces in split for p in pieces), np.int64, int(counts.sum()))
+        pieces = list(chain.from_iterable(split))
+        if len(self.known) > CACHE:
+            self.forget()
+        at = np.fromiter(map(self.known.get, pieces, repeat(-1)), np.int64, len(pieces))
+        fresh = np.flatnonzero(at < 0).tolist()
+        if fresh:
+            self._encode_new(list(dict.fromkeys(pieces[i] for i in fresh)))
+            at[fresh] = [self.known[pieces[i]] for i in fresh]
         ends = np.array(self.ends, np.int64)
-        lengths = ends[at + 1] - ends[at]
+        begins = ends[at]
+        lengths = ends[at + 1] - begins
         total = np.cumsum(lengths)
         n = int(total[-1]) if len(total) else 0
-        places = np.repeat(ends[at] - (total - lengths), lengths) + np.arange(n)
+        places = np.repeat(begins - (total - lengths), lengths) + np.arange(n)
         flat = np.array(self.ids, np.uint32)[places]
         bounds = np.concatenate([[0], total])[np.concatenate([[0], np.cumsum(counts)])]
         return flat, np.diff(bounds)
+
+
+@cache
+def encoder(path: str, drops_space: bool) -> PieceEncoder:
+    """The worker's encoder of a tokenizer; its cache serves all tasks of the worker."""
+    return PieceEncoder(path, drops_space=drops_space)

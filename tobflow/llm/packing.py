@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tobflow.llm.common import documents, keyed, table
-from tobflow.llm.encoding import PieceEncoder
+from tobflow.llm.encoding import encoder as shared_encoder
 
 ENCODED = "doc_id long, row_hash long, n_tokens long, ids binary, term_docs array<long>"
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -33,12 +33,14 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def _encode(path: str | None, end_id: int):
-    """A row per document, with its ids as unsigned 32-bit integers, and at the end a row of document frequencies."""
+def _encode(path: str | None, end_id: int, width: int):
+    """A row per document, with its ids as integers of width bytes, and at the end a row of document frequencies."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = PieceEncoder(path or default_tokenizer(), drops_space=False)
-        docs = np.zeros(max(encoder.tokenizer.get_vocab_size(), end_id + 1), np.int64)
+        encoder = shared_encoder(path or default_tokenizer(), False)
+        docs = np.zeros(max(len(encoder.id_bytes), end_id + 1), np.int64)
+        if len(docs) > 1 << (8 * width):
+            raise ValueError(f"ids do not fit {width} bytes")
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
         names = ["doc_id", "row_hash", "n_tokens", "ids", "term_docs"]
         for whole in batches:
@@ -48,8 +50,8 @@ def _encode(path: str | None, end_id: int):
                 ends = np.cumsum(counts)
                 raw = []
                 for a, b in zip((ends - counts).tolist(), ends.tolist(), strict=True):
-                    ids = np.append(flat[a:b], np.uint32(end_id)).astype("<u4")
-                    docs[np.unique(ids)] += 1
+                    ids = np.append(flat[a:b], np.uint32(end_id)).astype(f"<u{width}")
+                    docs[ids] += 1  # once for each distinct id
                     raw.append(ids.tobytes())
                 yield pa.record_batch([batch.column("doc_id"), batch.column("row_hash"), pa.array(counts + 1), pa.array(raw, pa.binary()), pa.nulls(len(raw), kinds[4])], names=names)
         yield pa.record_batch([*(pa.nulls(1, k) for k in kinds[:4]), pa.array([docs], kinds[4])], names=names)
@@ -129,17 +131,17 @@ def pack_shard(ids: list[np.ndarray], idf: np.ndarray, mean_tokens: float, windo
     return sequences
 
 
-def _pack(idf: np.ndarray, mean_tokens: float, window: int, query_terms: int, with_ids: bool):
+def _pack(idf: np.ndarray, mean_tokens: float, window: int, query_terms: int, with_ids: bool, width: int):
     def run(group: pa.Table) -> pa.Table:
         group = group.sort_by([("doc_id", "ascending"), ("row_hash", "ascending")])
         doc_ids = group.column("doc_id").to_pylist()
-        ids = [np.frombuffer(x, "<u4") for x in group.column("ids").to_pylist()]
+        ids = [np.frombuffer(x, f"<u{width}") for x in group.column("ids").to_pylist()]
         base = int(group.column("shard")[0].as_py()) << 32
         rows = []
         for k, sequence in enumerate(pack_shard(ids, idf, mean_tokens, window, query_terms)):
             offset = 0
             for d, s, n in sequence:
-                piece = ids[d][s : s + n].tobytes()
+                piece = ids[d][s : s + n].astype("<u4").tobytes()
                 rows.append((doc_ids[d], s, n, zlib.crc32(piece), len(ids[d]), base + k, offset) + ((piece,) if with_ids else ()))
                 offset += n
         columns = list(zip(*rows, strict=True))
@@ -150,16 +152,16 @@ def _pack(idf: np.ndarray, mean_tokens: float, window: int, query_terms: int, wi
     return run
 
 
-def pack(docs: DataFrame, *, tokenizer: str | None = None, end_id: int = 1, window: int = 2048, shard_tokens: int = 2_000_000, query_terms: int = 24, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, *, tokenizer: str | None = None, end_id: int = 1, window: int = 2048, shard_tokens: int = 2_000_000, query_terms: int = 24, width: int = 2, with_ids: bool = False) -> DataFrame:
     """Pieces of documents in sequences of at most ``window`` ids; with_ids adds the ids (little-endian unsigned 32-bit).
 
     Returns doc_id, start, length, ids_crc32, doc_tokens, sequence_id and offset. Each id of each row lies in
     exactly one piece. Null text counts as empty and is its end id alone; a null doc_id is carried as null;
     repeated rows are packed as often as they occur; very long documents fill windows of their own; an empty
-    table gives no rows; other columns are ignored. tokenizer: a file that executors can read; by default that
-    of the installed public tokenizers.
+    table gives no rows; other columns are ignored. tokenizer: a file that executors can read, by default that
+    of the installed public tokenizers; width: bytes of an id between the steps.
     """
-    encoded = table(keyed(docs).mapInArrow(_encode(tokenizer, end_id), ENCODED), "encoded")
+    encoded = table(keyed(docs).mapInArrow(_encode(tokenizer, end_id, width), ENCODED), "encoded")
     rows = encoded.where("term_docs IS NULL")
     n_docs, total = rows.agg(F.count("*"), F.sum("n_tokens")).first()
     # as many rows as the tokenizer has ids
@@ -169,7 +171,7 @@ def pack(docs: DataFrame, *, tokenizer: str | None = None, end_id: int = 1, wind
     shards = max(1, round((total or 0) / shard_tokens))
     dealt = rows.select("doc_id", "row_hash", "ids", F.pmod(F.xxhash64("doc_id", "row_hash"), F.lit(shards)).alias("shard"))
     schema = PIECES + (", ids binary" if with_ids else "")
-    return dealt.groupBy("shard").applyInArrow(_pack(idf, (total or 1) / max(1, n_docs), window, query_terms, with_ids), schema)
+    return dealt.groupBy("shard").applyInArrow(_pack(idf, (total or 1) / max(1, n_docs), window, query_terms, with_ids, width), schema)
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
