@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tobflow.llm import decontam, line_dedup, near_dup, packing, quality, suffix_dedup, toxicity, vector_dedup, warc
+from tobflow.llm import decontam, line_dedup, near_dup, packing, quality, suffix_dedup, token_store, toxicity, vector_dedup, warc
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
+    "op2_token_store": token_store.op2_token_store,
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_near_dup": near_dup.op4_near_dup,
     "op5_suffix_dedup": suffix_dedup.op5_suffix_dedup,
