@@ -147,7 +147,7 @@ def fit(texts: list[str], labels: np.ndarray, *, steps: int = 80, rate: float =
     ids = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in d], np.int64) for d in docs]
     words = list(vocabulary)
     is_bad = np.array([not bad.isdisjoint(_units(w)) for w in words], bool)
-    lengths = np.array([len(d) for d in ids])
+    lengths = np.array([len(d) for d in ids], np.int64)
     flat = np.concatenate(ids) if ids else np.empty(0, np.int64)
     token_ids, mask, doc = chains_of(flat.astype(float), lengths)
     token_ids = token_ids.astype(np.int64)
@@ -203,7 +203,7 @@ class _Scorer:
                 fresh = list(set().union(*tokens))
             self.known.update(zip(fresh, emissions(cores(fresh), model.weights, model.bias).tolist(), strict=True))
         known = self.known
-        lengths = np.array([len(t) for t in tokens])
+        lengths = np.array([len(t) for t in tokens], np.int64)
         values = np.fromiter((known[w] for t in tokens for w in t), np.float64, int(lengths.sum()))
         e, mask, doc = chains_of(values, lengths)
         p = marginals(e, mask, model.change)[0]
