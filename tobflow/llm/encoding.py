@@ -67,11 +67,16 @@ class PieceEncoder:
     def _encode_new(self, pieces: list[str]) -> None:
         """Encode pieces that are not known, many in one string, and learn their ids."""
         # alone: those whose boundary another piece would hide
-        hidden = (lambda p: "\0" in p) if self.drops_space else (lambda p: p.endswith(" \0") or p[:1].isspace())
-        alone = [p for p in pieces if hidden(p)]
-        rest = [p for p in pieces if not hidden(p)] if alone else pieces
-        for p, e in zip(alone, self.tokenizer.encode_batch_fast([self._text(p) for p in alone], add_special_tokens=False), strict=True):
-            self._learn([p], np.array(e.ids, np.uint32), np.array([len(e.ids)]))
+        if self.drops_space:
+            alone = [p for p in pieces if "\0" in p]
+        else:
+            alone = [p for p in pieces if p[-2:] == " \0" or p[0].isspace()]
+        rest = pieces
+        if alone:
+            apart = set(alone)
+            rest = [p for p in pieces if p not in apart]
+            found = [e.ids for e in self.tokenizer.encode_batch_fast([self._text(p) for p in alone], add_special_tokens=False)]
+            self._learn(alone, np.array(list(chain.from_iterable(found)), np.uint32), np.cumsum(np.fromiter(map(len, found), np.int64, len(found))))
         groups = [rest[i : i + TOGETHER] for i in range(0, len(rest), TOGETHER)]
         texts = [" \0 ".join(g) if self.drops_space else " " + " ".join(g) for g in groups]
         for group, e in zip(groups, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
@@ -102,13 +107,13 @@ class PieceEncoder:
         if fresh:
             self._encode_new(list(dict.fromkeys(pieces[i] for i in fresh)))
             at[fresh] = [self.known[pieces[i]] for i in fresh]
-        ends = np.array(self.ends, np.int64)
+        ends = np.frombuffer(self.ends, np.int64)
         begins = ends[at]
         lengths = ends[at + 1] - begins
         total = np.cumsum(lengths)
         n = int(total[-1]) if len(total) else 0
         places = np.repeat(begins - (total - lengths), lengths) + np.arange(n)
-        flat = np.array(self.ids, np.uint32)[places]
+        flat = np.frombuffer(self.ids, np.uint32)[places] if n else np.empty(0, np.uint32)
         bounds = np.concatenate([[0], total])[np.concatenate([[0], np.cumsum(counts)])]
         return flat, np.diff(bounds)
 
