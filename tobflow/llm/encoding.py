@@ -13,17 +13,19 @@ from functools import cache
 from itertools import chain, repeat
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Pieces kept by a worker's cache, and how many are encoded in one string.
 CACHE = 1_500_000
 TOGETHER = 256
 _BEFORE_WORD = re.compile(r" (?=\S)")
-#: White space other than spaces and line feeds.
-_OTHER_SPACE = re.compile("[\t\x0b-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+#: Texts whose pieces may begin with white space, or hold a zero byte.
+_NOT_PLAIN = "  | \\n| $|[\\x00\t\x0b-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 
 
 class PieceEncoder:
-    """encode(texts) gives the ids of all texts, one after another, and how many each has.
+    """encode(texts) gives the ids of all texts (an Arrow array), one after another, and how many each has.
 
     drops_space: the tokenizer drops white space, so pieces lose it; otherwise pieces but the first keep
     the space before them.
@@ -49,12 +51,10 @@ class PieceEncoder:
         self.known: dict[str, int] = {}
         self.ids, self.ends = array("I"), array("Q", [0])
 
-    def pieces(self, text: str) -> list[str]:
-        if self.drops_space:
-            return [p for p in text.replace("\n", " ").split(" ") if p]
-        # whether a non-space follows every space
-        single = "  " not in text and " \n" not in text and text[-1:] != " " and not _OTHER_SPACE.search(text)
-        parts = text.split(" ") if single else _BEFORE_WORD.split(text)
+    @staticmethod
+    def pieces(text: str) -> list[str]:
+        """Pieces of a text of uncommon white space, for a tokenizer that keeps spaces."""
+        parts = _BEFORE_WORD.split(text)
         # the first piece has no space before it: marked by one behind it, which no other piece of a text ends with
         parts[0] = parts[0] + " \0" if parts[0] else ""
         return parts if parts[0] else parts[1:]
@@ -96,26 +96,52 @@ class PieceEncoder:
         self.ids.frombytes(ids.astype(np.uint32).tobytes())
         self.ends.frombytes((ends + base).astype(np.uint64).tobytes())
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        split = [self.pieces(t) for t in texts]
-        counts = np.fromiter(map(len, split), np.int64, len(split))
-        pieces = list(chain.from_iterable(split))
+    def _split(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """All pieces of texts that str.split would cut alike, and how many each text has."""
+        lists = pc.split_pattern(pc.replace_substring(texts, "\n", " ") if self.drops_space else texts, " ")
+        flat, bounds = lists.flatten(), np.asarray(lists.value_lengths()).astype(np.int64).cumsum()
+        full = np.asarray(pc.binary_length(flat)) > 0
+        if not self.drops_space:
+            # the first piece has no space before it: marked as in pieces()
+            first = np.append(0, bounds[:-1])
+            first = first[full[first]]
+            marked = pc.binary_join_element_wise(flat.take(pa.array(first)), pa.scalar(" \0", flat.type), pa.scalar("", flat.type))
+            place = np.arange(len(flat))
+            place[first] = len(flat) + np.arange(len(first))
+            flat = pa.concat_arrays([flat, marked]).take(pa.array(place[full]))
+        else:
+            flat = flat.filter(pa.array(full))
+        return flat, np.diff(np.append(0, full.cumsum())[np.append(0, bounds)])
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        plain = np.ones(len(texts), bool) if self.drops_space else ~np.asarray(pc.match_substring_regex(texts, _NOT_PLAIN), bool)
+        flat, n = self._split(texts.filter(pa.array(plain)))
+        counts = np.zeros(len(texts), np.int64)
+        counts[plain] = n
+        coded = flat.dictionary_encode()
+        codes, pieces = np.asarray(coded.indices).astype(np.int64), coded.dictionary.to_pylist()
+        if not plain.all():
+            places, parts = np.flatnonzero(~plain), []
+            split = [self.pieces(t) for t in texts.filter(pa.array(~plain)).to_pylist()]
+            counts[places] = [len(x) for x in split]
+            known = {p: i for i, p in enumerate(pieces)}
+            parts = np.fromiter((known.setdefault(p, len(known)) for x in split for p in x), np.int64, int(counts[places].sum()))
+            pieces, merged, own = list(known), np.empty(int(counts.sum()), np.int64), np.repeat(plain, counts)
+            merged[own], merged[~own] = codes, parts
+            codes = merged
         if len(self.known) > CACHE:
             self.forget()
         at = np.fromiter(map(self.known.get, pieces, repeat(-1)), np.int64, len(pieces))
         fresh = np.flatnonzero(at < 0).tolist()
         if fresh:
-            self._encode_new(list(dict.fromkeys(pieces[i] for i in fresh)))
+            self._encode_new([pieces[i] for i in fresh])
             at[fresh] = [self.known[pieces[i]] for i in fresh]
-        ends = np.frombuffer(self.ends, np.int64)
-        begins = ends[at]
-        lengths = ends[at + 1] - begins
-        total = np.cumsum(lengths)
-        n = int(total[-1]) if len(total) else 0
-        places = np.repeat(begins - (total - lengths), lengths) + np.arange(n)
-        flat = np.frombuffer(self.ids, np.uint32)[places] if n else np.empty(0, np.uint32)
-        bounds = np.concatenate([[0], total])[np.concatenate([[0], np.cumsum(counts)])]
-        return flat, np.diff(bounds)
+        if not len(codes):
+            return np.empty(0, np.uint32), counts
+        learned = pa.LargeListArray.from_arrays(pa.array(np.frombuffer(self.ends, np.int64)), pa.array(np.frombuffer(self.ids, np.uint32)))
+        taken = learned.take(pa.array(at[codes]))
+        total = np.append(0, np.asarray(taken.value_lengths()).cumsum())
+        return taken.flatten().to_numpy(), np.diff(total[np.append(0, counts.cumsum())])
 
 
 @cache

@@ -44,9 +44,9 @@ def _encode(path: str | None, end_id: int, width: int):
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
         names = ["doc_id", "row_hash", "n_tokens", "ids", "term_docs"]
         for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                batch = whole.slice(at, 512)
-                flat, counts = encoder.encode(batch.column("text").to_pylist())
+            for at in range(0, whole.num_rows, 2048):
+                batch = whole.slice(at, 2048)
+                flat, counts = encoder.encode(batch.column("text"))
                 ends = np.cumsum(counts)
                 raw = []
                 for a, b in zip((ends - counts).tolist(), ends.tolist(), strict=True):
