@@ -97,8 +97,8 @@ def _spool(path: str | None, end_id: int, width: int):
         encoder, seen = shared_encoder(path or default_tokenizer(), True), set()
         chunk = pa.list_(pa.struct([("digest", pa.binary()), ("ids", pa.binary())]))
         for whole in batches:
-            for at in range(0, whole.num_rows, 2048):
-                batch = whole.slice(at, 2048)
+            for at in range(0, whole.num_rows, 1024):
+                batch = whole.slice(at, 1024)
                 flat, counts = encoder.encode(batch.column("text"))
                 if len(flat) and max(int(flat.max()), end_id) >> (8 * width):
                     raise ValueError(f"ids do not fit {width} bytes")
