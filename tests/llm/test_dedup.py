@@ -73,6 +73,15 @@ def test_a_star_hides_no_link(spark):
     assert rows_of(nd.near_duplicates(table, shingle=4), *NEAR) == near_dup(rows)
 
 
+def test_a_rare_shingle_beyond_a_partners_list_hides_no_link(spark):
+    """85 of 105 shingles are shared: A lists its own 15 and c1 to c6, B lists c1 to c19; only c1 to c6 are held by many."""
+    shared = list(range(100, 119))
+    rows = [(0, 1, 1, 100, [*range(15), *shared[:6]]), (0, 2, 2, 90, shared)]
+    rows += [(0, n, n, 300, [*shared[:6], *range(n * 1000, n * 1000 + 40)]) for n in range(3, 21)]
+    members = spark.createDataFrame(rows, "hub long, node long, component long, n_node long, outside array<long>")
+    assert (2, 1) in rows_of(nd._across(members, 80), "node", "hub")
+
+
 def test_densified_sketches_agree_as_often_as_sets_overlap():
     order, rng, hits = nd.bin_order(276), np.random.default_rng(1), []
     for _ in range(60):

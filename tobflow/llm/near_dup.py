@@ -167,18 +167,21 @@ def _across(members: DataFrame, percent: int, common: int = 16) -> DataFrame:
     """Pairs (node, hub) of different components under one hub that may reach the similarity.
 
     A set of n shingles may lack (100 - percent) % of them in a partner, so if the two share any shingle outside
-    the hub, one is among the least so many, plus one, of either set (``outside``). A shingle that at most
-    ``common`` members have there is rare. Pairs sharing a rare one are joined on it. Any other pair shares
-    none of its rare ones, and so at most the rest of either set.
+    the hub, the least they share is among the least so many, plus one, of both sets (``outside``). A shingle
+    that at most ``common`` members list there is rare. Pairs sharing a listed rare one are joined on it. In any
+    other pair the least shared one is listed by both and not rare, so neither shares the rare ones that come
+    before the first one of its list that is not. Rare ones behind that may be in the partner beyond its list,
+    and are not subtracted.
     """
-    listed = members.select("hub", "node", "component", "n_node", F.explode("outside").alias("shingle"))
+    listed = members.select("hub", "node", "component", "n_node", F.posexplode("outside").alias("at", "shingle"))
     counts = listed.groupBy("hub", "shingle").agg(F.count("*").alias("holders"))
-    rare = table(listed.join(counts, ["hub", "shingle"]).where(F.col("holders") <= common), "rare")
+    counted = table(listed.join(counts, ["hub", "shingle"]), "listed")
+    rare = counted.where(F.col("holders") <= common)
     differ = [F.col("a.hub") == F.col("b.hub"), F.col("a.component") < F.col("b.component"), F.col("a.n_node") * 100 >= F.col("b.n_node") * percent, F.col("b.n_node") * 100 >= F.col("a.n_node") * percent]
     shared = rare.where("holders > 1")
     by_rare = shared.alias("a").join(shared.alias("b"), [F.col("a.shingle") == F.col("b.shingle"), *differ])
-    n_rare = rare.groupBy("hub", "node").agg(F.count("*").alias("n_rare"))
-    rest = members.drop("outside").join(n_rare, ["hub", "node"], "left").withColumn("rest", F.col("n_node") - F.coalesce("n_rare", F.lit(0)))
+    first = counted.where(F.col("holders") > common).groupBy("hub", "node").agg(F.min("at").alias("first"))
+    rest = members.join(first, ["hub", "node"], "left").withColumn("rest", F.col("n_node") - F.coalesce("first", F.size("outside"))).drop("outside", "first")
     rest = table(rest.where(F.col("rest") * 100 >= F.col("n_node") * percent), "rest")
     by_rest = rest.alias("a").join(rest.alias("b"), [*differ, F.least("a.rest", "b.rest") * (100 + percent) >= (F.col("a.n_node") + F.col("b.n_node")) * percent])
     pair = [F.greatest("a.node", "b.node").alias("node"), F.least("a.node", "b.node").alias("hub")]
