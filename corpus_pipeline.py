@@ -36,7 +36,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: five-word shingles, similarity 0.8 or more."""
-    return without(docs, near_duplicates(docs, shingle=5, percent=80).where("NOT kept"))
+    return without(docs, near_duplicates(docs, shingle=5, percent=80, with_hash=True).where("NOT kept"))
 
 
 def decontam(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

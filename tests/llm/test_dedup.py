@@ -1,5 +1,6 @@
 """Line, near-duplicate, substring and vector dedup against brute force."""
 
+import corpus_pipeline
 import numpy as np
 import pytest
 from brute import DATA, LINE, empty, line_dedup, messy, near_dup, rows_of, substring_dedup, vector_dedup
@@ -59,6 +60,22 @@ def test_near_duplicates_of_messy_rows(spark):
     assert nd.near_duplicates(empty(spark)).count() == 0
 
 
+def test_near_duplicates_of_null_ids_and_of_one_id_with_two_texts(spark):
+    words = [f"w{i}" for i in range(200)]
+    other = [f"v{i}" for i in range(200)]
+    texts = [(None, words), (None, [*words[:-1], "x"]), (None, [*words[:-2], "y"]), (5, other), (5, [f"u{i}" for i in range(200)]), (6, [*other[:-1], "z"])]
+    rows = [(d, " ".join(t)) for d, t in texts]
+    docs = spark.createDataFrame([*rows, rows[1]], "doc_id long, text string")
+    got = rows_of(nd.near_duplicates(docs, shingle=4), "doc_id", "component_id", "kept")
+    assert [r for r in got if r[0] is not None] == [(5, 5, True), (5, 5, True), (6, 5, False)]
+    left = [tuple(r) for r in corpus_pipeline.near_dedup(spark, docs, "").collect()]
+    assert sorted(r for r in left if r[0] is not None) == sorted(rows[3:5])
+    assert len({t for d, t in left if d is None}) == 1
+    # an id's texts are decided one by one
+    docs = spark.createDataFrame([(3, " ".join(words)), (5, " ".join(words)), (5, " ".join(other))], "doc_id long, text string")
+    assert rows_of(corpus_pipeline.near_dedup(spark, docs, ""), "doc_id") == [(3,), (5,)]
+
+
 def test_a_star_hides_no_link(spark):
     """Chains around the threshold: hubs link with few of their bucket, others only with each other."""
     rng = np.random.default_rng(3)

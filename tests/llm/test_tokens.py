@@ -180,6 +180,14 @@ def test_decontamination_of_messy_rows(spark):
     assert decontam.contaminated(docs, bench.limit(0)).count() == 0
 
 
+def test_contaminated_rows_without_an_id_are_dropped(spark, tmp_path):
+    path = str(tmp_path)
+    spark.createDataFrame([(1, ITEM, 0, 0, 0)], BENCH).write.parquet(f"{path}/benchmark.parquet")
+    rows = [(None, f"Ahead. {ITEM}"), (None, "clean"), (None, None), (7, f"Ahead. {ITEM}"), (7, "clean too")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert rows_of(corpus_pipeline.decontam(spark, docs, path), "doc_id", "text") == sorted([rows[1], rows[2], rows[4]], key=str)
+
+
 # ---- pipeline
 
 

@@ -59,10 +59,11 @@ def keyed(docs: DataFrame, *, carry: bool = False) -> DataFrame:
 
 
 def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is not in gone (doc_id); gone is broadcast only where its counted size allows."""
-    gone = table(gone.where("doc_id IS NOT NULL").select("doc_id").distinct(), "gone")
-    small = gone.count() * 16 <= BROADCAST_BYTES
-    return docs.join(F.broadcast(gone) if small else gone, "doc_id", "left_anti").select(docs.columns)
+    """The rows of docs that are not in gone (doc_id, row_hash as in ``keyed``), null doc_ids included; gone is broadcast only where its counted size allows."""
+    gone = table(gone.select("doc_id", "row_hash").distinct(), "gone")
+    small = gone.count() * 32 <= BROADCAST_BYTES
+    same = [F.col("a.doc_id").cast("long").eqNullSafe(F.col("b.doc_id")), F.xxhash64(F.coalesce(F.col("a.text"), F.lit(""))) == F.col("b.row_hash")]
+    return docs.alias("a").join((F.broadcast(gone) if small else gone).alias("b"), same, "left_anti").select(docs.columns)
 
 
 def training_fold(doc_id: str = "doc_id"):

@@ -109,7 +109,7 @@ def _sketches(k: int, bands: int, rows: int):
                     continue
                 node.append(np.array(xxhash.xxh3_64_intdigest(s.tobytes()), np.uint64).astype(np.int64).item())
                 keys.append(mix((densified(s, bands * rows, order).reshape(bands, rows) * places).sum(axis=1, dtype=np.uint64) + salt).view(np.int64))
-            yield pa.record_batch([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "node", "keys"])
+            yield pa.record_batch([batch.column("doc_id"), batch.column("row_hash"), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "row_hash", "n_shingles", "node", "keys"])
 
     return run
 
@@ -188,18 +188,18 @@ def _across(members: DataFrame, percent: int, common: int = 16) -> DataFrame:
     return by_rest.select(*pair).union(by_rare.select(*pair)).distinct()
 
 
-def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, bands: int = 46, rows: int = 6) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept: a row per row of docs.
+def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, bands: int = 46, rows: int = 6, with_hash: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept: a row per row of docs; with_hash adds the row_hash of ``keyed``.
 
     Links join documents whose sets of distinct word shingles have 100 * intersection >= percent * union. A pair
     at 0.8 shares no bucket with a chance of (1 - 0.8**6)**46 = 8e-7, and more similar pairs with less. Null or
     empty texts have no shingles and link with nothing; component_id is the smallest doc_id reachable; repeated
     rows of a doc_id share its component and are all kept or all dropped; a null doc_id is never the smallest
-    unless alone; an empty table gives no rows; other columns are ignored.
+    unless alone, and of a component of null doc_ids only, one text is kept; an empty table gives no rows; other columns are ignored.
     """
     base = keyed(docs)
-    source = base.select("doc_id", F.col("text").cast("binary").alias("bytes"))
-    found = table(source.mapInArrow(_sketches(shingle, bands, rows), "doc_id long, n_shingles long, node long, keys array<long>"), "sketches")
+    source = base.select("doc_id", "row_hash", F.col("text").cast("binary").alias("bytes"))
+    found = table(source.mapInArrow(_sketches(shingle, bands, rows), "doc_id long, row_hash long, n_shingles long, node long, keys array<long>"), "sketches")
     exploded = found.where("n_shingles > 0").select("node", F.explode("keys").alias("key"))
     sizes = exploded.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("size")).where("low <> high")
     shared = table(exploded.join(sizes.select("key", "size"), "key").distinct(), "buckets")
@@ -209,10 +209,16 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, ban
     starred = table(ranked.join(hubs, "key").select("key", "node", "hub"), "stars")
     pairs = table(starred.where("node <> hub").select("node", "hub").distinct(), "pairs")
 
-    members = found.join(starred.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    members = table(members, "members")
-    bounded = members.count() * 16 <= BROADCAST_BYTES
-    texts = source.join(F.broadcast(members) if bounded else members, "doc_id").select("node", "bytes")
+    # a node's set comes from one of its texts; rows that repeat this one would bring it again
+    members = found.join(starred.select("node").distinct(), "node", "left_semi").groupBy("node", "doc_id", "row_hash").agg(F.count("*").alias("copies"))
+    members = table(members.groupBy("node").agg(F.min(F.struct("doc_id", "row_hash", "copies")).alias("m")).select("node", "m.*"), "members")
+    n_members, copies = members.agg(F.count("*"), F.max("copies")).first()
+    bounded = n_members * 32 <= BROADCAST_BYTES
+    same = [F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")), F.col("a.row_hash") == F.col("b.row_hash")]
+    texts = source.alias("a").join((F.broadcast(members) if bounded else members).alias("b"), same).select("node", "copies", "bytes")
+    if (copies or 0) > 1:
+        texts = texts.where("copies = 1").unionByName(texts.where("copies > 1").dropDuplicates(["node"]))
+    texts = texts.select("node", "bytes")
     sets = table(texts.mapInArrow(_sets(shingle), "node long, shingles binary"), "sets")
 
     linked = F.col("n_common") * 100 >= (F.col("n_node") + F.col("n_hub") - F.col("n_common")) * percent
@@ -227,11 +233,14 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, ban
     if not more.isEmpty():
         labels = components(labels.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more))
 
-    nodes = found.join(labels, "node", "left").select("doc_id", "n_shingles", "node", F.coalesce("component", "node").alias("component"))
-    least = nodes.where("component IS NOT NULL").groupBy("component").agg(F.min("doc_id").alias("least"))
+    nodes = found.join(labels, "node", "left").select("doc_id", "row_hash", "n_shingles", F.coalesce("component", "node").alias("component"))
+    least = nodes.where("component IS NOT NULL").groupBy("component").agg(F.min("doc_id").alias("least"), F.min("row_hash").alias("least_hash"))
     # every row of a component needs its least doc_id: a join, so that a hot component can be split
-    out = nodes.join(least, "component", "left").select("doc_id", "n_shingles", F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
-    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    component_id = F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("least"))
+    nameless = F.col("component").isNotNull() & F.col("least").isNull()
+    kept = F.when(nameless, F.col("row_hash") == F.col("least_hash")).otherwise(F.col("doc_id").eqNullSafe(component_id))
+    out = nodes.join(least, "component", "left")
+    return out.select("doc_id", "n_shingles", component_id.alias("component_id"), kept.alias("kept"), *["row_hash"] * with_hash)
 
 
 def op4_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
