@@ -5,12 +5,14 @@ import zlib
 import corpus_pipeline
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from brute import DATA, empty, messy, rows_of
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tobflow.llm import decontam, packing, token_store, warc
+from tobflow.llm.encoding import PieceEncoder
 
 
 def encoded(file, docs, end):
@@ -50,6 +52,24 @@ def test_store_of_messy_rows(spark):
     assert store.chunks().count() < store.recipes().select(F.explode("digests")).count()
 
 
+@pytest.mark.parametrize(("file", "drops_space"), [("word_bpe_49k.json", True), ("byte_bpe_50k.json", False)])
+def test_special_tokens_in_a_text_are_one_id(file, drops_space):
+    texts = ["plain one", "a <|endoftext|> b", "x<|startoftext|>y  z <|ENDOFTEXT|>", "", "<|endoftext|>", "<|endoftext", "<|endoftext|><|startoftext|>", "last text"]
+    encoder = PieceEncoder(public_tokenizers.path(file), drops_space=drops_space)
+    for some in (texts, texts[1:2], [texts[4], texts[6]]):
+        want = [ids[:-1].tolist() for _, ids in encoded(file, enumerate(some), 0)]
+        ids, counts = encoder.encode(pa.array(some))
+        assert counts.tolist() == list(map(len, want)) and ids.tolist() == sum(want, [])
+
+
+def test_store_and_packing_of_special_tokens(spark):
+    rows = [(1, "ahead <|endoftext|> behind"), (2, "one<|startoftext|>two"), (3, "plain")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = [(d, ids.astype("<u2").tobytes()) for d, ids in encoded("word_bpe_49k.json", rows, 2)]
+    assert sorted((r["doc_id"], bytes(r["ids"])) for r in token_store.write_store(docs).read().collect()) == want
+    check_pieces(packing.pack(docs).collect(), encoded("byte_bpe_50k.json", rows, 1))
+
+
 def test_damage_is_found(spark, tmp_path):
     store = token_store.write_store(messy(spark), path=str(tmp_path / "store"))
     chunks = store.chunks().withColumn("ids", F.when(F.octet_length("ids") > 100, F.unhex(F.lit("00"))).otherwise(F.col("ids")))

@@ -36,7 +36,9 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        #: Matches texts that hold an added token such as <|endoftext|>, which is one id wherever it stands.
+        self.added = "(?i)" + "|".join(map(re.escape, added)) if added else None
         self.drops_space = drops_space
         vocabulary = self.tokenizer.get_vocab()
         #: Bytes of each id (a byte-level vocabulary spells a byte as one character).
@@ -103,7 +105,7 @@ class PieceEncoder:
         full = np.asarray(pc.binary_length(flat)) > 0
         if not self.drops_space:
             # the first piece has no space before it: marked as in pieces()
-            first = np.append(0, bounds[:-1])
+            first = np.append(0, bounds)[:-1]
             first = first[full[first]]
             marked = pc.binary_join_element_wise(flat.take(pa.array(first)), pa.scalar(" \0", flat.type), pa.scalar("", flat.type))
             place = np.arange(len(flat))
@@ -114,6 +116,19 @@ class PieceEncoder:
         return flat, np.diff(np.append(0, full.cumsum())[np.append(0, bounds)])
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        special = np.asarray(pc.match_substring_regex(texts, self.added), bool) if self.added else np.zeros(len(texts), bool)
+        if not special.any():
+            return self._encode_pieces(texts)
+        # whole through the tokenizer: an added token parts a text, spaces or not
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(texts.filter(pa.array(special)).to_pylist(), add_special_tokens=False)]
+        ids, n = self._encode_pieces(texts.filter(pa.array(~special)))
+        counts = np.zeros(len(texts), np.int64)
+        counts[special], counts[~special] = list(map(len, found)), n
+        out, whole = np.empty(int(counts.sum()), np.uint32), np.repeat(special, counts)
+        out[whole], out[~whole] = np.fromiter(chain.from_iterable(found), np.uint32), ids
+        return out, counts
+
+    def _encode_pieces(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         plain = np.ones(len(texts), bool) if self.drops_space else ~np.asarray(pc.match_substring_regex(texts, _NOT_PLAIN), bool)
         flat, n = self._split(texts.filter(pa.array(plain)))
         counts = np.zeros(len(texts), np.int64)
