@@ -28,7 +28,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     out = dedup_lines(docs, carry=True)
     changed = F.col("n_dropped") > 0
-    new = {"text": F.when(changed, F.col("text")).otherwise(F.col("row.text"))}
+    new = {"text": F.when(~F.col("blank"), F.col("text"))}
     if "n_chars" in docs.columns:
         new["n_chars"] = F.when(changed, F.length("text")).otherwise(F.col("row.n_chars")).cast(docs.schema["n_chars"].dataType)
     return out.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
