@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tobflow.llm.common import table
+from tobflow.llm.common import drop_tables, table
 
 
 def _fingerprint(edges: DataFrame) -> tuple:
@@ -28,6 +28,7 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
         after = table(small.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+        drop_tables(now)
         was, mark, now = mark, _fingerprint(after), after
         if mark == was:
             break

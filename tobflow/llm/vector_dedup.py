@@ -1,227 +1,339 @@
 """Embedding near-dedup on a robust-pruned flat graph.
 
-Equal vectors become one node. The nodes of a label are dealt over shards by their closest pivots; a node joins every
-shard whose pivot is nearly as close as its closest, so shards overlap. Each shard builds a flat graph: near and
-random candidates, robust-pruned, and united with the reverse lists. A node is searched for in its home shard,
-from the shard's medoid and its own place: a greedy beam search, which expands every node in range. Hits are
-verified in double precision. Some queries of each shard are audited against brute force; where recall is short,
-the shard is searched again with a wider beam. A shard above its size is dealt over slices, and each of its
-queries is sent to all slices, so a dense region costs more tasks, not larger ones.
+Equal vectors become one node. The nodes of a label form a cell; a cell above its size is dealt over the cells of
+pivots drawn from it, again and again. A node joins the cell of its closest pivot, its home, and every other that a
+partner in range may have as home, so cells overlap. Within a cell, nodes meet in small overlapping clusters; each
+cluster gives its nodes robust-pruned adjacency lists, and a node's lists are united, with their reverse lists, to
+one flat graph. Each node is searched for in its home cell, from its own place and the clusters' medoids: a greedy
+beam search, which expands every node in range. What the links found tie together is then verified in double
+precision, each node with each other of its tie, so a link found from one end counts at both. A hashed sample of
+nodes is audited against all nodes of its label; where recall is short, all is searched again with cells that
+overlap as far as any partner in range can lie, and a wider beam.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tobflow.llm.common import BROADCAST_BYTES, table
+from tobflow.llm.common import bound, table
 from tobflow.llm.graph import components
+from tobflow.llm.near_dup import mix
 
-FOUND = "node long, n_links long, root long, audited_links long"
-NEAR, RANDOM, DEGREE, ALPHA = 32, 16, 24, 1.2
+U = np.uint64
+CELLS = "cell long, node long, vector array<double>, copies long, home boolean"
+FOUND = "node long, n_links long, root long"
+#: Closest and random candidates of a node in a cluster, neighbours that it keeps there, and how much closer another must be to drop one.
+NEAR, RANDOM, DEGREE, ALPHA = 12, 4, 8, 1.2
+#: Clusters that a node joins in its cell, and nodes of a cluster at most.
+OVERLAP, CLUSTER = 3, 256
+#: Rows of a cell that one task deals, and most rounds of dealing.
+DEAL_ROWS, ROUNDS = 50_000, 6
 
 
-def pruned(x: np.ndarray, near: int = NEAR, extra: int = RANDOM, degree: int = DEGREE, alpha: float = ALPHA) -> np.ndarray:
-    """Out-neighbours of each unit vector (n x degree, -1 for none): the closest candidate stays and drops those it is alpha times closer to."""
+def pruned(x: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """Out-neighbours in a cluster of unit vectors (n x DEGREE, -1 for none): the closest candidate stays and drops those it is ALPHA times closer to."""
     n = len(x)
-    rng = np.random.default_rng(n)
-    out = np.full((n, degree), -1, np.int64)
-    k = min(near, n - 1)
-    for at in range(0, n, 256):
-        rows = np.arange(at, min(at + 256, n))
-        s = x[rows] @ x.T
-        s[np.arange(len(rows)), rows] = -2
-        close = np.argpartition(-s, k - 1, axis=1)[:, :k] if k else np.empty((len(rows), 0), np.int64)
-        cand = np.concatenate([close, rng.integers(0, n, (len(rows), extra))], axis=1)
-        sim = np.take_along_axis(s, cand, 1)
-        order = np.argsort(-sim, axis=1, kind="stable")
-        cand, sim = np.take_along_axis(cand, order, 1), np.take_along_axis(sim, order, 1)
-        dropped = sim < -1.5
-        dropped[:, 1:] |= cand[:, 1:] == cand[:, :-1]
-        own = np.sqrt(np.maximum(0, 2 - 2 * sim))
-        between = np.sqrt(np.maximum(0, 2 - 2 * np.einsum("bid,bjd->bij", x[cand], x[cand])))
-        kept = np.zeros(len(rows), np.int64)
-        for j in range(cand.shape[1]):
-            take = ~dropped[:, j] & (kept < degree)
-            hit = np.flatnonzero(take)
-            out[rows[hit], kept[hit]] = cand[hit, j]
-            kept[hit] += 1
-            dropped |= take[:, None] & (alpha * between[:, j, :] <= own)
+    out = np.full((n, DEGREE), -1, np.int64)
+    if n < 2:
+        return out
+    s = x @ x.T
+    np.fill_diagonal(s, -2)
+    k = min(NEAR, n - 1)
+    cand = np.concatenate([np.argpartition(-s, k - 1, axis=1)[:, :k], rng.integers(0, n, (n, RANDOM))], axis=1)
+    sim = np.take_along_axis(s, cand, 1)
+    order = np.argsort(-sim, axis=1, kind="stable")
+    cand, sim = np.take_along_axis(cand, order, 1), np.take_along_axis(sim, order, 1)
+    dropped = sim < -1.5
+    dropped[:, 1:] |= cand[:, 1:] == cand[:, :-1]
+    own = np.sqrt(np.maximum(0, 2 - 2 * sim))
+    between = np.sqrt(np.maximum(0, 2 - 2 * s[cand[:, :, None], cand[:, None, :]]))
+    kept = np.zeros(n, np.int64)
+    for j in range(cand.shape[1]):
+        take = ~dropped[:, j] & (kept < DEGREE)
+        hit = np.flatnonzero(take)
+        out[hit, kept[hit]] = cand[hit, j]
+        kept[hit] += 1
+        dropped |= take[:, None] & (ALPHA * between[:, j, :] <= own)
     return out
 
 
-def united(out: np.ndarray, most: int = 3 * DEGREE) -> np.ndarray:
-    """Adjacency lists together with their reverse lists, padded with -1; a list takes so many reverse entries at most, beside its own."""
-    n, degree = out.shape
-    source = np.repeat(np.arange(n), degree)[out.ravel() >= 0]
-    target = out.ravel()[out.ravel() >= 0]
-    order = np.argsort(target, kind="stable")
-    source, target = source[order], target[order]
-    rank = np.arange(len(target)) - np.searchsorted(target, target)
-    fits = rank < most
-    back = np.full((n, int(rank[fits].max(initial=-1)) + 1), -1, np.int64)
-    back[target[fits], rank[fits]] = source[fits]
-    return np.concatenate([out, back], axis=1)
+def clusters(x: np.ndarray, rng: np.random.Generator) -> list[np.ndarray]:
+    """Overlapping clusters around about sqrt(n) of the vectors; one above CLUSTER nodes is cut at random."""
+    n = len(x)
+    if n <= CLUSTER:
+        return [np.arange(n)]
+    pivots = x[rng.choice(n, int(np.ceil(np.sqrt(n))), replace=False)]
+    close = np.argpartition(-(x @ pivots.T), OVERLAP - 1, axis=1)[:, :OVERLAP]
+    member, place = np.repeat(np.arange(n), OVERLAP), close.ravel()
+    order = rng.permutation(len(place))
+    order = order[np.argsort(place[order], kind="stable")]
+    groups = np.split(member[order], np.flatnonzero(np.diff(place[order])) + 1)
+    return [part for g in groups for part in np.array_split(g, -(-len(g) // CLUSTER))]
+
+
+def flat_graph(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Adjacency lists (padded with -1), united over all clusters and with their reverse lists, and the clusters' medoids."""
+    n, rng = len(x), np.random.default_rng(len(x))
+    source, target, medoids = [], [], []
+    for members in clusters(x, rng):
+        lists = pruned(x[members], rng)
+        at, col = np.nonzero(lists >= 0)
+        source.append(members[at])
+        target.append(members[lists[at, col]])
+        medoids.append(members[np.argmax(x[members] @ x[members].mean(axis=0))])
+    source += [np.arange(n), *target]
+    target = [*target, rng.integers(0, n, n), *source[: len(target)]]
+    pairs = np.unique(np.concatenate(source) * n + np.concatenate(target))
+    a, b = pairs // n, pairs % n
+    a, b = a[a != b], b[a != b]
+    rank = np.arange(len(a)) - np.searchsorted(a, a)
+    # a node that very many others chose keeps so many of them
+    fits = rank < 6 * DEGREE
+    links = np.full((n, int(rank[fits].max(initial=-1)) + 1), -1, np.int64)
+    links[a[fits], rank[fits]] = b[fits]
+    return links, np.unique(medoids)
 
 
-def in_range(x: np.ndarray, links: np.ndarray, queries: np.ndarray, own: np.ndarray, medoid: int, least: float, beam: int, wide: int = 4) -> np.ndarray:
-    """Which nodes each query finds with a dot product of ``least`` or more (queries x nodes).
+def in_range(x: np.ndarray, links: np.ndarray, queries: np.ndarray, entries: np.ndarray, least: float, beam: int, slack: float = 0.06) -> tuple[np.ndarray, np.ndarray]:
+    """(query, node) for each node found with a dot product of ``least`` or more.
 
-    Greedy: expand the best seen but unexpanded nodes, ``wide`` at a time, while one is among the ``beam`` best seen or
-    near the range.
+    Greedy, for all queries side by side: of the nodes just seen, those among a query's ``beam`` best so far are
+    expanded, and every one in range or near it, until nothing new is.
     """
     q, n = len(queries), len(x)
-    sim = np.full((q, n), -3.0)
-    expanded = np.zeros((q, n), bool)
-    rows = np.arange(q)
-    sim[:, medoid] = queries @ x[medoid]
-    placed = np.flatnonzero(own >= 0)
-    sim[placed, own[placed]] = np.einsum("qd,qd->q", queries[placed], x[own[placed]])
-    active = rows
-    k = min(beam, n)
-    while len(active):
-        s = sim[active]
-        floor = np.partition(s, n - k, axis=1)[:, n - k]
-        waiting = np.where(expanded[active], -3.0, s)
-        best = np.argpartition(-waiting, min(wide, n) - 1, axis=1)[:, : min(wide, n)]
-        value = np.take_along_axis(waiting, best, 1)
-        go = (value > -2.5) & ((value >= floor[:, None]) | (value >= least - 0.06))
-        r, c = np.nonzero(go)
-        if not len(r):
-            break
-        who, node = active[r], best[r, c]
-        expanded[who, node] = True
-        near = links[node]
-        r2, c2 = np.nonzero(near >= 0)
-        who, node = who[r2], near[r2, c2]
-        new = sim[who, node] < -2.5
-        pairs = np.unique(who[new] * n + node[new])
-        who, node = pairs // n, pairs % n
-        sim[who, node] = np.einsum("pd,pd->p", queries[who], x[node])
-        active = active[np.unique(r)]
-    return sim >= least
-
-
-def _search(least: float, beam: int, audits: int):
-    kinds = [pa.int64()] * 4
-    names = ["node", "n_links", "root", "audited_links"]
+    seen, best = np.zeros(q * n, bool), np.full((q, beam), -3.0)
+    who, node = np.repeat(np.arange(q), entries.shape[1]), entries.ravel()
+    who, node = who[node >= 0], node[node >= 0]
+    found: list[tuple[np.ndarray, np.ndarray]] = [(who[:0], node[:0])]
+    while len(who):
+        keys = np.unique(who * n + node)
+        keys = keys[~seen[keys]]
+        seen[keys] = True
+        who, node = keys // n, keys % n
+        sim = np.einsum("pd,pd->p", queries[who], x[node])
+        hit = sim >= least
+        found.append((who[hit], node[hit]))
+        order = np.lexsort((-sim, who))
+        ranked = who[order]
+        rank = np.arange(len(order)) - np.searchsorted(ranked, ranked)
+        top = rank < beam
+        new = np.full((q, beam), -3.0)
+        new[ranked[top], rank[top]] = sim[order][top]
+        best = -np.sort(-np.concatenate([best, new], axis=1), axis=1)[:, :beam]
+        go = (sim >= best[who, -1]) | (sim >= least - slack)
+        near = links[node[go]]
+        who, node = np.repeat(who[go], near.shape[1]), near.ravel()
+        who, node = who[node >= 0], node[node >= 0]
+    return np.concatenate([w for w, _ in found]), np.concatenate([v for _, v in found])
+
+
+def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Least place reachable from each of n places by the edges (a, b)."""
+    root = np.arange(n)
+    while True:
+        least = np.minimum(root[a], root[b])
+        before = root.copy()
+        for end in (root[a], root[b], a, b):
+            np.minimum.at(root, end, least)
+        root = root[root]
+        if (root == before).all():
+            return root
 
+
+def _search(least: float, beam: int):
     def run(group: pa.Table) -> pa.Table:
-        group = group.sort_by([("node", "ascending"), ("is_query", "ascending")])
-        is_query = group.column("is_query").to_numpy(zero_copy_only=False)
-        node, copies = group.column("node").to_numpy(), group.column("copies").to_numpy()
-        x = np.array(group.column("vector").to_pylist(), np.float64)
-        members, asked = np.flatnonzero(~is_query), np.flatnonzero(is_query)
-        if not len(members) or not len(asked):
-            return pa.table([pa.array([], k) for k in kinds], names=names)
-        y, ids, weight = x[members], node[members], copies[members]
-        links = united(pruned(y))
-        medoid = int(np.argmax(y @ y.mean(axis=0)))
-        place = np.searchsorted(ids, node[asked])
-        own = np.where((place < len(ids)) & (ids[np.minimum(place, len(ids) - 1)] == node[asked]), place, -1)
-        audit = np.unique(np.linspace(0, len(asked) - 1, min(audits, len(asked))).astype(np.int64))
-        truth = (x[asked[audit]] @ y.T) >= least
-        found = in_range(y, links, x[asked[audit]], own[audit], medoid, least, beam)
-        wide = beam if (found & truth).sum() >= 0.995 * truth.sum() else 8 * beam
-        root = np.arange(len(ids) + len(asked))  # members, then queries from outside
-        count = np.zeros(len(asked), np.int64)
-        for at in range(0, len(asked), 128):
-            part = slice(at, min(at + 128, len(asked)))
-            hits = in_range(y, links, x[asked[part]], own[part], medoid, least, wide)
-            for i, row in enumerate(hits, at):
-                at_self = own[i]
-                near = np.flatnonzero(row)
-                near = near[near != at_self]
-                count[i] = weight[near].sum()
-                if len(near):
-                    roots = np.unique(root[np.append(near, at_self if at_self >= 0 else len(ids) + i)])
-                    if len(roots) > 1:
-                        root[np.isin(root, roots[1:])] = roots[0]
-        every = np.concatenate([ids, node[asked]])
-        at_query = np.where(own >= 0, own, len(ids) + np.arange(len(asked)))
-        true_links = {int(a): int(weight[np.flatnonzero(t)].sum() - (weight[own[a]] if own[a] >= 0 else 0)) for a, t in zip(audit, truth, strict=True)}
-        rows = [node[asked].tolist(), count.tolist(), every[root[at_query]].tolist(), [true_links.get(i) for i in range(len(asked))]]
-        # members that no query of this task stands for still tie components together
-        tied = np.flatnonzero(root[: len(ids)] != np.arange(len(ids)))
-        rows = [a + b for a, b in zip(rows, [ids[tied].tolist(), [0] * len(tied), every[root[tied]].tolist(), [None] * len(tied)], strict=True)]
-        return pa.table([pa.array(c, k) for c, k in zip(rows, kinds, strict=True)], names=names)
+        group = group.sort_by([("node", "ascending")])
+        ids, weight = group.column("node").to_numpy(), group.column("copies").to_numpy()
+        is_member, is_query = (group.column(x).to_numpy(zero_copy_only=False) for x in ("is_member", "is_query"))
+        x = group.column("vector").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
+        members, asked = np.flatnonzero(is_member), np.flatnonzero(is_query)
+        out: list[list[np.ndarray]] = [[np.empty(0, np.int64)] for _ in range(3)]
+        if len(members) and len(asked):
+            y = x[members]
+            links, medoids = flat_graph(y)
+            place = np.full(len(ids), -1)
+            place[members] = np.arange(len(members))
+            k = min(3, len(medoids))
+            pairs = []
+            for at in range(0, len(asked), 256):
+                rows = asked[at : at + 256]
+                near = np.argpartition(-(x[rows] @ y[medoids].T), k - 1, axis=1)[:, :k]
+                who, node = in_range(y, links, x[rows], np.concatenate([place[rows, None], medoids[near]], axis=1), least, beam)
+                pairs.append((rows[who], members[node]))
+            a, b = (np.concatenate(z) for z in zip(*pairs, strict=True))
+            a, b = a[a != b], b[a != b]
+            root = roots(len(ids), a, b)
+            tied = np.flatnonzero(np.isin(root, root[a]))
+            order = tied[np.argsort(root[tied], kind="stable")]
+            for tie in np.split(order, np.flatnonzero(np.diff(root[order])) + 1) if len(order) else []:
+                mine, theirs = tie[is_query[tie]], tie[is_member[tie]]
+                count = np.zeros(len(tie), np.int64)
+                for at in range(0, len(mine), 512):
+                    rows = mine[at : at + 512]
+                    linked = (x[rows] @ x[theirs].T >= least) & (rows[:, None] != theirs[None, :])
+                    count[np.searchsorted(tie, rows)] = linked @ weight[theirs]
+                for column, values in zip(out, (ids[tie], count, ids[root[tie]]), strict=True):
+                    column.append(values)
+        return pa.table([pa.array(np.concatenate(c), pa.int64()) for c in out], names=["node", "n_links", "root"])
+
+    return run
+
+
+def _deal(reach: float, sigmas: float | None):
+    """Rows sorted by cell and slice, the cell's pivots first: the new cells of each node, the first of which is its home if it was at home."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pivots, apart = np.empty((0, 0)), np.empty((0, 0))
+        for batch in batches:
+            cell, heads = batch.column("cell").to_numpy(), batch.column("pivots")
+            starts = np.append(np.flatnonzero(np.append(True, (cell[1:] != cell[:-1]) | np.asarray(heads.is_valid())[1:])), len(cell)) if len(cell) else [0]
+            for a, b in zip(starts[:-1], starts[1:], strict=True):
+                if heads[int(a)].is_valid:
+                    pivots = np.array(heads[int(a)].as_py(), float)
+                    apart = np.sqrt(np.maximum(0, 2 - 2 * pivots @ pivots.T))
+                    a += 1
+                if a == b:
+                    continue
+                part = batch.slice(a, b - a)
+                dots = part.column("vector").flatten().to_numpy().reshape(b - a, -1) @ pivots.T
+                best = dots.argmax(axis=1)
+                # a partner differs from this vector by reach at most, and so its products with two pivots by reach times their distance; in many
+                # dimensions by a few times that over their root
+                margin = reach * apart[best] * (1.0 if sigmas is None else min(1.0, sigmas / np.sqrt(pivots.shape[1])))
+                row, pivot = np.nonzero(dots[np.arange(b - a), best][:, None] - dots <= margin + 1e-9)
+                new = mix(cell[a : a + 1].astype(np.int64).view(np.uint64) + (pivot.astype(np.uint64) + U(1)) * U(0x9E3779B97F4A7C15)).view(np.int64)
+                kept = part.select(["node", "vector", "copies"]).take(pa.array(row))
+                home = np.asarray(part.column("home"), bool)[row] & (pivot == best[row])
+                yield pa.RecordBatch.from_arrays([pa.array(new), *kept.columns, pa.array(home)], names=["cell", "node", "vector", "copies", "home"])
 
     return run
 
 
-def _deal(pivots: dict[str, np.ndarray], margin: float):
-    """Shards of each node: all whose pivot's dot product is within margin of the best; the first is its home."""
+def cells_of(nodes: DataFrame, *, least: float, cell_size: int, sigmas: float | None) -> DataFrame:
+    """cell, node, vector, copies, home: the nodes (node, part, vector, copies) in cells of at most cell_size, but for those that pivots cannot part.
+
+    A cell that dealing would not shrink to two thirds stays as it is. sigmas: how many standard deviations of a
+    partner's offset cells overlap by; None: as far as it can be, whatever the dimension.
+    """
+    now = table(nodes.select(F.xxhash64("part").alias("cell"), "node", "vector", "copies", F.lit(True).alias("home")), "cells")
+    done = []
+    for _ in range(ROUNDS):
+        sizes = now.groupBy("cell").agg(F.count("*").alias("n"))
+        wanted = F.least(F.lit(256), F.ceil(F.col("n") * 2 / cell_size))
+        big = table(sizes.where(F.col("n") > cell_size).select("cell", "n", wanted.alias("wanted")), "big-cells")
+        if big.isEmpty():
+            break
+        done.append(now.join(big, "cell", "left_anti"))
+        rest = now.join(big, "cell")
+        # pivots: about ``wanted`` nodes of a cell, by a hash
+        chosen = rest.where(F.pmod(F.xxhash64("node", "cell"), F.ceil(F.col("n") / F.col("wanted"))) == 0).groupBy("cell").agg(F.collect_list("vector").alias("pivots"), F.first("n").alias("n"))
+        slices = F.ceil(F.col("n") / DEAL_ROWS).cast("int")
+        heads = chosen.select("cell", F.explode(F.sequence(F.lit(0), slices - 1)).alias("slice"), "pivots", *[F.lit(None).cast(t).alias(c) for c, t in (("node", "long"), ("vector", "array<double>"), ("copies", "long"), ("home", "boolean"))])
+        members = rest.select("cell", F.pmod(F.xxhash64("node"), slices).alias("slice"), F.lit(None).cast("array<array<double>>").alias("pivots"), "node", "vector", "copies", "home")
+        rows = heads.unionByName(members).repartition("cell", "slice").sortWithinPartitions("cell", "slice", F.col("pivots").isNull())
+        dealt = table(rows.mapInArrow(_deal(float(np.sqrt(2 - 2 * least)), sigmas), CELLS), "cells")
+        # cells as large as what they came from are not worth another round
+        largest, was = dealt.groupBy("cell").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0], big.agg(F.max("n")).first()[0]
+        if largest * 3 > was * 2:
+            done.append(rest.select("cell", "node", "vector", "copies", "home"))
+            now = now.limit(0)
+            break
+        now = dealt
+    for part in done:
+        now = now.unionByName(part)
+    return now
+
+
+def linked(nodes: DataFrame, *, least: float, cell_size: int, beam: int, sigmas: float | None) -> DataFrame:
+    """node, n_links (copies of others) and root: for each node with a link, and for each that a cell ties to one."""
+    cells = table(cells_of(nodes, least=least, cell_size=cell_size, sigmas=sigmas), "dealt")
+    # a cell above twice its size is dealt over slices, and each of its queries is sent to all of them
+    slices = cells.groupBy("cell").agg(F.ceil(F.count("*") / (2 * cell_size)).cast("int").alias("slices"))
+    own = F.pmod(F.xxhash64("node"), F.col("slices")).cast("int")
+    every = F.sequence(F.lit(0), F.col("slices") - 1)
+    as_member = F.transform(every, lambda i: F.struct(own.alias("held"), i.alias("asking"), F.lit(True).alias("is_member"), (F.col("home") & (i == own)).alias("is_query")))
+    as_query = F.transform(F.filter(every, lambda i: F.col("home") & (i != own)), lambda i: F.struct(i.alias("held"), own.alias("asking"), F.lit(False).alias("is_member"), F.lit(True).alias("is_query")))
+    sent = cells.join(slices, "cell").select("cell", "node", "vector", "copies", F.explode(F.concat(as_member, as_query)).alias("s")).select("cell", "node", "vector", "copies", "s.*")
+    return table(sent.groupBy("cell", "held", "asking").applyInArrow(_search(least, beam), FOUND), "found")
 
-    def run(batches):
+
+def _audit(queries: dict[str, tuple[np.ndarray, np.ndarray]], least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            groups, vectors = batch.column("part").to_pylist(), batch.column("vector").to_pylist()
-            shards: list[list[int]] = []
-            for g, v in zip(groups, vectors, strict=True):
-                dots = pivots[g] @ np.array(v) if g in pivots else np.zeros(1)
-                order = np.argsort(-dots, kind="stable")
-                shards.append(order[dots[order] >= dots[order[0]] - margin].tolist())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(shards, pa.list_(pa.int64()))], names=[*batch.schema.names, "shards"])
+            part = np.array(batch.column("part").to_pylist(), object)
+            node, copies = batch.column("node").to_numpy(), batch.column("copies").to_numpy()
+            for p in set(part.tolist()) & set(queries):
+                ids, q = queries[p]
+                rows = np.flatnonzero(part == p)
+                x = batch.column("vector").take(pa.array(rows)).flatten().to_numpy().reshape(len(rows), -1)
+                count = ((q @ x.T >= least) & (ids[:, None] != node[rows][None, :])) @ copies[rows]
+                hit = np.flatnonzero(count)
+                yield pa.record_batch([pa.array(ids[hit]), pa.array(count[hit])], names=["node", "true_links"])
 
     return run
 
 
-def vector_duplicates(vectors: DataFrame, *, least: float = 0.98, shard_size: int = 1000, slice_size: int = 4000, margin: float = 0.12, beam: int = 48, audits: int = 16) -> DataFrame:
+def audited(nodes: DataFrame, *, least: float, audits: int) -> DataFrame:
+    """node and true_links, for ``audits`` nodes by a hash: their links among all nodes of their label, by brute force."""
+    sample = nodes.orderBy(F.xxhash64("node", F.lit("audit"))).limit(audits).select("node", "part", "vector").collect()
+    by_part: dict[str, list] = {}
+    for r in sample:
+        by_part.setdefault(r["part"], []).append((r["node"], r["vector"]))
+    queries = {p: (np.array([n for n, _ in rows], np.int64), np.array([v for _, v in rows], float)) for p, rows in by_part.items()}
+    counts = nodes.select("node", "part", "vector", "copies").mapInArrow(_audit(queries, least), "node long, true_links long").groupBy("node").agg(F.sum("true_links").alias("true_links"))
+    asked = nodes.sparkSession.createDataFrame([(r["node"],) for r in sample], "node long")
+    return table(asked.join(counts, "node", "left").select("node", F.coalesce("true_links", F.lit(0)).alias("true_links")), "audit")
+
+
+def recall(found: DataFrame, audit: DataFrame) -> float:
+    """Share of the audited nodes' links that the search found; 1 where they have none."""
+    got = audit.join(found.groupBy("node").agg(F.sum("n_links").alias("n_links")), "node", "left")
+    there, seen = got.agg(F.sum("true_links"), F.sum(F.least("true_links", F.coalesce("n_links", F.lit(0))))).first()
+    return seen / there if there else 1.0
+
+
+def vector_duplicates(vectors: DataFrame, *, least: float = 0.98, cell_size: int = 4000, sigmas: float = 4.0, beam: int = 6, audits: int = 256, enough: float = 0.99) -> DataFrame:
     """vec_id, n_links, component_id, kept and audited_links, a row per row of vectors (vec_id, embedding, label).
 
     Links join vectors of one label and length with a cosine of ``least`` or more. Null labels, and vectors that
     are null, empty, zero or hold null or non-finite components, link with nothing. n_links counts the other
     rows linked, copies of the vector included; component_id is the smallest vec_id reachable; repeated rows are
     copies of each other; a null vec_id is never the smallest unless alone; audited_links is the count by
-    brute force over the home shard where a row was audited; an empty table gives no rows; other columns are
-    ignored.
+    brute force over all vectors of the label for ``audits`` vectors, and null for others; an empty table gives
+    no rows; other columns are ignored. Where the audit finds less than ``enough`` of their links, all is
+    searched again with the widest overlap of cells and a wider beam.
     """
-    spark = vectors.sparkSession
     base = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"), F.col("label"))
     finite = F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
+    ok = F.col("label").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0) & finite
     # scaled by the largest component first, so that squares neither overflow nor vanish
-    top = F.aggregate("v", F.lit(0.0), lambda a, c: F.greatest(a, F.abs(c)))
-    ok = F.col("label").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0)
-    rows = base.withColumn("top", F.when(ok & finite, top)).withColumn("v", F.when(F.col("top") > 0, F.transform("v", lambda c: c / F.col("top"))))
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, c: a + c * c))
-    rows = rows.withColumn("norm", norm).withColumn("vector", F.transform("v", lambda c: c / F.col("norm")))
+    scaled = bound(F.array_max(F.transform("v", F.abs)), lambda top: F.when(top > 0, F.transform("v", lambda c: c / top)))
+    unit = bound(scaled, lambda u: bound(F.sqrt(F.aggregate(u, F.lit(0.0), lambda a, c: a + c * c)), lambda norm: F.transform(u, lambda c: c / norm)))
+    rows = base.select("vec_id", "label", F.when(ok, unit).alias("vector"))
     part = F.concat_ws("/", F.col("label").cast("string"), F.size("vector").cast("string"))
     rows = rows.select("vec_id", "vector", F.when(F.col("vector").isNotNull(), part).alias("part"))
     rows = table(rows.withColumn("node", F.when(F.col("vector").isNotNull(), F.xxhash64("part", "vector"))), "vectors")
     nodes = table(rows.where("node IS NOT NULL").groupBy("node", "part", "vector").agg(F.count("*").alias("copies")), "nodes")
 
-    sizes = nodes.groupBy("part").agg(F.count("*").alias("n"))
-    # one pivot for shard_size nodes, chosen by a hash
-    chosen = nodes.join(sizes, "part").where(F.pmod(F.xxhash64("node", F.lit("pivot")), F.lit(shard_size)) == 0).where(F.col("n") > shard_size).select("part", "vector")
-    chosen = table(chosen, "pivots")
-    width = nodes.agg(F.max(F.size("vector"))).first()[0] or 1
-    if chosen.count() * 8 * width > BROADCAST_BYTES:
-        raise ValueError("raise shard_size: the pivots do not fit a broadcast")
-    pivots: dict[str, list] = {}
-    for p, v in chosen.orderBy("part", F.xxhash64("vector")).collect():
-        pivots.setdefault(p, []).append(v)
-    dealt = nodes.mapInArrow(_deal({p: np.array(v) for p, v in pivots.items()}, margin), "node long, part string, vector array<double>, copies long, shards array<long>")
-    dealt = table(dealt, "dealt")
-    members = dealt.select("part", F.explode("shards").alias("shard"), "node", "vector", "copies")
-    slices = members.groupBy("part", "shard").agg(F.ceil(F.count("*") / slice_size).cast("int").alias("slices"))
-    slices = table(slices, "slices")
-    every, mine = F.explode(F.sequence(F.lit(0), F.col("slices") - 1)), F.pmod(F.xxhash64("node"), F.col("slices")).cast("int")
-    kept = ["part", "shard", "node", "vector", "copies"]
-    members = members.join(F.broadcast(slices), ["part", "shard"]).select(*kept, mine.alias("held"), every.alias("asking"), F.lit(False).alias("is_query"))
-    asked = dealt.select("part", F.get("shards", F.lit(0)).alias("shard"), "node", "vector", "copies")
-    asked = asked.join(F.broadcast(slices), ["part", "shard"]).select(*kept, every.alias("held"), mine.alias("asking"), F.lit(True).alias("is_query"))
-    both = members.unionByName(asked)
-    found = table(both.groupBy("part", "shard", "held", "asking").applyInArrow(_search(least, beam, audits), FOUND), "found")
-
-    counts = found.groupBy("node").agg(F.sum("n_links").alias("n_links"), F.sum("audited_links").alias("audited_links"))
+    found = linked(nodes, least=least, cell_size=cell_size, beam=beam, sigmas=sigmas)
+    audit = audited(nodes, least=least, audits=audits)
+    if recall(found, audit) < enough:
+        found = linked(nodes, least=least, cell_size=cell_size, beam=8 * beam, sigmas=None)
+
+    counts = found.groupBy("node").agg(F.sum("n_links").alias("n_links"))
     labels = components(found.select(F.col("node").alias("u"), F.col("root").alias("v")))
-    out = rows.drop("vector").join(nodes.select("node", "copies"), "node", "left").join(counts, "node", "left").join(labels, "node", "left")
+    out = rows.drop("vector").join(nodes.select("node", "copies"), "node", "left").join(counts, "node", "left").join(labels, "node", "left").join(audit, "node", "left")
     out = table(out.withColumn("component", F.coalesce("component", "node")), "linked")
     smallest = out.where("component IS NOT NULL").groupBy("component").agg(F.min("vec_id").alias("smallest"))
     out = out.join(smallest, "component", "left")
     component = F.when(F.col("component").isNull(), F.col("vec_id")).otherwise(F.col("smallest"))
-    out = out.select("vec_id", F.coalesce(F.col("n_links") + F.col("copies") - 1, F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("audited_links") + F.col("copies") - 1).alias("audited_links"))
+    n_links = F.coalesce(F.coalesce("n_links", F.lit(0)) + F.col("copies") - 1, F.lit(0)).cast("long")
+    out = out.select("vec_id", n_links.alias("n_links"), component.alias("component_id"), (F.col("true_links") + F.col("copies") - 1).alias("audited_links"))
     return out.select("vec_id", "n_links", "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"), "audited_links")
 
 
