@@ -17,6 +17,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +26,7 @@ from pyspark.sql import functions as F
 
 from tobflow.llm.common import documents, keyed, new_path, table
 from tobflow.llm.encoding import encoder as shared_encoder
+from tobflow.llm.encoding import slices
 from tobflow.llm.near_dup import mix
 
 U = np.uint64
@@ -94,11 +96,10 @@ def cuts(ids: np.ndarray) -> list[int]:
 
 def _spool(path: str | None, end_id: int, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, seen = shared_encoder(path or default_tokenizer(), True), set()
+        encoder, seen = shared_encoder(path or default_tokenizer()), set()
         chunk = pa.list_(pa.struct([("digest", pa.binary()), ("ids", pa.binary())]))
         for whole in batches:
-            for at in range(0, whole.num_rows, 1024):
-                batch = whole.slice(at, 1024)
+            for batch in slices(whole, "text", 2048):
                 flat, counts = encoder.encode(batch.column("text"))
                 if len(flat) and max(int(flat.max()), end_id) >> (8 * width):
                     raise ValueError(f"ids do not fit {width} bytes")
@@ -213,6 +214,7 @@ def write_store(docs: DataFrame, *, tokenizer: str | None = None, end_id: int =
     return TokenStore(spark, path, width)
 
 
+@cache
 def _zeros_table(power: int) -> np.ndarray:
     """4 x 256 table of what 2 ** power zero bytes do to a CRC-32, by its bytes."""
     one = np.array([zlib.crc32(b"\0", 1 << i) ^ zlib.crc32(b"\0", 0) for i in range(32)], np.uint32)
