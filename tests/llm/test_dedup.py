@@ -1,5 +1,7 @@
 """Line, near-duplicate, substring and vector dedup against brute force."""
 
+import uuid
+
 import corpus_pipeline
 import numpy as np
 import pytest
@@ -103,13 +105,49 @@ def test_a_star_hides_no_link(spark):
     assert rows_of(nd.near_duplicates(table, shingle=4), *NEAR) == near_dup(rows)
 
 
-def test_a_rare_shingle_beyond_a_partners_list_hides_no_link(spark):
-    """85 of 105 shingles are shared: A lists its own 15 and c1 to c6, B lists c1 to c19; only c1 to c6 are held by many."""
-    shared = list(range(100, 119))
-    rows = [(0, 1, 1, 100, [*range(15), *shared[:6]]), (0, 2, 2, 90, shared)]
-    rows += [(0, n, n, 300, [*shared[:6], *range(n * 1000, n * 1000 + 40)]) for n in range(3, 21)]
-    members = spark.createDataFrame(rows, "hub long, node long, component long, n_node long, outside array<long>")
-    assert (2, 1) in rows_of(nd._across(members, 80), "node", "hub")
+def test_a_crowd_around_a_missing_original(spark):
+    """Many variants of a text that is not there itself: some are linked, some only through others, some not at all."""
+    rng, rows = np.random.default_rng(8), []
+    for family, size in enumerate((150, 400)):
+        base = [f"f{family}w{i}" for i in range(size)]
+        for i in range(120):
+            words = list(base)
+            for at in rng.integers(0, size, int(rng.integers(size // 100, size // 20))):
+                words[at] = f"x{rng.integers(0, 9)}" if i % 3 else f"own{i}-{at}"
+            rows.append((len(rows), " ".join(words[: size - int(rng.integers(0, size // 12))])))
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    assert rows_of(nd.op4_near_dup(spark, _documents(table)), *NEAR) == near_dup(rows)
+
+
+def _documents(table):
+    path = f"{table.sparkSession.conf.get('spark.checkpoint.dir')}/{uuid.uuid4().hex}"
+    table.write.parquet(f"{path}/documents.parquet")
+    return path
+
+
+@pytest.mark.parametrize("n_hub", [80, 100, 125])
+def test_linked_pairs_of_different_components_share_early_differences(spark, n_hub):
+    """Random sets around one hub: every pair at 0.8 of which one is not linked with the hub is found."""
+    rng = np.random.default_rng(n_hub)
+    hub, crowd = set(range(n_hub)), list(range(1000, 1040))
+    sets = []
+    for _ in range(90):
+        start = set(sets[rng.integers(0, len(sets))]) if sets and rng.random() < 0.7 else set(hub)
+        drop = rng.choice(sorted(start), int(rng.integers(0, 14)), replace=False)
+        start = (start - set(drop.tolist())) | set(rng.choice(crowd, int(rng.integers(0, 9))).tolist()) | {2000 + int(x) for x in rng.integers(0, 400, int(rng.integers(0, 5)))}
+        sets.append(start)
+    linked = lambda a, b: 100 * len(a & b) >= 80 * len(a | b)
+    sets.append(hub)
+    rows = [(0, i, len(x), sorted(x ^ hub)) for i, x in enumerate(sets)]
+    near = nd._centred(spark.createDataFrame(rows, "hub long, node long, n_node long, differ array<long>"), 80)
+    nearest, sure = near.first()["nearest"], {r["node"] for r in near.where("score <= reach").collect()} - {near.first()["nearest"]}
+    assert all(linked(sets[i], sets[nearest]) for i in sure)
+    # components of their own, but for those sure to be linked
+    inside = sure | {nearest} if sure else {nearest}
+    members = near.withColumn("inside", F.col("node").isin(list(inside))).withColumn("component", F.when(F.col("inside"), -1).otherwise(F.col("node")))
+    want = {(i, j) for i in range(len(sets)) for j in range(i) if linked(sets[i], sets[j]) and not {i, j} <= inside}
+    got = {tuple(r) for r in nd._across(members, 80).select("node", "hub").collect()}
+    assert len(want) > 30 and want <= got
 
 
 def test_densified_sketches_agree_as_often_as_sets_overlap():

@@ -2,10 +2,11 @@
 
 Documents with equal shingle sets form one node. Within a bucket every node is a candidate only of the bucket's
 hub, the node that shares most buckets with most rows, so candidates grow with the bucket, not with its square.
-Candidates are confirmed on the full shingle sets. Buckets that still hold nodes of several components then give
-the pairs across components that can still reach the similarity, and these are confirmed too, so a star never
-hides a link that would join two components. Such a pair either shares a rare shingle outside its hub's set, or
-has no more in common than the smaller set without its rare shingles (see _across).
+A node is first measured, on the full shingle sets, against the hub of the most reach alone. Where a hub's members
+then still belong to several components, all are measured against it, and their differences taken from a centre,
+which need not be a text: the hub, but for the shingles that most members have otherwise. Any two members near enough to the centre are linked, and the nearest one links them all; any other two
+can only be linked if they differ from the centre in the same shingles (see _across). Such pairs are found by these
+shingles and confirmed too, so a star never hides a link that joins two components.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tobflow.llm.common import BROADCAST_BYTES, documents, keyed, table
+from tobflow.llm.common import BROADCAST_BYTES, documents, drop_tables, keyed, table
 from tobflow.llm.graph import components
 
 U = np.uint64
@@ -124,10 +125,10 @@ def _sets(k: int):
     return run
 
 
-MEASURED = "node long, hub long, n_node long, n_hub long, n_common long, outside array<long>"
+MEASURED = "node long, hub long, n_node long, n_hub long, n_common long, differ array<long>"
 
 
-def _measure(percent: int):
+def _measure(differences: bool):
     """Rows sorted by hub and slice, the hub's own set first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,52 +141,90 @@ def _measure(percent: int):
                     hub, own = h, x
                     continue
                 assert hub == h, "a hub's set comes before its members"
-                outside = np.setdiff1d(x, own, assume_unique=True)
-                rows.append((node, h, len(x), len(own), len(x) - len(outside), outside[: (100 - percent) * len(x) // 100 + 1].view(np.int64)))
+                differ = np.setxor1d(x, own, assume_unique=True)
+                rows.append((node, h, len(x), len(own), (len(x) + len(own) - len(differ)) // 2, (differ if differences else differ[:0]).view(np.int64)))
             columns = list(zip(*rows, strict=True)) or [()] * 6
             kinds = [pa.int64()] * 5 + [pa.list_(pa.int64())]
-            yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["node", "hub", "n_node", "n_hub", "n_common", "outside"])
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["node", "hub", "n_node", "n_hub", "n_common", "differ"])
 
     return run
 
 
-def compared(pairs: DataFrame, sets: DataFrame, percent: int, slice_size: int = 256) -> DataFrame:
-    """The pairs (node, hub) with the sizes of their full sets and of their intersection, and least shingles outside the hub.
+def compared(pairs: DataFrame, sets: DataFrame, *, differences: bool = False, slice_size: int = 256) -> DataFrame:
+    """The pairs (node, hub) with the sizes of their full sets and of their intersection, and, if asked for, the shingles that only one of them holds.
 
-    A hub's members are dealt over slices of about slice_size, each of which gets the hub's set once.
+    A hub's members are dealt over slices of about slice_size, each of which gets the hub's set once. pairs: a table,
+    which is sent to the sets where its counted size allows, so that only pairs' sets are shuffled.
     """
+    small = F.broadcast if pairs.count() * 32 <= BROADCAST_BYTES else lambda df: df
     slices = pairs.groupBy("hub").agg(F.ceil(F.count("*") / slice_size).cast("int").alias("slices"))
     members = pairs.join(slices, "hub").select("hub", "node", F.pmod(F.xxhash64("node"), F.col("slices")).cast("int").alias("slice"))
-    members = members.join(sets, "node").select("hub", "slice", "node", "shingles")
-    hubs = slices.join(sets.withColumnRenamed("node", "hub"), "hub")
+    members = sets.join(small(members), "node").select("hub", "slice", "node", "shingles")
+    hubs = sets.withColumnRenamed("node", "hub").join(small(slices), "hub")
     hubs = hubs.select("hub", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), F.col("hub").alias("node"), "shingles")
     rows = members.unionByName(hubs).repartition("hub", "slice").sortWithinPartitions("hub", "slice", F.col("node") != F.col("hub"))
-    return rows.select("hub", "node", "shingles").mapInArrow(_measure(percent), MEASURED)
+    return rows.select("hub", "node", "shingles").mapInArrow(_measure(differences), MEASURED)
 
 
-def _across(members: DataFrame, percent: int, common: int = 16) -> DataFrame:
-    """Pairs (node, hub) of different components under one hub that may reach the similarity.
+def is_link(percent: int):
+    return F.col("n_common") * 100 >= (F.col("n_node") + F.col("n_hub") - F.col("n_common")) * percent
 
-    A set of n shingles may lack (100 - percent) % of them in a partner, so if the two share any shingle outside
-    the hub, the least they share is among the least so many, plus one, of both sets (``outside``). A shingle
-    that at most ``common`` members list there is rare. Pairs sharing a listed rare one are joined on it. In any
-    other pair the least shared one is listed by both and not rare, so neither shares the rare ones that come
-    before the first one of its list that is not. Rare ones behind that may be in the partner beyond its list,
-    and are not subtracted.
+
+def _common(members: DataFrame, share: int, least: int = 16) -> DataFrame:
+    """(hub, common): of each hub, the differences that more than ``least`` of its members and one in ``share`` have; no more than ``share`` times as many as a member has."""
+    counts = members.select("hub", F.explode("differ").alias("shingle")).groupBy("hub", "shingle").agg(F.count("*").alias("holders"))
+    sizes = members.groupBy("hub").agg(F.count("*").alias("members"))
+    return counts.where(F.col("holders") > least).join(sizes, "hub").where(F.col("holders") * share > F.col("members")).groupBy("hub").agg(F.collect_list("shingle").alias("common"))
+
+
+def _centred(members: DataFrame, percent: int) -> DataFrame:
+    """hub, node, n_node, differ, score, nearest and reach of members (hub, node, n_node, differ), by a centre of each hub.
+
+    The centre is the hub's set with the differences that more than half of the members have taken over, and
+    ``differ`` are those from the centre. With |D| of them and n shingles, score = (100 + percent) |D| - (100 -
+    percent) n. Two sets differ in |Da| + |Db| - 2 |Da and Db| shingles and are linked just if these are at most
+    (100 - percent) / (100 + percent) of na + nb, that is if both scores together are at most
+    2 (100 + percent) |Da and Db|. ``nearest`` has the least score, -``reach``. A pair of scores that add up to 0 or
+    less is linked, and then each is linked with the nearest.
+    """
+    both = members.join(_common(members, 2), "hub", "left")
+    differ = F.when(F.col("common").isNull(), F.col("differ")).otherwise(F.concat(F.array_except("differ", "common"), F.array_except("common", "differ")))
+    scored = both.select("hub", "node", "n_node", differ.alias("differ")).withColumn("score", F.size("differ") * (100 + percent) - F.col("n_node") * (100 - percent))
+    scored = table(scored, "scored")
+    nearest = scored.groupBy("hub").agg(F.min(F.struct("score", "node")).alias("x")).select("hub", F.col("x.node").alias("nearest"), (-F.col("x.score")).alias("reach"))
+    return scored.join(nearest, "hub")
+
+
+def _across(members: DataFrame, percent: int) -> DataFrame:
+    """Pairs (node, hub) of different components that may reach the similarity; members as _centred gives them, with ``component`` and ``inside``, whether that is the nearest one's.
+
+    One of a pair, b, is not inside, so it is not linked with the nearest: its score is over ``reach``, and a linked
+    pair shares more than (score of a + reach) / 2 (100 + percent) of Da. Where a is not inside either, its partner may
+    be, with a score of -reach at least: then it shares (score of a - reach) / 2 (100 + percent) or more. In either case
+    one at least, and no less than |Da| - (100 - percent) / (100 + percent) of na + nb, as Db is no smaller than Da
+    less what they differ in. In any order of all shingles, the first that a pair shares is among so many first ones
+    of both that only as many as must be shared, less one, come behind them. The order used puts common ones last.
     """
-    listed = members.select("hub", "node", "component", "n_node", F.posexplode("outside").alias("at", "shingle"))
-    counts = listed.groupBy("hub", "shingle").agg(F.count("*").alias("holders"))
-    counted = table(listed.join(counts, ["hub", "shingle"]), "listed")
-    rare = counted.where(F.col("holders") <= common)
-    differ = [F.col("a.hub") == F.col("b.hub"), F.col("a.component") < F.col("b.component"), F.col("a.n_node") * 100 >= F.col("b.n_node") * percent, F.col("b.n_node") * 100 >= F.col("a.n_node") * percent]
-    shared = rare.where("holders > 1")
-    by_rare = shared.alias("a").join(shared.alias("b"), [F.col("a.shingle") == F.col("b.shingle"), *differ])
-    first = counted.where(F.col("holders") > common).groupBy("hub", "node").agg(F.min("at").alias("first"))
-    rest = members.join(first, ["hub", "node"], "left").withColumn("rest", F.col("n_node") - F.coalesce("first", F.size("outside"))).drop("outside", "first")
-    rest = table(rest.where(F.col("rest") * 100 >= F.col("n_node") * percent), "rest")
-    by_rest = rest.alias("a").join(rest.alias("b"), [*differ, F.least("a.rest", "b.rest") * (100 + percent) >= (F.col("a.n_node") + F.col("b.n_node")) * percent])
-    pair = [F.greatest("a.node", "b.node").alias("node"), F.least("a.node", "b.node").alias("hub")]
-    return by_rest.select(*pair).union(by_rare.select(*pair)).distinct()
+    size, twice = F.size("differ"), 2 * (100 + percent)
+    upper = lambda x: F.greatest(F.lit(1), F.ceil(x)).cast("int")
+    with_outside = upper((F.col("score") + F.col("reach") + 1) / twice)
+    longest = F.floor(F.col("n_node") * 100 / percent)
+    with_any = F.greatest(upper((F.col("score") - F.col("reach")) / twice), (size - F.floor((F.col("n_node") + longest) * (100 - percent) / (100 + percent))).cast("int"))
+    ordered = F.when(F.col("common").isNull(), F.col("differ")).otherwise(F.concat(F.array_except("differ", "common"), F.array_intersect("differ", "common")))
+    lists = members.join(_common(members, 64), "hub", "left").withColumn("ordered", ordered)
+    lists = lists.withColumn("short", F.greatest(F.lit(0), size - with_outside + 1))
+    lists = lists.withColumn("long", F.when(F.col("inside"), F.col("short")).otherwise(F.greatest("short", size - with_any + 1))).where("long > 0")
+    rows = lists.select("hub", "node", "component", "n_node", "inside", "short", F.posexplode(F.slice("ordered", F.lit(1), F.col("long"))).alias("at", "shingle"))
+    rows = table(rows.select("hub", "shingle", "node", "component", "n_node", "inside", (F.col("at") < F.col("short")).alias("early")), "listed")
+    same = [F.col("a.hub") == F.col("b.hub"), F.col("a.shingle") == F.col("b.shingle"), F.col("a.component") != F.col("b.component")]
+    sizes = [F.col("a.n_node") * 100 >= F.col("b.n_node") * percent, F.col("b.n_node") * 100 >= F.col("a.n_node") * percent]
+    # an inside one is listed early only; of two outside ones both are looked up early
+    kinds = F.col("a.inside") | (F.col("b.early") & (F.col("a.node") < F.col("b.node")))
+    found = rows.where("early").alias("a").join(rows.where("NOT inside").alias("b"), [*same, *sizes, kinds])
+    pairs = found.select(F.greatest("a.node", "b.node").alias("node"), F.least("a.node", "b.node").alias("hub"))
+    out = table(pairs.distinct(), "across")
+    drop_tables(rows)
+    return out
 
 
 def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, bands: int = 46, rows: int = 6, with_hash: bool = False) -> DataFrame:
@@ -199,15 +238,17 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, ban
     """
     base = keyed(docs)
     source = base.select("doc_id", "row_hash", F.col("text").cast("binary").alias("bytes"))
-    found = table(source.mapInArrow(_sketches(shingle, bands, rows), "doc_id long, row_hash long, n_shingles long, node long, keys array<long>"), "sketches")
-    exploded = found.where("n_shingles > 0").select("node", F.explode("keys").alias("key"))
+    sketches = table(source.mapInArrow(_sketches(shingle, bands, rows), "doc_id long, row_hash long, n_shingles long, node long, keys array<long>"), "sketches")
+    exploded = sketches.where("n_shingles > 0").select("node", F.explode("keys").alias("key"))
     sizes = exploded.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("size")).where("low <> high")
     shared = table(exploded.join(sizes.select("key", "size"), "key").distinct(), "buckets")
+    # the keys are most of the sketches, and few of them are shared
+    found = table(sketches.drop("keys"), "nodes")
+    drop_tables(sketches)
     reach = shared.groupBy("node").agg(F.sum("size").alias("reach"))
-    ranked = table(shared.join(reach, "node"), "ranked")
-    hubs = ranked.groupBy("key").agg(F.max(F.struct("reach", "node"))["node"].alias("hub"))
-    starred = table(ranked.join(hubs, "key").select("key", "node", "hub"), "stars")
-    pairs = table(starred.where("node <> hub").select("node", "hub").distinct(), "pairs")
+    hubs = shared.join(reach, "node").groupBy("key").agg(F.max(F.struct("reach", "node")).alias("hub"))
+    starred = table(shared.join(hubs, "key").select("key", "node", "hub.reach", F.col("hub.node").alias("hub")), "stars")
+    drop_tables(shared)
 
     # a node's set comes from one of its texts; rows that repeat this one would bring it again
     members = found.join(starred.select("node").distinct(), "node", "left_semi").groupBy("node", "doc_id", "row_hash").agg(F.count("*").alias("copies"))
@@ -221,21 +262,32 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, ban
     texts = texts.select("node", "bytes")
     sets = table(texts.mapInArrow(_sets(shingle), "node long, shingles binary"), "sets")
 
-    linked = F.col("n_common") * 100 >= (F.col("n_node") + F.col("n_hub") - F.col("n_common")) * percent
-    measured = table(compared(pairs, sets, percent), "measured")
-    labels = components(measured.where(linked).select(F.col("node").alias("u"), F.col("hub").alias("v")))
+    as_edges = lambda df: df.where(is_link(percent)).select(F.col("node").alias("u"), F.col("hub").alias("v"))
+    best = starred.groupBy("node").agg(F.max(F.struct("reach", "hub"))["hub"].alias("hub")).where("node <> hub")
+    first = table(as_edges(compared(table(best, "pairs"), sets)), "links")
+    labels = table(components(first), "labels")
     placed = starred.join(labels, "node", "left").select("key", "node", "hub", F.coalesce("component", "node").alias("component"))
-    mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
-    # pairs with the hub itself have been measured, so only its members are open
-    still = placed.join(mixed, "key").where("node <> hub").select("node", "hub", "component").distinct()
-    across = table(_across(table(still.join(measured, ["node", "hub"]).select("hub", "node", "component", "n_node", "outside"), "open"), percent), "across")
-    more = table(compared(across, sets, percent).where(linked).select(F.col("node").alias("u"), F.col("hub").alias("v")), "links")
+    mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.first("hub").alias("hub")).where("low <> high").select("hub").distinct()
+    # the hubs of buckets that hold several components, with all nodes of all their buckets
+    still = table(starred.select("hub", "node").where("node <> hub").distinct().join(mixed, "hub", "left_semi"), "still")
+    drop_tables(starred)
+    again = table(compared(still, sets, differences=True), "again")
+    centres = again.groupBy("hub").agg(F.first("n_hub").alias("n_node")).select("hub", F.col("hub").alias("node"), "n_node", F.array().cast("array<long>").alias("differ"))
+    near = table(_centred(again.select("hub", "node", "n_node", "differ").union(centres), percent), "near")
+    sure = near.where("score <= reach AND node <> nearest").select(F.col("node").alias("u"), F.col("nearest").alias("v"))
+    links = table(first.union(as_edges(again)).union(sure), "links")
+    labels = table(components(links), "labels")
+    parts = near.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    home = parts.where("node = nearest").select("hub", F.col("component").alias("home"))
+    across = _across(parts.join(home, "hub").withColumn("inside", F.col("component") == F.col("home")), percent)
+    more = table(as_edges(compared(across, sets)), "links")
     if not more.isEmpty():
-        labels = components(labels.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more))
+        labels = components(links.union(more))
+    drop_tables(again, near, still, sets, across)
 
     nodes = found.join(labels, "node", "left").select("doc_id", "row_hash", "n_shingles", F.coalesce("component", "node").alias("component"))
-    least = nodes.where("component IS NOT NULL").groupBy("component").agg(F.min("doc_id").alias("least"), F.min("row_hash").alias("least_hash"))
-    # every row of a component needs its least doc_id: a join, so that a hot component can be split
+    least = table(nodes.where("component IS NOT NULL").groupBy("component").agg(F.min("doc_id").alias("least"), F.min("row_hash").alias("least_hash")), "least")
+    # every row of a component needs its least doc_id: a join of two tables, so that Spark can split a hot component
     component_id = F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("least"))
     nameless = F.col("component").isNotNull() & F.col("least").isNull()
     kept = F.when(nameless, F.col("row_hash") == F.col("least_hash")).otherwise(F.col("doc_id").eqNullSafe(component_id))
