@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -17,10 +18,16 @@ ARROW_BYTES = 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or the checkpoint folder that the session was given."""
+    """The folder all executors share: spark.checkpoint.dir, or, where that is unset (a local session), one of our own.
+
+    A session on a cluster that names no such folder is refused: executors would not see ours.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tobflow-"))
+        path = spark.sparkContext.getCheckpointDir()
     return path.rstrip("/")
 
 
