@@ -115,32 +115,22 @@ def _sketches(k: int, bands: int, rows: int):
     return run
 
 
-def _sets(k: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _WordHashes()
-        for batch in batches:
-            sets = [shingle_set(text, k, words).tobytes() for text in batch.column("bytes").to_pylist()]
-            yield pa.record_batch([batch.column("node"), pa.array(sets, pa.binary())], names=["node", "shingles"])
-
-    return run
-
-
 MEASURED = "node long, hub long, n_node long, n_hub long, n_common long, differ array<long>"
 
 
-def _measure(differences: bool):
-    """Rows sorted by hub and slice, the hub's own set first."""
+def _measure(k: int, differences: bool):
+    """Rows sorted by hub and slice, the hub's own text first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hub, own = None, None
+        hub, own, words = None, None, _WordHashes()
         for batch in batches:
             rows: list[tuple] = []
-            for h, node, raw in zip(batch.column("hub").to_pylist(), batch.column("node").to_pylist(), batch.column("shingles").to_pylist(), strict=True):
-                x = np.frombuffer(raw, np.uint64)
+            for h, node, text in zip(batch.column("hub").to_pylist(), batch.column("node").to_pylist(), batch.column("bytes").to_pylist(), strict=True):
+                x = shingle_set(text, k, words)
                 if node == h:
                     hub, own = h, x
                     continue
-                assert hub == h, "a hub's set comes before its members"
+                assert hub == h, "a hub's text comes before its members"
                 differ = np.setxor1d(x, own, assume_unique=True)
                 rows.append((node, h, len(x), len(own), (len(x) + len(own) - len(differ)) // 2, (differ if differences else differ[:0]).view(np.int64)))
             columns = list(zip(*rows, strict=True)) or [()] * 6
@@ -150,20 +140,21 @@ def _measure(differences: bool):
     return run
 
 
-def compared(pairs: DataFrame, sets: DataFrame, *, differences: bool = False, slice_size: int = 256) -> DataFrame:
-    """The pairs (node, hub) with the sizes of their full sets and of their intersection, and, if asked for, the shingles that only one of them holds.
+def compared(pairs: DataFrame, texts: DataFrame, k: int, *, differences: bool = False, slice_size: int = 256) -> DataFrame:
+    """The pairs (node, hub) with the sizes of their full sets of k-word shingles and of their intersection, and, if asked for, the shingles that only one of them holds.
 
-    A hub's members are dealt over slices of about slice_size, each of which gets the hub's set once. pairs: a table,
-    which is sent to the sets where its counted size allows, so that only pairs' sets are shuffled.
+    A hub's members are dealt over slices of about slice_size, each of which gets the hub's text once. Texts are
+    shuffled, not sets: hashes are longer and can't be compressed. pairs: a table, which is sent to the texts where
+    its counted size allows, so that only pairs' texts are shuffled.
     """
     small = F.broadcast if pairs.count() * 32 <= BROADCAST_BYTES else lambda df: df
     slices = pairs.groupBy("hub").agg(F.ceil(F.count("*") / slice_size).cast("int").alias("slices"))
     members = pairs.join(slices, "hub").select("hub", "node", F.pmod(F.xxhash64("node"), F.col("slices")).cast("int").alias("slice"))
-    members = sets.join(small(members), "node").select("hub", "slice", "node", "shingles")
-    hubs = sets.withColumnRenamed("node", "hub").join(small(slices), "hub")
-    hubs = hubs.select("hub", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), F.col("hub").alias("node"), "shingles")
+    members = texts.join(small(members), "node").select("hub", "slice", "node", "bytes")
+    hubs = texts.withColumnRenamed("node", "hub").join(small(slices), "hub")
+    hubs = hubs.select("hub", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), F.col("hub").alias("node"), "bytes")
     rows = members.unionByName(hubs).repartition("hub", "slice").sortWithinPartitions("hub", "slice", F.col("node") != F.col("hub"))
-    return rows.select("hub", "node", "shingles").mapInArrow(_measure(differences), MEASURED)
+    return rows.select("hub", "node", "bytes").mapInArrow(_measure(k, differences), MEASURED)
 
 
 def is_link(percent: int):
@@ -250,7 +241,7 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, ban
     starred = table(shared.join(hubs, "key").select("key", "node", "hub.reach", F.col("hub.node").alias("hub")), "stars")
     drop_tables(shared)
 
-    # a node's set comes from one of its texts; rows that repeat this one would bring it again
+    # a node's set is made from one of its texts; rows that repeat this one would bring it again
     members = found.join(starred.select("node").distinct(), "node", "left_semi").groupBy("node", "doc_id", "row_hash").agg(F.count("*").alias("copies"))
     members = table(members.groupBy("node").agg(F.min(F.struct("doc_id", "row_hash", "copies")).alias("m")).select("node", "m.*"), "members")
     n_members, copies = members.agg(F.count("*"), F.max("copies")).first()
@@ -259,31 +250,33 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, ban
     texts = source.alias("a").join((F.broadcast(members) if bounded else members).alias("b"), same).select("node", "copies", "bytes")
     if (copies or 0) > 1:
         texts = texts.where("copies = 1").unionByName(texts.where("copies > 1").dropDuplicates(["node"]))
-    texts = texts.select("node", "bytes")
-    sets = table(texts.mapInArrow(_sets(shingle), "node long, shingles binary"), "sets")
+    texts = table(texts.select("node", "bytes"), "texts")
 
     as_edges = lambda df: df.where(is_link(percent)).select(F.col("node").alias("u"), F.col("hub").alias("v"))
     best = starred.groupBy("node").agg(F.max(F.struct("reach", "hub"))["hub"].alias("hub")).where("node <> hub")
-    first = table(as_edges(compared(table(best, "pairs"), sets)), "links")
+    first = table(as_edges(compared(table(best, "pairs"), texts, shingle)), "links")
     labels = table(components(first), "labels")
     placed = starred.join(labels, "node", "left").select("key", "node", "hub", F.coalesce("component", "node").alias("component"))
     mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.first("hub").alias("hub")).where("low <> high").select("hub").distinct()
     # the hubs of buckets that hold several components, with all nodes of all their buckets
     still = table(starred.select("hub", "node").where("node <> hub").distinct().join(mixed, "hub", "left_semi"), "still")
     drop_tables(starred)
-    again = table(compared(still, sets, differences=True), "again")
+    again = table(compared(still, texts, shingle, differences=True), "again")
     centres = again.groupBy("hub").agg(F.first("n_hub").alias("n_node")).select("hub", F.col("hub").alias("node"), "n_node", F.array().cast("array<long>").alias("differ"))
-    near = table(_centred(again.select("hub", "node", "n_node", "differ").union(centres), percent), "near")
+    centred = _centred(again.select("hub", "node", "n_node", "differ").union(centres), percent)
+    near = table(centred, "near")
+    drop_tables(centred)
     sure = near.where("score <= reach AND node <> nearest").select(F.col("node").alias("u"), F.col("nearest").alias("v"))
     links = table(first.union(as_edges(again)).union(sure), "links")
+    drop_tables(again, still)
     labels = table(components(links), "labels")
     parts = near.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     home = parts.where("node = nearest").select("hub", F.col("component").alias("home"))
     across = _across(parts.join(home, "hub").withColumn("inside", F.col("component") == F.col("home")), percent)
-    more = table(as_edges(compared(across, sets)), "links")
+    more = table(as_edges(compared(across, texts, shingle)), "links")
     if not more.isEmpty():
         labels = components(links.union(more))
-    drop_tables(again, near, still, sets, across)
+    drop_tables(near, texts, across)
 
     nodes = found.join(labels, "node", "left").select("doc_id", "row_hash", "n_shingles", F.coalesce("component", "node").alias("component"))
     least = table(nodes.where("component IS NOT NULL").groupBy("component").agg(F.min("doc_id").alias("least"), F.min("row_hash").alias("least_hash")), "least")
