@@ -165,7 +165,7 @@ def _common(members: DataFrame, share: int, least: int = 16) -> DataFrame:
     """(hub, common): of each hub, the differences that more than ``least`` of its members and one in ``share`` have; no more than ``share`` times as many as a member has."""
     counts = members.select("hub", F.explode("differ").alias("shingle")).groupBy("hub", "shingle").agg(F.count("*").alias("holders"))
     sizes = members.groupBy("hub").agg(F.count("*").alias("members"))
-    return counts.where(F.col("holders") > least).join(sizes, "hub").where(F.col("holders") * share > F.col("members")).groupBy("hub").agg(F.collect_list("shingle").alias("common"))
+    return counts.where(F.col("holders") > least).join(sizes, "hub").where(F.col("holders") * share > F.col("members")).groupBy("hub").agg(F.array_sort(F.collect_list("shingle")).alias("common"))
 
 
 def _centred(members: DataFrame, percent: int) -> DataFrame:
@@ -195,6 +195,7 @@ def _across(members: DataFrame, percent: int) -> DataFrame:
     one at least, and no less than |Da| - (100 - percent) / (100 + percent) of na + nb, as Db is no smaller than Da
     less what they differ in. In any order of all shingles, the first that a pair shares is among so many first ones
     of both that only as many as must be shared, less one, come behind them. The order used puts common ones last.
+    From there on the pair shares no more than the shorter rest of both lists, and both scores say how many it must.
     """
     size, twice = F.size("differ"), 2 * (100 + percent)
     upper = lambda x: F.greatest(F.lit(1), F.ceil(x)).cast("int")
@@ -205,13 +206,14 @@ def _across(members: DataFrame, percent: int) -> DataFrame:
     lists = members.join(_common(members, 64), "hub", "left").withColumn("ordered", ordered)
     lists = lists.withColumn("short", F.greatest(F.lit(0), size - with_outside + 1))
     lists = lists.withColumn("long", F.when(F.col("inside"), F.col("short")).otherwise(F.greatest("short", size - with_any + 1))).where("long > 0")
-    rows = lists.select("hub", "node", "component", "n_node", "inside", "short", F.posexplode(F.slice("ordered", F.lit(1), F.col("long"))).alias("at", "shingle"))
-    rows = table(rows.select("hub", "shingle", "node", "component", "n_node", "inside", (F.col("at") < F.col("short")).alias("early")), "listed")
+    rows = lists.select("hub", "node", "component", "n_node", "score", "inside", "short", size.alias("size"), F.posexplode(F.slice("ordered", F.lit(1), F.col("long"))).alias("at", "shingle"))
+    rows = table(rows.select("hub", "shingle", "node", "component", "n_node", "score", "inside", (F.col("size") - F.col("at")).alias("rest"), (F.col("at") < F.col("short")).alias("early")), "listed")
     same = [F.col("a.hub") == F.col("b.hub"), F.col("a.shingle") == F.col("b.shingle"), F.col("a.component") != F.col("b.component")]
     sizes = [F.col("a.n_node") * 100 >= F.col("b.n_node") * percent, F.col("b.n_node") * 100 >= F.col("a.n_node") * percent]
+    enough = F.col("a.score") + F.col("b.score") <= F.least("a.rest", "b.rest") * twice
     # an inside one is listed early only; of two outside ones both are looked up early
     kinds = F.col("a.inside") | (F.col("b.early") & (F.col("a.node") < F.col("b.node")))
-    found = rows.where("early").alias("a").join(rows.where("NOT inside").alias("b"), [*same, *sizes, kinds])
+    found = rows.where("early").alias("a").join(rows.where("NOT inside").alias("b"), [*same, *sizes, enough, kinds])
     pairs = found.select(F.greatest("a.node", "b.node").alias("node"), F.least("a.node", "b.node").alias("hub"))
     out = table(pairs.distinct(), "across")
     drop_tables(rows)
