@@ -78,6 +78,17 @@ def test_marginals_by_enumeration():
     assert np.allclose(pairs, expected)
 
 
+def test_calibration_is_at_the_optimum():
+    rng = np.random.default_rng(3)
+    x = np.column_stack([np.ones(400), rng.normal(size=(400, 3))])
+    y = (x @ [-1, 2, 0, -1] + rng.logistic(size=400) > 0).astype(np.int64)
+    for labels in (y, np.zeros_like(y), (x[:, 1] > 0).astype(np.int64)):
+        b = toxicity.calibrate(x, labels)
+        share = np.where(labels == 1, 0.5 / max(1, labels.sum()), 0.5 / max(1, (1 - labels).sum()))
+        assert np.abs(x.T @ (share * (labels - 1 / (1 + np.exp(-x @ b)))) - 1e-4 * b).max() < 1e-9
+    assert not toxicity.calibrate(np.zeros((0, 4)), np.zeros(0, np.int64)).any()
+
+
 def test_spans_are_in_code_points():
     text = "grüß dich du böser kerl".encode()
     spans = toxicity.toxic_spans(text, np.array([0.1, 0.1, 0.9, 0.8, 0.1]), 0.5)
