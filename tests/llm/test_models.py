@@ -89,6 +89,26 @@ def test_calibration_is_at_the_optimum():
     assert not toxicity.calibrate(np.zeros((0, 4)), np.zeros(0, np.int64)).any()
 
 
+def test_evidence_follows_its_rule():
+    rng = np.random.default_rng(5)
+    words = [b"grim%d" % i for i in range(6)] + [b"w%d" % i for i in range(30)]
+    labels = np.array([1, 0] * 60)
+    docs = [np.where(rng.random(n) < (0.4 if y else 0.02), rng.integers(0, 6, n), rng.integers(6, 36, n)) for n, y in zip(rng.integers(0, 12, 120), labels, strict=True)]
+    for neighbours, odds in ((2, 1.5), (3, 4.0), (8, 10.0)):
+        good = set()
+        sizes = [sum(len(d) for d, y in zip(docs, labels, strict=True) if y == k) for k in (0, 1)]
+        for unit in {u for w in words for u in toxicity._units(w)}:
+            holds = [unit in toxicity._units(w) for w in words]
+            seen = [(k, d[k], d[k - 1] if k else None) for d, y in zip(docs, labels, strict=True) if y for k in range(len(d)) if holds[d[k]]]
+            clean = sum(holds[w] for d, y in zip(docs, labels, strict=True) if not y for w in d)
+            often = (len(seen) + 0.5) / (sizes[1] + 1) >= odds * (clean + 0.5) / (sizes[0] + 1)
+            if seen and often and len({b for _, _, b in seen}) >= neighbours and (unit.endswith(b">") or len({w for _, w, _ in seen}) >= neighbours):
+                good.add(unit)
+        got = toxicity.evidence(docs, words, labels, neighbours, odds)
+        assert got.tolist() == [not good.isdisjoint(toxicity._units(w)) for w in words]
+    assert not toxicity.evidence([docs[0][:0]], words, labels[:1], 2, 2.0).any()
+
+
 def test_spans_are_in_code_points():
     text = "grüß dich du böser kerl".encode()
     spans = toxicity.toxic_spans(text, np.array([0.1, 0.1, 0.9, 0.8, 0.1]), 0.5)

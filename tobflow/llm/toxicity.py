@@ -8,7 +8,6 @@ far more frequent in toxic documents than in clean ones and has many different l
 from __future__ import annotations
 
 import re
-from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -114,28 +113,49 @@ def _units(word: bytes) -> list[bytes]:
     return [b"<" + word + b">", *(b"<" + word[:n] for n in range(STEM[0], min(STEM[1], len(word) - 1) + 1))]
 
 
-def evidence(texts: list[list[bytes]], labels: np.ndarray, neighbours: int, odds: float) -> set[bytes]:
-    """Units (whole words, or stems that start many words) whose rate among the tokens of toxic texts is so many times that in clean ones.
+def evidence(docs: list[np.ndarray], words: list[bytes], labels: np.ndarray, neighbours: int, odds: float) -> np.ndarray:
+    """Per word of the vocabulary, whether one of its units (the whole word, or a stem that starts many words) marks toxic texts.
 
-    A unit needs so many different left neighbours in toxic texts (copies of one text have the same), and a
-    stem as many different words.
+    docs: word numbers per text. Such a unit's rate among the tokens of toxic texts is so many times that in clean
+    ones, with so many different left neighbours there (copies of one text have the same), and a stem starts as
+    many different words. Only units that toxic texts hold are kept, so clean texts cost no memory.
     """
-    left: dict[bytes, set] = defaultdict(set)
-    kinds: dict[bytes, set] = defaultdict(set)
-    toxic: dict[bytes, int] = defaultdict(int)
-    clean: dict[bytes, int] = defaultdict(int)
-    for words, y in zip(texts, labels, strict=True):
-        for before, w in zip([b"", *words[:-1]], words, strict=False):
-            for u in _units(w):
-                if y:
-                    toxic[u] += 1
-                    left[u].add(before)
-                    kinds[u].add(w)
-                else:
-                    clean[u] += 1
-    n1 = sum(len(t) for t, y in zip(texts, labels, strict=True) if y)
-    n0 = sum(len(t) for t, y in zip(texts, labels, strict=True) if not y)
-    return {u for u, c in toxic.items() if len(left[u]) >= neighbours and (u[-1:] == b">" or len(kinds[u]) >= neighbours) and (c + 0.5) / (n1 + 1) >= odds * (clean[u] + 0.5) / (n0 + 1)}
+    size, lengths = len(words), np.array([len(d) for d in docs], np.int64)
+    marked = np.zeros(size, bool)
+    if not lengths.sum():
+        return marked
+    flat, toxic = np.concatenate(docs), np.repeat(labels == 1, lengths)
+    before = np.concatenate([[0], flat[:-1] + 1])
+    before[(np.cumsum(lengths) - lengths)[lengths > 0]] = 0
+    count1, count0 = np.bincount(flat[toxic], minlength=size), np.bincount(flat[~toxic], minlength=size)
+    number: dict[bytes, int] = {}
+    owners, units = [], []
+    for w in np.flatnonzero(count1).tolist():
+        for u in _units(words[w]):
+            owners.append(w)
+            units.append(number.setdefault(u, len(number)))
+    for w in np.flatnonzero(count1 == 0).tolist():
+        for u in _units(words[w]):
+            if (k := number.get(u)) is not None:
+                owners.append(w)
+                units.append(k)
+    owner, unit = np.array(owners, np.int64), np.array(units, np.int64)
+    whole = np.fromiter((u[-1:] == b">" for u in number), bool, len(number))
+    n1, n0 = toxic.sum(), (~toxic).sum()
+    rate1, rate0 = np.bincount(unit, count1[owner], len(number)) + 0.5, np.bincount(unit, count0[owner], len(number)) + 0.5
+    frequent = rate1 / (n1 + 1) >= odds * rate0 / (n0 + 1)
+    some = frequent[unit] & (count1[owner] > 0)
+    kinds = np.bincount(unit[some], minlength=len(number))
+    order = np.flatnonzero(some)[np.argsort(owner[some], kind="stable")]
+    per_word = np.bincount(owner[order], minlength=size)
+    pairs = np.unique(flat[toxic] * (size + 1) + before[toxic])
+    word, left = pairs // (size + 1), pairs % (size + 1)
+    times = per_word[word]
+    at = np.repeat((np.cumsum(per_word) - per_word)[word] - (np.cumsum(times) - times), times) + np.arange(times.sum())
+    different = np.unique(unit[order[at]] * (size + 1) + np.repeat(left, times)) // (size + 1)
+    telling = frequent & (np.bincount(different, minlength=len(number)) >= neighbours) & (whole | (kinds >= neighbours))
+    marked[owner[telling[unit]]] = True
+    return marked
 
 
 def calibrate(x: np.ndarray, labels: np.ndarray, *, decay: float = 1e-4, steps: int = 50) -> np.ndarray:
@@ -162,12 +182,11 @@ def calibrate(x: np.ndarray, labels: np.ndarray, *, decay: float = 1e-4, steps:
 def fit(texts: list[str], labels: np.ndarray, *, steps: int = 80, rate: float = 0.15, decay: float = 1e-4, seed: int = 7) -> Model:
     """Fit token weights and changes by the chain likelihood, then the document calibration; plain numpy."""
     rng = np.random.default_rng(seed)
-    docs = [cores(t.encode().lower().split()) for t in texts]
-    bad = evidence(docs, labels, neighbours=8, odds=10.0)
     vocabulary: dict[bytes, int] = {}
-    ids = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in d], np.int64) for d in docs]
+    ids = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in cores(t.encode().lower().split())], np.int64) for t in texts]
     words = list(vocabulary)
-    is_bad = np.array([not bad.isdisjoint(_units(w)) for w in words], bool)
+    del vocabulary
+    is_bad = evidence(ids, words, labels, neighbours=8, odds=10.0)
     lengths = np.array([len(d) for d in ids], np.int64)
     flat = np.concatenate(ids) if ids else np.empty(0, np.int64)
     token_ids, mask, doc = chains_of(flat.astype(float), lengths)
@@ -197,9 +216,12 @@ def fit(texts: list[str], labels: np.ndarray, *, steps: int = 80, rate: float =
         bias += rate * float(slope.sum()) / n
         change = change + rate * (moves - pairs) / n
     model = Model(weights.astype(np.float32), bias, change, np.zeros(FEATURES))
-    values = emissions(words, model.weights, bias)[flat] if len(flat) else np.empty(0)
-    e, mask, doc = chains_of(values, lengths)
-    x = document_features(marginals(e, mask, change)[0], mask, doc, lengths)
+    values = np.bincount(owner, model.weights[grams], len(words)) + bias
+    x = np.zeros((len(ids), FEATURES))
+    for at in range(0, len(ids), 256):
+        block = lengths[at : at + 256]
+        e, mask, doc = chains_of(values[np.concatenate(ids[at : at + 256])], block)
+        x[at : at + 256] = document_features(marginals(e, mask, change)[0], mask, doc, block)
     model.calibration = calibrate(x, labels)
     return model
 
