@@ -83,6 +83,14 @@ def test_days_of_a_stream_carry_the_row_before(spark):
     assert second.dmid_ticks == 2.0 and second.n_events == 1
 
 
+def test_a_day_after_a_gap_starts_from_nothing(spark):
+    gap = book(spark, [(86399, 100.0, 1, 100.5, 1), (2 * 86400 + 1, 101.0, 1, 101.5, 1)]).drop("day0")
+    days = with_days(gap)
+    assert days.count() == 2
+    later = K.bucketize(days, 10 * SECOND, 0.5).where(F.col("day0") == DAY0 + 2 * DAY).orderBy("t").first()
+    assert later.dmid_ticks is None and later.n_events == 1
+
+
 def test_receive_clock_moves_an_event(spark):
     b = book(spark, [(1, 100.0, 1, 100.2, 1), (9.998, 100.1, 1, 100.3, 1)])
     by = {c: [r.n_events for r in K.bucketize(b, 10 * SECOND, 0.1, c).orderBy("t").limit(2).collect()] for c in ("timestamp", "local_timestamp")}

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tobflow.functions import scalars as S
-from tobflow.schema import STREAM
+from tobflow.schema import DAY, STREAM
 
 
 def nan_to_null(df: DataFrame) -> DataFrame:
@@ -16,16 +16,16 @@ def nan_to_null(df: DataFrame) -> DataFrame:
 
 
 def with_days(book: DataFrame, clock: str = "timestamp") -> DataFrame:
-    """Adds day0 (UTC midnight of each row) to a continuous stream, and to each day the last row before it.
+    """Adds day0 (UTC midnight of each row) to a continuous stream, and to each day the last row of the day just before it.
 
+    A day whose day before has no rows starts from nothing: an older state says nothing of its start.
     That row belongs to its day's stream, with a negative bucket: it is the state the day starts from. So streams
     of (symbol, day0) can be worked on apart from each other.
     """
     days = book.withColumn("day0", S.day_start(F.col(clock)))
     rest = [c for c in book.columns if c != "symbol"]
     last = days.groupBy(*STREAM).agg(F.max_by(F.struct(*rest), "seq").alias("row"))
-    following = Window.partitionBy("symbol").orderBy("day0")
-    carried = last.withColumn("day0", F.lead("day0").over(following)).where("day0 IS NOT NULL")
+    carried = last.withColumn("day0", F.col("day0") + DAY).join(last.select(*STREAM), STREAM, "left_semi")
     return days.unionByName(carried.select("symbol", "day0", *[F.col(f"row.{c}").alias(c) for c in rest]))
 
 
