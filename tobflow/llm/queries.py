@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tobflow.llm import decontam, line_dedup, near_dup, packing, quality, suffix_dedup, token_store, toxicity, vector_dedup, warc
+from tobflow.llm import decontam, fill_middle, line_dedup, near_dup, packing, quality, suffix_dedup, token_store, toxicity, vector_dedup, warc
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -15,10 +15,12 @@ QUERIES = {
     "op8_packing": packing.op8_packing,
     "op9_decontam": decontam.op9_decontam,
     "op10_vector_dedup": vector_dedup.op10_vector_dedup,
+    "op13_fill_middle": fill_middle.op13_fill_middle,
 }
 
 ORACLES = {
     "op1_line_dedup": line_dedup.OP1_SQL,
     "op7_warc": warc.OP7_SQL,
     "op9_decontam": decontam.OP9_SQL,
+    "op13_fill_middle": fill_middle.OP13_SQL,
 }
