@@ -204,7 +204,7 @@ def _tokens(path: str) -> pa.Array:
     if spec.get("decoder") is not None:
         raise ValueError("this decoder is for tokenizers whose tokens are joined by spaces")
     names = {i: t for t, i in spec["model"]["vocab"].items()} | {t["id"]: t["content"] for t in spec["added_tokens"]}
-    return pa.array([names.get(i) for i in range(max(names) + 1)], pa.large_string())
+    return pa.array([names.get(i) for i in range(max(names) + 1)], pa.string())
 
 
 def _encode(path: str | None):
@@ -229,9 +229,9 @@ def _decode(path: str | None):
             known[known] = np.asarray(tokens.is_valid())[ids[known]]
             ends = np.append(0, np.cumsum(np.asarray(pc.fill_null(lists.value_lengths(), 0), np.int64)))
             kept = np.append(0, np.cumsum(known))[ends]
-            words = pa.LargeListArray.from_arrays(pa.array(kept), tokens.take(pa.array(ids[known])))
-            text = pc.if_else(lists.is_valid(), pc.binary_join(words, " "), pa.scalar(None, pa.large_string()))
-            yield pa.record_batch([*batch.columns, text.cast(pa.string())], names=[*batch.schema.names, "decoded"])
+            words = pa.ListArray.from_arrays(pa.array(kept, pa.int32()), tokens.take(pa.array(ids[known])))
+            text = pc.if_else(lists.is_valid(), pc.binary_join(words, " "), pa.scalar(None, pa.string()))
+            yield pa.record_batch([*batch.columns, text], names=[*batch.schema.names, "decoded"])
 
     return run
 

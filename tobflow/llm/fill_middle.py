@@ -1,11 +1,11 @@
 """Fill-in-middle transformation over an index of distinct texts.
 
 Documents of one text share an index row: they are grouped by the SHA-256 of their text, and the group's contents are
-collected as a set, so a group of two contents stops the job instead of mixing them. A row holds the text once and the
-Elias-Fano list of its code point boundaries (byte offsets), made once. Documents themselves travel as small rows
-(doc_id and digest), are joined back to the index, and select the two boundaries of their own cut. A text that very
-many documents hold is dealt over shares of about ``SHARE`` documents, each with an index row of its own, so that no
-task works for a whole hot group.
+collected as a set, so a group of two contents stops the job instead of mixing them. Documents themselves travel as
+small rows (doc_id and digest) and are joined back to the one row of their text, whose Elias-Fano list of code point
+boundaries (byte offsets) is made once; each selects the two boundaries of its own cut there. A text that very many
+documents hold is dealt over shares of about ``SHARE`` documents, each with an index row of its own, so that no task
+works for a whole hot group. Texts are shuffled once, after equal ones of a task are combined.
 """
 
 from __future__ import annotations
@@ -23,19 +23,17 @@ SHARE = 1000
 SAMPLE = 256
 #: The markers of the parts.
 PREFIX, SUFFIX, MIDDLE = "<P>", "<S>", "<M>"
-#: An Elias-Fano list: how many values, bits of a low part, low parts, unary high parts, places of every SAMPLE-th one.
-LIST = "struct<n:int,low_bits:int,low:binary,high:binary,places:binary>"
 
 
-def encode_list(values: np.ndarray) -> tuple[int, int, bytes, bytes, bytes]:
-    """The Elias-Fano form of ascending integers (at least one)."""
+def encode_list(values: np.ndarray) -> tuple[int, bytes, bytes, bytes]:
+    """The Elias-Fano form of ascending integers (at least one): bits of a low part, low parts, unary high parts, places of every SAMPLE-th value."""
     n, top = len(values), int(values[-1])
     low_bits = max(0, (top // n).bit_length() - 1)
     places = (values >> low_bits) + np.arange(n)
     high = np.zeros(int(places[-1]) + 1, bool)
     high[places] = True
     low = (values[:, None] >> np.arange(low_bits)) & 1 if low_bits else np.zeros(0)
-    return n, low_bits, np.packbits(low.astype(bool).ravel(), bitorder="little").tobytes(), np.packbits(high, bitorder="little").tobytes(), places[::SAMPLE].astype("<i8").tobytes()
+    return low_bits, np.packbits(low.astype(bool).ravel(), bitorder="little").tobytes(), np.packbits(high, bitorder="little").tobytes(), places[::SAMPLE].astype("<i8").tobytes()
 
 
 def select(low_bits: int, low: bytes, high: bytes, places: bytes, i: int) -> int:
@@ -62,20 +60,13 @@ def boundaries(text: bytes) -> np.ndarray:
     return np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))
 
 
-def _lists(texts: pa.Array) -> pa.Array:
-    fields = [pa.field("n", pa.int32()), pa.field("low_bits", pa.int32()), pa.field("low", pa.binary()), pa.field("high", pa.binary()), pa.field("places", pa.binary())]
-    rows = [encode_list(boundaries(t.as_buffer().to_pybytes())) for t in texts]
-    return pa.StructArray.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(fields)], fields=fields)
-
-
-def _cuts(lists: pa.Array, first: pa.Array, second: pa.Array) -> pa.Array:
-    columns = [lists.field(k) for k in ("low_bits", "low", "high", "places")]
-    found = []
-    for bits, low, high, places, a, b in zip(*columns, first, second, strict=True):
-        own = bits.as_py(), low.as_py(), high.as_py(), places.as_py()
-        found.append((select(*own, a.as_py()), select(*own, b.as_py())))
-    fields = [pa.field("a", pa.int32()), pa.field("b", pa.int32())]
-    return pa.StructArray.from_arrays([pa.array([x[k] for x in found], pa.int32()) for k in (0, 1)], fields=fields)
+def _cuts(texts: pa.Array, firsts: pa.Array, seconds: pa.Array) -> pa.Array:
+    """For each text, the byte offsets of its documents' cuts, from one boundary list."""
+    out = []
+    for text, first, second in zip(texts, firsts, seconds, strict=True):
+        own = encode_list(boundaries(text.as_buffer().to_pybytes()))
+        out.append([{"a": select(*own, a), "b": select(*own, b)} for a, b in zip(first.as_py(), second.as_py(), strict=True)])
+    return pa.array(out, pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))
 
 
 def _shares(rows: DataFrame, share: int) -> DataFrame:
@@ -106,18 +97,20 @@ def _transformed(docs: DataFrame, share: int) -> tuple[DataFrame, tuple[DataFram
     small = hot.count() * 64 <= BROADCAST_BYTES
     content = F.when(F.size("texts") == 1, F.col("texts")[0]).otherwise(F.raise_error(F.lit("one digest, two contents")))
     index = _dealt(base, hot, small).groupBy("key", "share").agg(F.collect_set("text").alias("texts")).select("key", "share", content.alias("text"))
-    index = index.withColumn("ends", arrow_udf(_lists, LIST)("text"))
-    asked = _dealt(rows, hot, small).select("key", "share", "doc_id", "copies", *[_seed(F.col("doc_id"), g).alias(f"h{g}") for g in (1, 2, 3, 4)])
-    joined = index.join(asked.hint("shuffle_hash"), ["key", "share"])
-    units = F.col("ends.n")  # code points and one
-    places = [F.col(h) % units for h in ("h1", "h2")]
+    asked = _dealt(rows, hot, small)
+    document = F.struct("doc_id", "copies", *[_seed(F.col("doc_id"), g).alias(f"h{g}") for g in (1, 2, 3, 4)])
+    asked = asked.groupBy("key", "share").agg(F.collect_list(document).alias("docs"))
+    joined = index.join(asked.hint("shuffle_hash"), ["key", "share"]).withColumn("n", F.length("text").cast("long"))
+    places = lambda choose: F.transform("docs", lambda d: choose(d["h1"] % (F.col("n") + 1), d["h2"] % (F.col("n") + 1)).cast("int"))
+    joined = joined.withColumns({"firsts": places(F.least), "seconds": places(F.greatest)})
+    joined = joined.withColumn("at", arrow_udf(_cuts, "array<struct<a:int,b:int>>")("text", "firsts", "seconds"))
+    cut = joined.select("text", "n", F.inline(F.arrays_zip("docs", "firsts", "seconds", "at")))
     marked = F.lit(False)
     for m in (PREFIX, SUFFIX, MIDDLE):
         marked = marked | F.contains("text", F.lit(m))
-    plain = (units == 1) | marked | (F.col("h3") % 100 >= 90)
-    form = F.when(plain, "plain").when(F.col("h4") % 100 < 20, "spm").otherwise("psm")
-    cut = joined.select("doc_id", "copies", "text", "ends", (units - 1).cast("long").alias("n"), form.alias("form"), F.least(*places).cast("int").alias("first"), F.greatest(*places).cast("int").alias("second"))
-    cut = cut.withColumn("at", arrow_udf(_cuts, "struct<a:int,b:int>")("ends", "first", "second"))
+    plain = (F.col("n") == 0) | marked | (F.col("docs.h3") % 100 >= 90)
+    form = F.when(plain, "plain").when(F.col("docs.h4") % 100 < 20, "spm").otherwise("psm")
+    cut = cut.select("docs.doc_id", "docs.copies", "text", "n", form.alias("form"), F.col("firsts").alias("first"), F.col("seconds").alias("second"), "at")
     raw = "cast(text AS binary)"
     part = {k: F.expr(f"cast({e} AS string)") for k, e in (("p", f"substring({raw}, 1, at.a)"), ("m", f"substring({raw}, at.a + 1, at.b - at.a)"), ("s", f"substring({raw}, at.b + 1)"))}
     P, S, M = map(F.lit, (PREFIX, SUFFIX, MIDDLE))
