@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tobflow.llm import bpe, decontam, fill_middle, line_dedup, near_dup, packing, quality, suffix_dedup, token_store, toxicity, vector_dedup, warc
+from tobflow.llm import bpe, conversation, decontam, fill_middle, line_dedup, near_dup, packing, quality, suffix_dedup, token_store, toxicity, vector_dedup, warc
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_packing": packing.op8_packing,
     "op9_decontam": decontam.op9_decontam,
     "op10_vector_dedup": vector_dedup.op10_vector_dedup,
+    "op11_conversation_repair": conversation.op11_conversation_repair,
     "op12_bpe": bpe.op12_bpe,
     "op13_fill_middle": fill_middle.op13_fill_middle,
 }
