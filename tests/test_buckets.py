@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from tobflow.functions import scalars as S
 from tobflow.operators import buckets as K
-from tobflow.operators.events import event_flow, nan_to_null, with_days
+from tobflow.operators.events import event_flow, nan_to_null, with_days, with_median_day
 from tobflow.schema import DAY, HOUR, SECOND
 
 DAY0 = 19601 * DAY  # 2023-09-01
@@ -91,6 +91,22 @@ def test_a_day_after_a_gap_starts_from_nothing(spark):
     assert later.dmid_ticks is None and later.n_events == 1
 
 
+def test_a_file_keeps_its_day_by_the_median_time(spark):
+    early = [(-0.001, 100.0, 1, 100.5, 1), (5, 100.0, 1, 100.5, 1), (9, 101.0, 1, 101.5, 1)]
+    files = book(spark, early).drop("day0").withColumn("file", F.lit("a")).unionByName(book(spark, early, DAY0 + DAY).drop("day0").withColumn("file", F.lit("b")))
+    days = with_median_day(files, ["file"])
+    assert {(r.file, r.day0) for r in days.select("file", "day0").distinct().collect()} == {("a", DAY0), ("b", DAY0 + DAY)}
+    first = K.bucketize(days, 10 * SECOND, 0.5).where(F.col("day0") == DAY0).orderBy("t").first()
+    assert (first.n_events, first.dmid_ticks) == (2, 2.0)
+
+
+def test_the_seed_is_the_last_row_before_the_day_even_if_it_is_incomplete(spark):
+    nan = float("nan")
+    rows = nan_to_null(book(spark, [(-2, 100.0, 1, 100.5, 1), (-1, nan, 1, 100.5, 1), (11, 101.0, 1, 101.5, 1)]))
+    grid = K.bucketize(rows, 10 * SECOND, 0.5).orderBy("t").limit(2).collect()
+    assert [(g.mid, g.dmid_ticks, g.depth) for g in grid] == [(None, None, 1.0), (101.25, None, 1.0)]
+
+
 def test_receive_clock_moves_an_event(spark):
     b = book(spark, [(1, 100.0, 1, 100.2, 1), (9.998, 100.1, 1, 100.3, 1)])
     by = {c: [r.n_events for r in K.bucketize(b, 10 * SECOND, 0.1, c).orderBy("t").limit(2).collect()] for c in ("timestamp", "local_timestamp")}

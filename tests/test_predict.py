@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tobflow.operators import bootstrap as B
 from tobflow.operators import depthfit, explore, predict, strategy
+from tobflow.operators.percentiles import counted, percentiles
 from tobflow.schema import DAY, SECOND
 
 DAY0 = 19601 * DAY
@@ -72,20 +73,62 @@ def test_strategy_turnover(spark, yhat, gap, turnover):
 
 
 def test_bootstrap_draws_follow_the_generator(spark):
-    blocks = ["b", "a", "c"]
-    table = B.multiplicities(blocks, 50, 9)
-    rng = np.random.default_rng(9)
-    values = pd.DataFrame({"day": ["a", "a", "b", "c", "c", "c"], "x": [1.0, 5.0, 2.0, 9.0, 4.0, 7.0]})
-    want = []
+    blocks, rng = ["b", "a", "c"], np.random.default_rng(9)
+    values = pd.DataFrame({"symbol": "X", "day": ["b", "a", "a", "c", "c", "c", "c"], "x": [2.0, 1.0, 5.0, 9.0, 4.0, 7.0, None], "z": [1.0, 2, 3, 4, 5, 6, 7], "at": range(7)})
+    want = {"x": [], "gap": [], "explained": [], "any": []}
     for _ in range(50):
-        pick = [blocks[j] for j in rng.integers(0, 3, 3)]
-        want.append(np.median(np.concatenate([values.x[values.day == p] for p in pick])))
-    assert table.groupby("draw").m.sum().eq(3).all()
-    draws = B.bootstrap(spark.createDataFrame(values), "day", B.draw_table(spark, blocks, 50, 9), F.percentile("x", F.lit(0.5), F.col("m")).alias("x"))
-    got = [r.x for r in draws.orderBy("draw").collect()]
-    np.testing.assert_allclose(got, want)
-    ci = B.percentile_ci(draws, "x").first().x
-    np.testing.assert_allclose([ci.lo, ci.hi], np.quantile(want, [0.025, 0.975]))
+        rows = pd.concat([values[values.day == blocks[j]] for j in rng.integers(0, 3, 3)])
+        want["x"].append(rows.x.median())
+        want["gap"].append(rows.x.median() - rows.z.median())
+        want["explained"].append(1 - rows.x.sum() / rows.z.sum())
+        want["any"].append(rows.z.sum())
+    statistics = {"x": B.Median("x"), "gap": B.Difference(B.Median("x"), B.Median("z")), "explained": B.Explained("x0", "z"), "any": B.Each(lambda rows, weight: float((rows["z"] * weight).sum()))}
+    frame = spark.createDataFrame(values).withColumn("x", F.when(~F.isnan("x"), F.col("x"))).withColumn("x0", F.coalesce("x", F.lit(0.0)))
+    draws = B.bootstrap(frame, "day", statistics, keys=["symbol"], columns=["x", "x0", "z"], order="at", draws=50, seed=9, batch=7).persist()
+    got = draws.orderBy("draw").toPandas()
+    for name, numbers in want.items():
+        np.testing.assert_allclose(got[name], numbers)
+    ci = B.percentile_ci(draws, "x", keys=["symbol"]).first().x
+    np.testing.assert_allclose([ci.lo, ci.hi], np.quantile(want["x"], [0.025, 0.975]))
+
+
+def test_all_draws_over_a_month(spark):
+    """10,000 draws over 30 days of 48 windows, against medians of repeated rows for some of the draws."""
+    rng = np.random.default_rng(1)
+    values = pd.DataFrame({"symbol": "X", "day": np.repeat([f"d{i:02d}" for i in range(30)], 48), "x": rng.random(1440), "at": range(1440)})
+    draws = B.bootstrap(spark.createDataFrame(values), "day", {"x": B.Median("x")}, keys=["symbol"], columns=["x"], order="at").toPandas().set_index("draw").x
+    assert len(draws) == 10_000
+    times, by_day = B.multiplicities(30), values.x.to_numpy().reshape(30, 48)
+    for k in range(0, 10_000, 997):
+        assert draws[k] == np.median(np.repeat(by_day, times[k], axis=0))
+
+
+@pytest.mark.parametrize("n", [1, 2, 7, 500])
+def test_percentiles_by_counts(spark, n):
+    rng = np.random.default_rng(n)
+    values = np.round(rng.lognormal(0, 3, n), 1)
+    df = spark.createDataFrame([("k", float(v)) for v in [*values, *values[: n // 2]]] + [("one", 3.0), ("none", None)], "key string, v double")
+    wanted = {"p0": 0.0, "p1": 0.01, "p50": 0.5, "p99": 0.99, "p100": 1.0}
+    got = {r.key: r for r in percentiles(counted(df, ["key"], "v"), ["key"], wanted).collect()}
+    np.testing.assert_allclose([got["k"][c] for c in wanted], np.quantile([*values, *values[: n // 2]], list(wanted.values())))
+    assert [got["one"][c] for c in wanted] == [3.0] * 5 and "none" not in got
+
+
+def test_a_session_runs_over_midnight(spark):
+    """Day by day, with the border rows carried, equals one pass over all rows."""
+    rng = np.random.default_rng(4)
+    times = np.flatnonzero(rng.random(600) < 0.8) * FREQ + DAY0 + DAY - 200 * FREQ
+    rows = [("X", str(t // DAY), int(t), "flow", 0.0, 0.0, float(y), 100.0, float(h), 0.5, float(p)) for t, y, h, p in zip(times, rng.normal(size=600), rng.random(600), rng.integers(-1, 2, 600))]
+    df = spark.createDataFrame(rows, "symbol string, day string, t long, model string, latency_ms double, x double, y double, mid_entry double, half_spread_bps double, tick double, yhat double")
+    got = strategy.sign_strategy(df, FREQ, 5.0).first()
+    turn = gross = cost = 0.0
+    for i, r in enumerate(rows):
+        before = rows[i - 1][10] if i and r[2] - rows[i - 1][2] == FREQ else 0.0
+        last = i + 1 == len(rows) or rows[i + 1][2] - r[2] != FREQ
+        step = abs(r[10] - before) + (abs(r[10]) if last else 0)
+        turn, gross, cost = turn + step, gross + r[10] * r[6] * 0.5 / 100 * 1e4, cost + step * (5 + r[8])
+    assert got.turnover == pytest.approx(turn) and got.net_bps == pytest.approx(gross - cost) and got.days == len({r[1] for r in rows})
+    assert got.median_half_spread_bps == pytest.approx(np.median([r[8] for r in rows]))
 
 
 def test_depth_fit_recovers_and_keeps_negative_betas(spark):

@@ -4,17 +4,13 @@ import json
 import urllib.error
 from pathlib import Path
 
-import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tobflow import cli
 from tobflow import config as C
 from tobflow.operators import quality
-from tobflow.plans import study
 from tobflow.schema import DAY, SECOND
 from tobflow.sources import ledger, market, reports
-from tobflow.streaming import flow as streaming
 
 DAY0 = 19601 * DAY
 HEAD = "exchange,symbol,timestamp,local_timestamp,ask_amount,ask_price,bid_price,bid_amount\n"
@@ -121,9 +117,12 @@ def test_ledger(tmp_path, spark):
 
 def test_reports_round_trip(tmp_path, spark):
     df = spark.createDataFrame([("a|b", 0.123456), ("c", 2.0)], "name string, value double")
-    text = "# Top\n\n## One\n\n" + reports.markdown_table(df) + "\n\n## Empty\n\n| a |\n|---|\n"
-    assert reports.markdown_tables(text) == {"One": [{"name": "a|b", "value": "0.1235"}, {"name": "c", "value": "2.0000"}]}
-    assert reports.table_frame(spark, reports.markdown_tables(text)["One"]).count() == 2
+    text = reports.sections("Top", {"One": reports.markdown_table(df) + "\n\n| x |\n|---|\n| 9 |", "Empty": "| a |\n|---|"})
+    one = [{"name": "a|b", "value": "0.1235"}, {"name": "c", "value": "2.0000"}]
+    assert reports.markdown_tables(text) == {"One": [one, [{"x": "9"}]], "Empty": [[]]}
+    assert [tuple(r) for r in reports.typed(spark, one, "name string, value double").collect()] == [("a|b", 0.1235), ("c", 2.0)]
+    ci = reports.typed(spark, [{"ci": "[-0.5000, 1.2500]", "ok": "true"}, {"ci": "", "ok": "false"}], "ci struct<lo:double,hi:double>, ok boolean").collect()
+    assert (tuple(ci[0].ci), ci[1].ci, ci[0].ok, ci[1].ok) == ((-0.5, 1.25), None, True, False)
     assert reports.numbers("0.744 [−0.346, 1.057]") == [0.744, -0.346, 1.057]
     models = spark.createDataFrame([("X", "flow", 100.0, 0.5, 1.5), ("X", "flow_over_depth", 0.0, 0.1, -2.0)], "symbol string, model string, latency_ms double, a double, b double")
     reports.write_models(models, tmp_path / "m.json", ["2023-09-01"], 5.0, "flow_L100")
@@ -131,69 +130,3 @@ def test_reports_round_trip(tmp_path, spark):
     assert sorted(map(tuple, reports.read_models(spark, str(tmp_path / "m.json")).collect())) == sorted(map(tuple, models.collect()))
     reports.write_explorer({"x": [1.23456789, float("nan")], "n": 3}, tmp_path / "d.js")
     assert reports.read_explorer((tmp_path / "d.js").read_text()) == {"x": [1.2346, 0.0], "n": 3}
-
-
-def test_streaming_matches_batch(tmp_path, spark):
-    from tobflow.operators.events import event_flow
-
-    rng = np.random.default_rng(0)
-    n = 60
-    bid = 100 + rng.integers(-2, 3, n) * 0.5
-    rows = [("XY"[i % 2], i, DAY0 + i * SECOND, float(bid[i]), float(rng.integers(1, 9)), float(bid[i] + 0.5), float(rng.integers(1, 9))) for i in range(n)]
-    schema = "symbol string, seq long, timestamp long, bid_price double, bid_amount double, ask_price double, ask_amount double"
-    df = spark.createDataFrame(rows, schema)
-    for k in range(3):
-        df.where((F.col("seq") >= 20 * k) & (F.col("seq") < 20 * k + 20)).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    q = streaming.stream_flow(stream).writeStream.format("memory").queryName("flows").option("checkpointLocation", str(tmp_path / "cp")).start()
-    q.processAllAvailable()
-    q.stop()
-    # files are taken in the order of their time, which follows that of the batches
-    got = {r.seq: r.flow for r in spark.table("flows").collect()}
-    want = {r.seq: r.flow for r in event_flow(df, ["symbol"]).collect()}
-    assert got == want
-    sums = streaming.stream_buckets(spark.table("flows"), "10 seconds", "1 minute").agg(F.sum("n_events")).first()[0]
-    assert sums == n
-
-
-def _day_files(root: Path, date: str, seed: int, n: int = 4000):
-    rng = np.random.default_rng(seed)
-    day0 = int(np.datetime64(date, "us").astype("int64"))
-    t = np.sort(rng.integers(0, DAY, n)) + day0
-    t[0] = day0 - 1000
-    bid = np.round(100 + np.cumsum(rng.integers(-1, 2, n)) * 0.1, 1)
-    lines = [f"e,BTCUSDT,{a},{a + 3000},{x},{b + 0.1 * s:.1f},{b:.1f},{y}" for a, b, s, x, y in zip(t, bid, rng.integers(1, 3, n), rng.integers(1, 50, n), rng.integers(1, 50, n))]
-    write_gz(root / "raw" / "book_ticker" / "BTCUSDT" / f"{date}.csv.gz", HEAD + "\n".join(lines) + "\n")
-    sides = rng.choice(["buy", "sell", "unknown"], n)
-    trades = [f"e,BTCUSDT,{a},{a + 3000},{i},{s},100,{x}" for i, (a, s, x) in enumerate(zip(t, sides, rng.integers(1, 9, n)))]
-    write_gz(root / "raw" / "trades" / "BTCUSDT" / f"{date}.csv.gz", "exchange,symbol,timestamp,local_timestamp,id,side,price,amount\n" + "\n".join(trades) + "\n")
-
-
-def test_command_line_end_to_end(tmp_path, spark, monkeypatch, capsys):
-    monkeypatch.setenv("TOBFLOW_PROJECT_DIR", str(tmp_path))
-    dates = ["2023-09-01", "2023-10-01"]
-    for seed, date in enumerate(dates):
-        _day_files(tmp_path / "data", date, seed)
-    assert cli.main([]) == 0
-    assert cli.main(["buckets", "--dates", *dates]) == 0
-    grid = spark.read.parquet(str(tmp_path / "data" / "buckets"))
-    assert grid.count() == 2 * 86400 and set(grid.columns) >= {"t", "flow", "dmid_ticks", "depth", "spread_ticks", "n_events", "mid", "ti"}
-    before = grid.inputFiles()
-    assert cli.main(["buckets", "--dates", *dates]) == 0
-    assert sorted(spark.read.parquet(str(tmp_path / "data" / "buckets")).inputFiles()) == sorted(before)
-    quality_files = list((tmp_path / "reports" / "quality").glob("*.md"))
-    assert len(quality_files) == 2 and reports.read_quality(quality_files[0].read_text())["tick"] == 0.1
-    assert cli.main(["windows", "--boot", "20"]) == 0
-    assert ledger.read_ledger(spark, str(tmp_path / "research" / "ledger")).count() == 18
-    assert "Verdicts" in (tmp_path / "reports" / "windows_BTCUSDT.md").read_text()
-    with pytest.raises(SystemExit):
-        cli.main(["final-test"])
-    with pytest.raises(SystemExit):
-        cli.main(["buckets", "--symbol", "NONE", "--dates", dates[0]])
-    assert study.human_size(1_500_000) == "1.5 MB"
-    capsys.readouterr()
-    assert cli.main(["status", "--symbols", "BTCUSDT"]) == 0
-    found = json.loads(capsys.readouterr().out)
-    assert found["symbols"]["BTCUSDT"] == {"grids": 2, "frames": 0} and not found["frozen"]
-    with pytest.raises(FileNotFoundError):
-        market.read_days(spark, str(tmp_path / "data" / "buckets"), "BTCUSDT", ["2023-09-01", "2023-12-01"])

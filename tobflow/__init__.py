@@ -1 +1,3 @@
-"""Order-flow analytics over top-of-book data, written as Spark DataFrame operators."""
+"""A PySpark engine for top-of-book market data."""
+
+__version__ = "0.3.0"

@@ -67,6 +67,12 @@ class Paths:
     def research(self) -> Path:
         return self.project / "research"
 
+    def models(self) -> Path:
+        return self.research() / "models.json"
+
+    def ledger(self) -> str:
+        return str(self.research() / "ledger")
+
 
 class HeldOutDateError(RuntimeError):
     """A held-out day was asked for outside unlocked()."""

@@ -10,53 +10,52 @@ from tobflow.operators.events import event_flow
 from tobflow.schema import DAY, STREAM
 
 
-def day_grid(days: DataFrame, freq_us: int) -> DataFrame:
+def day_grid(days: DataFrame, freq_us: int, first: int = 0) -> DataFrame:
     """One row (symbol, day0, k) per bucket of each (symbol, day0)."""
-    return days.select(*STREAM).distinct().withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(DAY // freq_us - 1)))).withColumn("k", F.col("k").cast("long"))
+    buckets = F.sequence(F.lit(first).cast("long"), F.lit(DAY // freq_us - 1).cast("long"))
+    return days.select(*STREAM).distinct().select(*STREAM, F.explode(buckets).alias("k"))
 
 
-def bucket_flow(book: DataFrame, freq_us: int, clock: str = "timestamp") -> DataFrame:
-    """symbol, day0, k, flow, n_events and the last known mid, depth and spread of each non-empty bucket of the day."""
-    rows = event_flow(book).select(
-        *STREAM,
-        "seq",
-        "flow",
-        S.bucket_id(F.col(clock), F.col("day0"), freq_us).alias("k"),
-        S.mid(F.col("bid_price"), F.col("ask_price")).alias("mid"),
-        S.depth(F.col("bid_amount"), F.col("ask_amount")).alias("depth"),
-        (F.col("ask_price") - F.col("bid_price")).alias("spread"),
-    )
-    last = [F.expr(f"max_by({c}, seq) FILTER (WHERE {c} IS NOT NULL)").alias(c) for c in ("mid", "depth", "spread")]
-    inside = rows.where((F.col("k") >= 0) & (F.col("k") < DAY // freq_us))
-    return inside.groupBy(*STREAM, "k").agg(F.coalesce(F.sum("flow"), F.lit(0.0)).alias("flow"), F.count("*").alias("n_events"), *last)
-
+def bucket_flow(book: DataFrame, freq_us: int, clock: str = "timestamp", *, early: bool = False) -> DataFrame:
+    """symbol, day0, k, flow, n_events and the last known mid, depth and spread of each non-empty bucket of the day.
 
-def seeds(book: DataFrame, clock: str = "timestamp") -> DataFrame:
-    """symbol, day0 and the state of the last row before each day."""
-    early = book.where(F.col(clock) < F.col("day0"))
-    state = F.struct(S.mid(F.col("bid_price"), F.col("ask_price")).alias("mid"), S.depth(F.col("bid_amount"), F.col("ask_amount")).alias("depth"), (F.col("ask_price") - F.col("bid_price")).alias("spread"))
-    return early.groupBy(*STREAM).agg(F.max_by(state, "seq").alias("seed"))
-
-
-def bucketize(book: DataFrame, freq_us: int, tick, clock: str = "timestamp") -> DataFrame:
+    With ``early``, bucket -1 is all that comes before the day, and its state that of the last row.
+    """
+    k = F.greatest(S.bucket_id(F.col(clock), F.col("day0"), freq_us), F.lit(-1))
+    state = {
+        "mid": S.mid(F.col("bid_price"), F.col("ask_price")),
+        "depth": S.depth(F.col("bid_amount"), F.col("ask_amount")),
+        "spread": F.col("ask_price") - F.col("bid_price"),
+    }
+    rows = event_flow(book).select(*STREAM, "seq", "flow", k.alias("k"), *[v.alias(c) for c, v in state.items()])
+    inside = rows.where((F.col("k") >= (-1 if early else 0)) & (F.col("k") < DAY // freq_us))
+    last = {c: F.expr(f"max_by({c}, seq) FILTER (WHERE {c} IS NOT NULL)") for c in state}
+    if early:
+        last = {c: F.when(F.col("k") < 0, F.max_by(c, "seq")).otherwise(v) for c, v in last.items()}
+    return inside.groupBy(*STREAM, "k").agg(F.coalesce(F.sum("flow"), F.lit(0.0)).alias("flow"), F.count("*").alias("n_events"), *[v.alias(c) for c, v in last.items()])
+
+
+def bucketize(book: DataFrame, freq_us: int, tick, clock: str = "timestamp", *, days: DataFrame | None = None) -> DataFrame:
     """The dense day grid of each stream: symbol, day0, t, flow, dmid_ticks, depth, spread_ticks, n_events, mid.
 
     book has symbol, day0 and seq (see with_days). State is carried forward over empty buckets, and into the
-    day from the last row before it. tick is a number, or a table of symbol, day0 and tick.
+    day from the last row before it, which is bucket -1 of the grid. tick is a number, or a table of symbol, day0 and
+    tick. With days (symbol, day0) given, book is read once.
     """
-    grid = day_grid(book, freq_us).join(bucket_flow(book, freq_us, clock), [*STREAM, "k"], "left").join(seeds(book, clock), STREAM, "left")
+    flows = bucket_flow(book, freq_us, clock, early=True)
+    grid = day_grid(book if days is None else days, freq_us, first=-1).join(flows, [*STREAM, "k"], "left")
     order = Window.partitionBy(*STREAM).orderBy("k")
     so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    state = {c: F.last(F.coalesce(c, F.when(F.col("k") == 0, F.col(f"seed.{c}"))), ignorenulls=True).over(so_far) for c in ("mid", "depth", "spread")}
-    filled = grid.select(*STREAM, "k", "seed", F.coalesce("flow", F.lit(0.0)).alias("flow"), F.coalesce("n_events", F.lit(0)).alias("n_events"), *[v.alias(c) for c, v in state.items()])
+    counts = {"flow": F.coalesce("flow", F.lit(0.0)), "n_events": F.coalesce("n_events", F.lit(0))}
+    filled = grid.withColumns(counts | {c: F.last(c, ignorenulls=True).over(so_far) for c in ("mid", "depth", "spread")})
+    filled = filled.withColumn("was", F.lag("mid").over(order)).where("k >= 0")
     if isinstance(tick, DataFrame):
         filled, tick = filled.join(F.broadcast(tick.select(*STREAM, "tick")), STREAM), F.col("tick")
-    was = F.when(F.col("k") == 0, F.col("seed.mid")).otherwise(F.lag("mid").over(order))
     return filled.select(
         *STREAM,
         (F.col("day0") + F.col("k") * freq_us).alias("t"),
         "flow",
-        S.in_ticks(F.col("mid") - was, tick).alias("dmid_ticks"),
+        S.in_ticks(F.col("mid") - F.col("was"), tick).alias("dmid_ticks"),
         "depth",
         S.in_ticks(F.col("spread"), tick).alias("spread_ticks"),
         "n_events",
@@ -68,7 +67,7 @@ def resample(buckets: DataFrame, freq_us: int) -> DataFrame:
     """Coarser buckets: sums of flow, dmid_ticks, n_events and ti (missing counts as 0), the last known state."""
     sums = [c for c in ("flow", "dmid_ticks", "n_events", "ti") if c in buckets.columns]
     last = [c for c in ("depth", "spread_ticks", "mid") if c in buckets.columns]
-    total = {c: F.coalesce(F.sum(c), F.lit(0)).alias(c) if c == "n_events" else F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in sums}
+    total = {c: F.coalesce(F.sum(c), F.lit(0) if c == "n_events" else F.lit(0.0)).alias(c) for c in sums}
     if "dmid_ticks" in total:
         total["dmid_ticks"] = F.bround(F.coalesce(F.sum("dmid_ticks"), F.lit(0.0)), 9).alias("dmid_ticks")
     states = [F.expr(f"max_by({c}, t) FILTER (WHERE {c} IS NOT NULL)").alias(c) for c in last]
@@ -79,7 +78,8 @@ def resample(buckets: DataFrame, freq_us: int) -> DataFrame:
 def trade_imbalance(trades: DataFrame, freq_us: int, clock: str = "timestamp", days: DataFrame | None = None) -> DataFrame:
     """symbol, day0, t and ti: signed traded size of every bucket of the days; unknown sides and other days' trades count nothing."""
     k = S.bucket_id(F.col(clock), F.col("day0"), freq_us)
-    signed = trades.select(*STREAM, k.alias("k"), S.signed_size(F.col("side"), F.col("amount")).alias("x")).where((F.col("k") >= 0) & (F.col("k") < DAY // freq_us))
+    signed = trades.select(*STREAM, k.alias("k"), S.signed_size(F.col("side"), F.col("amount")).alias("x"))
+    signed = signed.where((F.col("k") >= 0) & (F.col("k") < DAY // freq_us))
     sums = signed.groupBy(*STREAM, "k").agg(F.sum("x").alias("ti"))
     grid = day_grid(trades if days is None else days, freq_us).join(sums, [*STREAM, "k"], "left")
     return grid.select(*STREAM, (F.col("day0") + F.col("k") * freq_us).alias("t"), F.coalesce("ti", F.lit(0.0)).alias("ti"))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -62,20 +60,28 @@ def fit_panel(panel: DataFrame) -> DataFrame:
     return panel.select("symbol", "window", "beta", "depth_mean", "block", "weekend").groupBy("symbol").applyInPandas(one, "symbol string, " + FIT)
 
 
-def bootstrap_lambda(panel: pd.DataFrame, draws: DataFrame, batches: int = 64) -> DataFrame:
-    """draw and lam of every draw. The panel (a row per window of one symbol) goes to each task; draws are dealt over batches."""
-    beta, depth = panel["beta"].to_numpy(), panel["depth_mean"].to_numpy()
-    block, weekend, day = panel["block"].to_numpy(), panel["weekend"].to_numpy(), panel["day"].to_numpy()
+def exponent(rows: pd.DataFrame, weight: np.ndarray) -> float:
+    """lambda of weighted panel rows: the statistic of one bootstrap draw."""
+    z, _ = control_matrix(rows["block"].to_numpy(), rows["weekend"].to_numpy(), weight)
+    return fit_depth(rows["beta"].to_numpy(), rows["depth_mean"].to_numpy(), z, weight)[0][-1]
+
+
+def controls(panel: DataFrame) -> DataFrame:
+    """panel with the control columns: a dummy per 4-hour block from 1 to 5 (0 is the baseline) and the weekend, as numbers."""
+    dummies = {f"blk_{j}": (F.col("block") == j).cast("double") for j in range(1, 6)}
+    return panel.withColumns({**dummies, "weekend": F.col("weekend").cast("double")})
+
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for draw, blocks, ms in zip(frame["draw"], frame["blocks"], frame["ms"], strict=True):
-                count = dict(zip(blocks, ms, strict=True))
-                weight = np.array([count.get(d, 0) for d in day])
-                p, _ = fit_depth(beta, depth, control_matrix(block, weekend, weight)[0], weight)
-                rows.append((draw, p[-1]))
-            yield pd.DataFrame(rows, columns=["draw", "lam"])
+def gradient(panel: DataFrame, fits: DataFrame) -> DataFrame:
+    """symbol and one column per parameter (a, lam, controls): the slope of half the squared loss at the fit over the loss's own scale.
 
-    whole = draws.groupBy("draw").agg(F.collect_list("block").alias("blocks"), F.collect_list("m").alias("ms"))
-    return whole.repartition(batches, "draw").mapInPandas(run, "draw long, lam double")
+    Zero in every fitted parameter marks an optimum; a control that was constant has no parameter and gives null.
+    """
+    gamma = {c: F.element_at("gamma", F.lit(c)) for c in CONTROLS}
+    power = F.col("a") - F.col("lam") * F.log("depth_mean")
+    for c, g in gamma.items():
+        power = power + F.coalesce(g, F.lit(0.0)) * F.col(c)
+    rows = controls(panel).join(fits.select("symbol", "a", "lam", "gamma"), "symbol").withColumn("_f", F.exp(power))
+    pull = F.col("_f") * (F.col("_f") - F.col("beta"))
+    x = {"a": F.lit(1.0), "lam": -F.log("depth_mean")} | {c: F.when(gamma[c].isNotNull(), F.col(c)) for c in CONTROLS}
+    return rows.groupBy("symbol").agg(*[(F.sum(pull * v) / F.sum(F.abs(pull * v))).alias(c) for c, v in x.items()])

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tobflow.functions import scalars as S
+from tobflow.operators.percentiles import counted, percentiles
 from tobflow.schema import DAY, STREAM
 
 
@@ -29,6 +30,15 @@ def with_days(book: DataFrame, clock: str = "timestamp") -> DataFrame:
     return days.unionByName(carried.select("symbol", "day0", *[F.col(f"row.{c}").alias(c) for c in rest]))
 
 
+def with_median_day(book: DataFrame, by: list[str], clock: str = "timestamp") -> DataFrame:
+    """Adds day0, the UTC midnight before the median time of each group (a file, say): rows before midnight stay with their file's day.
+
+    The median is exact, from counted times; a group without times has no day.
+    """
+    middle = percentiles(counted(book, by, clock), by, {"_middle": 0.5})
+    return book.join(middle.select(*by, S.day_start(F.col("_middle")).alias("day0")), by, "left")
+
+
 def _side(price: Column, before: Column, size: Column, size_before: Column, better) -> Column:
     """A side's addition: the size now if the price is as good or better, less the size before if as good or worse."""
     gained = F.when(better(price, before), size).otherwise(0.0)

@@ -67,26 +67,50 @@ def spearman_p(rho: float, n: int) -> float:
     return front * _beta_fraction(a, b, x) / a if x < (a + 1) / (a + b + 2) else 1 - front * _beta_fraction(b, a, 1 - x) / b
 
 
+def spearman_p_column(rho: str, n: str) -> Column:
+    """spearman_p of two columns, for results of a row a group."""
+    return F.udf(spearman_p, "double")(rho, n)
+
+
 def day_summary(panel: DataFrame) -> DataFrame:
     """Per day of a window panel: events, windows, share of positive betas and medians."""
-    return panel.groupBy("symbol", "day").agg(F.max("events").alias("events"), F.count("*").alias("windows"), F.avg((F.col("beta") > 0).cast("double")).alias("beta_pos"), F.median("r2_flow").alias("r2"), F.median("r2_ti").alias("r2_ti"), F.median("depth_mean").alias("depth"), F.median("frac_spread_gt1").alias("gt1"))
+    medians = {"r2": "r2_flow", "r2_ti": "r2_ti", "depth": "depth_mean", "gt1": "frac_spread_gt1"}
+    return panel.groupBy("symbol", "day").agg(
+        F.max("events").alias("events"),
+        F.count("*").alias("windows"),
+        F.avg((F.col("beta") > 0).cast("double")).alias("beta_pos"),
+        *[F.median(c).alias(name) for name, c in medians.items()],
+    )
 
 
 def panel_summary(panel: DataFrame) -> DataFrame:
     """Per symbol: counts, share of positive betas, medians, quartiles and differences of medians."""
+    medians = {"r2_flow_median": "r2_flow", "r2_quad_median": "r2_quad", "r2_ti_median": "r2_ti", "placebo_m5_median": "r2_plc_m5", "placebo_p5_median": "r2_plc_p5"}
     q = F.percentile("r2_flow", F.array(F.lit(0.25), F.lit(0.75)))
-    out = panel.groupBy("symbol").agg(F.count("*").alias("windows"), F.countDistinct("day").alias("days"), F.avg((F.col("beta") > 0).cast("double")).alias("frac_beta_pos"), F.count_if(F.col("beta") <= 0).alias("n_beta_nonpos"), F.median("r2_flow").alias("r2_flow_median"), q[0].alias("r2_flow_q25"), q[1].alias("r2_flow_q75"), F.median("r2_quad").alias("r2_quad_median"), F.median("r2_ti").alias("r2_ti_median"), F.median("r2_plc_m5").alias("placebo_m5_median"), F.median("r2_plc_p5").alias("placebo_p5_median"))
+    out = panel.groupBy("symbol").agg(
+        F.count("*").alias("windows"),
+        F.countDistinct("day").alias("days"),
+        F.avg((F.col("beta") > 0).cast("double")).alias("frac_beta_pos"),
+        F.count_if(F.col("beta") <= 0).alias("n_beta_nonpos"),
+        q[0].alias("r2_flow_q25"),
+        q[1].alias("r2_flow_q75"),
+        *[F.median(c).alias(name) for name, c in medians.items()],
+    )
     return out.withColumns({"h2_diff": F.col("r2_quad_median") - F.col("r2_flow_median"), "h4_diff": F.col("r2_flow_median") - F.col("r2_ti_median")})
 
 
+HYPOTHESES = ("h1", "h2", "h3", "h4")
+
+
 def verdicts(summary: DataFrame) -> DataFrame:
-    """h1 to h4 of rows with frac_beta_pos, h2_diff, lam, lam_ci and h4_ci (structs lo, hi)."""
-    return summary.withColumns({
-        "h1": S.passed(F.col("frac_beta_pos") >= 0.95),
-        "h2": S.passed(F.col("h2_diff") < 0.02),
-        "h3": S.passed(F.col("lam").between(0.7, 1.3) & (F.col("lam_ci.hi") - F.col("lam_ci.lo") < 0.6)),
-        "h4": S.passed(F.col("h4_ci.lo") > 0),
-    })
+    """Adds h1 to h4 to rows with frac_beta_pos, h2_diff, lam, lam_ci and h4_ci (structs lo, hi)."""
+    rules = (
+        F.col("frac_beta_pos") >= 0.95,
+        F.col("h2_diff") < 0.02,
+        F.col("lam").between(0.7, 1.3) & (F.col("lam_ci.hi") - F.col("lam_ci.lo") < 0.6),
+        F.col("h4_ci.lo") > 0,
+    )
+    return summary.withColumns({h: S.passed(rule) for h, rule in zip(HYPOTHESES, rules, strict=True)})
 
 
 def closest_to_median(panel: DataFrame, value: str = "r2_flow") -> DataFrame:
@@ -123,7 +147,13 @@ def largest(symbols: DataFrame, n: int = 20) -> DataFrame:
     return symbols.where("quote_volume IS NOT NULL").orderBy(F.desc("quote_volume"), F.desc("symbol")).limit(n)
 
 
-def selection(candidates: DataFrame, least_updates: float = 1.0) -> DataFrame:
-    """candidates (symbol, quote_volume_musd, frac_spread_gt1, median_updates_per_s) with eligible, best first."""
+def selection(candidates: DataFrame, least_updates: float = 1.0, place: str | None = None) -> DataFrame:
+    """candidates (symbol, quote_volume_musd, frac_spread_gt1, median_updates_per_s) with eligible, best first.
+
+    ``place`` names a column for the row's place in that order; candidates are a handful (the largest symbols).
+    """
+    order = [F.desc("eligible"), F.desc("frac_spread_gt1"), F.desc("quote_volume_musd")]
     marked = candidates.withColumn("eligible", F.col("median_updates_per_s") >= least_updates)
-    return marked.orderBy(F.desc("eligible"), F.desc("frac_spread_gt1"), F.desc("quote_volume_musd"))
+    if place:
+        marked = marked.withColumn(place, F.row_number().over(Window.orderBy(*order)).cast("long"))
+    return marked.orderBy(*order)

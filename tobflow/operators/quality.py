@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tobflow.functions import scalars as S
+from tobflow.operators.percentiles import counted, percentiles
 from tobflow.schema import BOOK_COLUMNS, HOUR, SECOND
 
 #: Tick candidates are 5, 2 and 1 times a power of ten from 10**4 to 10**-8.
@@ -13,50 +14,88 @@ TICKS = [m * 10.0**k for k in range(4, -9, -1) for m in (5, 2, 1)]
 OFF_GRID_SHARE = 1e-4
 
 
-def quality_report(book: DataFrame, tick, keys: tuple[str, ...] = ("symbol", "day0")) -> DataFrame:
-    """One row of quality figures per stream.
+#: Counters that depend on the order of rows: their column in order_flags and how it is put together.
+ORDER = {"duplicate_rows": "repeated", "ts_backwards": "back", "local_ts_backwards": "local_back"}
 
-    book has keys, seq and the book columns. Spreads, prices and grid checks use rows without a missing value.
-    """
-    order = Window.partitionBy(*keys).orderBy("seq")
-    by_time = Window.partitionBy(*keys).orderBy("timestamp")
+
+def complete() -> Column:
+    out = F.lit(True)
+    for c in BOOK_COLUMNS:
+        out = out & F.col(c).isNotNull()
+    return out
+
+
+def order_flags(book: DataFrame, keys: tuple[str, ...] = ("symbol", "day0")) -> DataFrame:
+    """book with gap (to the row before in time), repeated, back and local_back (against the row before in seq)."""
+    by_time, order = Window.partitionBy(*keys).orderBy("timestamp"), Window.partitionBy(*keys).orderBy("seq")
     repeated = F.lit(True)
     for c in BOOK_COLUMNS:
         repeated = repeated & (F.col(c) == F.lag(c).over(order))
-    full = F.lit(True)
-    for c in BOOK_COLUMNS:
-        full = full & F.col(c).isNotNull()
-    rows = book.select(
-        *keys,
-        *BOOK_COLUMNS,
-        F.coalesce(repeated, F.lit(False)).alias("repeated"),
-        (F.col("timestamp") < F.lag("timestamp").over(order)).alias("back"),
-        (F.col("local_timestamp") < F.lag("local_timestamp").over(order)).alias("local_back"),
-        (F.col("timestamp") - F.lag("timestamp").over(by_time)).alias("gap"),
-        full.alias("full"),
-        F.when(full, F.rint((F.col("ask_price") - F.col("bid_price")) / tick).cast("int")).alias("spread"),
-        ((F.col("local_timestamp") - F.col("timestamp")) / 1000).alias("delay"),
-    )
-    good = F.col("full")
+    timed = book.withColumn("gap", F.col("timestamp") - F.lag("timestamp").over(by_time))
+    back = {name: F.col(c) < F.lag(c).over(order) for name, c in (("back", "timestamp"), ("local_back", "local_timestamp"))}
+    return timed.withColumns({"repeated": repeated, **back})
+
+
+def _of_order(where: Column | None = None) -> dict[str, Column]:
+    """Aggregates over order_flags, of the rows where a condition holds."""
+    when = lambda c: c if where is None else F.when(where, c)
+    counts = {name: F.count_if(F.coalesce(when(F.col(flag)), F.lit(False))) for name, flag in ORDER.items()}
+    return counts | {"max_gap_s": F.coalesce(F.max(when(F.col("gap"))), F.lit(0)) / SECOND}
+
+
+def observe_order(book: DataFrame, streams: list[tuple[str, int]], observation: Observation) -> DataFrame:
+    """book as it is; whatever job reads it leaves the order counters of each stream (symbol, day0) in the observation."""
+    metrics = []
+    for i, (symbol, day0) in enumerate(streams):
+        own = (F.col("symbol") == symbol) & (F.col("day0") == day0)
+        metrics += [v.alias(f"{name}_{i}") for name, v in _of_order(own).items()]
+    return order_flags(book).observe(observation, *metrics).select(*book.columns)
+
+
+def observed_order(spark: SparkSession, streams: list[tuple[str, int]], observation: Observation) -> DataFrame:
+    """symbol, day0 and the order counters, once the job is done."""
+    found, names = observation.get, [*ORDER, "max_gap_s"]
+    rows = [(*s, *(found[f"{name}_{i}"] for name in names)) for i, s in enumerate(streams)]
+    return spark.createDataFrame(rows, "symbol string, day0 long, duplicate_rows long, ts_backwards long, local_ts_backwards long, max_gap_s double")
+
+
+def order_report(book: DataFrame, keys: tuple[str, ...] = ("symbol", "day0")) -> DataFrame:
+    return order_flags(book, keys).groupBy(*keys).agg(*[v.alias(name) for name, v in _of_order().items()])
+
+
+def value_report(book: DataFrame, tick, keys: tuple[str, ...] = ("symbol", "day0")) -> DataFrame:
+    """The figures that do not depend on the order of rows, by keys."""
+    tick = F.lit(tick) if isinstance(tick, (int, float)) else tick
+    good, by = complete(), list(keys)
     gridded = S.on_grid(F.col("bid_price"), tick) & S.on_grid(F.col("ask_price"), tick)
-    spread = F.percentile("spread", F.array(F.lit(0.5), F.lit(0.99), F.lit(1.0)))
-    report = rows.groupBy(*keys).agg(
+    report = book.groupBy(*keys).agg(
         F.count("*").alias("rows"),
         F.count_if(~good).alias("rows_with_nan"),
-        F.count_if("repeated").alias("duplicate_rows"),
-        F.count_if("back").alias("ts_backwards"),
-        F.count_if("local_back").alias("local_ts_backwards"),
         F.count_if(good & (F.col("bid_price") >= F.col("ask_price"))).alias("crossed_or_locked"),
         F.count_if(good & ~gridded).alias("off_grid_rows"),
-        F.transform(spread, lambda x: x.cast("int")).alias("spread_ticks_p50_p99_max"),
-        F.avg((F.col("spread") == 1).cast("double")).alias("frac_spread_1tick"),
-        F.percentile("delay", F.lit(0.5)).alias("recv_delay_ms_p50"),
-        F.percentile("delay", F.lit(0.99)).alias("recv_delay_ms_p99"),
-        F.avg((F.col("delay") < 0).cast("double")).alias("frac_recv_delay_negative"),
-        (F.coalesce(F.max("gap"), F.lit(0)) / SECOND).alias("max_gap_s"),
     )
-    hours = rows_per_hour(book, keys).groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("hour", "rows"))), lambda x: x["rows"]).alias("rows_per_hour"))
-    return report.join(price_step(book, keys), list(keys), "left").join(hours, list(keys))
+    spreads = counted(book.where(good).withColumn("_s", F.rint((F.col("ask_price") - F.col("bid_price")) / tick)), by, "_s")
+    delays = counted(book.withColumn("_d", (F.col("local_timestamp") - F.col("timestamp")) / 1000), by, "_d")
+    share = lambda c: F.sum(F.when(c, F.col("n")).otherwise(0)) / F.sum("n")
+    spread = percentiles(spreads, by, {"p50": 0.5, "p99": 0.99, "top": 1.0})
+    spread = spread.select(*by, F.array(*[F.col(c).cast("int") for c in ("p50", "p99", "top")]).alias("spread_ticks_p50_p99_max"))
+    one = spreads.groupBy(*by).agg(share(F.col("value") == 1).alias("frac_spread_1tick"))
+    delay = percentiles(delays, by, {"recv_delay_ms_p50": 0.5, "recv_delay_ms_p99": 0.99})
+    early = delays.groupBy(*by).agg(share(F.col("value") < 0).alias("frac_recv_delay_negative"))
+    hours = rows_per_hour(book, keys).groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("hour", "rows"))).alias("_h"))
+    hours = hours.select(*by, F.transform("_h", lambda x: x["rows"]).alias("rows_per_hour"))
+    for part in (spread, one, delay, early, price_step(book, keys), hours):
+        report = report.join(part, by, "left")
+    return report
+
+
+def quality_report(book: DataFrame, tick, keys: tuple[str, ...] = ("symbol", "day0")) -> DataFrame:
+    """One row of quality figures per stream.
+
+    book has keys, seq and the book columns; tick is a number or a column of book. Spreads, prices and grid checks use
+    rows without a missing value. Percentiles come from counts of the distinct values.
+    """
+    return value_report(book, tick, keys).join(order_report(book, keys), list(keys))
 
 
 def price_step(book: DataFrame, keys: tuple[str, ...] = ("symbol", "day0")) -> DataFrame:
@@ -88,10 +127,14 @@ def infer_tick(prices: DataFrame, keys: tuple[str, ...] = ("symbol",), least: fl
     return shares.join(low, list(keys)).groupBy(*keys).agg(F.round(F.max(F.when(fits, F.col("tick"))), 12).alias("tick"))
 
 
+def refused(report: DataFrame, share: float = OFF_GRID_SHARE) -> DataFrame:
+    """The streams with more off-grid rows than the share allows."""
+    return report.where(F.col("off_grid_rows") > share * F.col("rows"))
+
+
 def gate(report: DataFrame, share: float = OFF_GRID_SHARE) -> None:
-    """ValueError if a stream has more off-grid rows than the share allows."""
-    bad = report.where(F.col("off_grid_rows") > share * F.col("rows")).limit(1).collect()
-    if bad:
+    """ValueError if a stream is refused."""
+    if bad := refused(report, share).limit(1).collect():
         raise ValueError(f"too many off-grid rows: {bad[0].asDict()}")
 
 

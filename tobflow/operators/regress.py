@@ -19,7 +19,17 @@ def shifted(buckets: DataFrame, column: str, offset_us: int) -> Column:
     return F.max(column).over(at)
 
 
-def window_regressions(buckets: DataFrame, window_us: int, x: str = "flow", z: str | None = None, y: str = "dmid_ticks", *, shift_us: int = 0, max_lags: int = 8, least: int = MIN_OBSERVATIONS) -> DataFrame:
+def window_regressions(
+    buckets: DataFrame,
+    window_us: int,
+    x: str = "flow",
+    z: str | None = None,
+    y: str = "dmid_ticks",
+    *,
+    shift_us: int = 0,
+    max_lags: int = 8,
+    least: int = MIN_OBSERVATIONS,
+) -> DataFrame:
     """OLS of y on a constant, x and, if given, z, in each window of each stream.
 
     Returns symbol, day0, window, alpha, beta and t_nw (of x), r2 and n. Rows with a missing value are left out.
@@ -27,11 +37,15 @@ def window_regressions(buckets: DataFrame, window_us: int, x: str = "flow", z: s
     Bartlett weights over lags of rows, as many as newey_west_lags gives (at most max_lags).
     """
     source = buckets.withColumn("_x", shifted(buckets, x, shift_us) if shift_us else F.col(x))
-    rows = source.select(*STREAM, "t", S.floor_to(F.col("t"), window_us).alias("window"), F.col("_x").cast("double").alias("x"), F.col(y).cast("double").alias("y"), *([F.col(z).cast("double").alias("z")] if z else [])).dropna("any")
+    numbers = {"x": "_x", "y": y} | ({"z": z} if z else {})
+    window = S.floor_to(F.col("t"), window_us).alias("window")
+    rows = source.select(*STREAM, "t", window, *[F.col(c).cast("double").alias(k) for k, c in numbers.items()]).dropna("any")
     keys = [*STREAM, "window"]
     whole, order = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy("t")
-    over = lambda e: e.over(whole)
-    rows = rows.select("*", over(F.count("*")).alias("n"), over(F.avg("x")).alias("mx"), over(F.avg("y")).alias("my"), over(F.var_pop("x")).alias("xx"), over(F.var_pop("y")).alias("yy"), over(F.covar_pop("x", "y")).alias("xy"), *([over(F.avg("z")).alias("mz"), over(F.var_pop("z")).alias("zz"), over(F.covar_pop("x", "z")).alias("xz"), over(F.covar_pop("z", "y")).alias("zy")] if z else []))
+    moments = {"n": F.count("*"), "mx": F.avg("x"), "my": F.avg("y"), "xx": F.var_pop("x"), "yy": F.var_pop("y"), "xy": F.covar_pop("x", "y")}
+    if z:
+        moments |= {"mz": F.avg("z"), "zz": F.var_pop("z"), "xz": F.covar_pop("x", "z"), "zy": F.covar_pop("z", "y")}
+    rows = rows.select("*", *[m.over(whole).alias(k) for k, m in moments.items()])
     rows = rows.where((F.col("n") >= least) & (F.col("xx") > 0))
     if z:
         det = F.col("xx") * F.col("zz") - F.col("xz") * F.col("xz")
@@ -53,8 +67,10 @@ def window_regressions(buckets: DataFrame, window_us: int, x: str = "flow", z: s
     for lag in range(1, max_lags + 1):
         weight = F.greatest(F.lit(0.0), 1 - F.lit(lag) / (F.col("lags") + 1))
         total = total + 2 * weight * F.col("psi") * F.coalesce(F.lag("psi", lag).over(order), F.lit(0.0))
-    rows = rows.select(*keys, "n", "b", alpha.alias("alpha"), F.when(F.col("yy") > 0, explained / F.col("yy")).alias("r2"), (F.col("own") * F.col("own")).alias("own2"), total.alias("meat"))
-    out = rows.groupBy(*keys).agg(F.first("alpha").alias("alpha"), F.first("b").alias("beta"), F.first("r2").alias("r2"), F.first("n").alias("n"), F.sum("own2").alias("own2"), F.sum("meat").alias("meat"))
+    r2 = F.when(F.col("yy") > 0, explained / F.col("yy"))
+    rows = rows.select(*keys, "n", "b", alpha.alias("alpha"), r2.alias("r2"), (F.col("own") * F.col("own")).alias("own2"), total.alias("meat"))
+    same = [F.first(c).alias(name) for c, name in (("alpha", "alpha"), ("b", "beta"), ("r2", "r2"), ("n", "n"))]
+    out = rows.groupBy(*keys).agg(*same, F.sum("own2").alias("own2"), F.sum("meat").alias("meat"))
     t = F.try_divide(F.col("beta") * F.col("own2"), F.sqrt(F.when(F.col("meat") > 0, F.col("meat"))))
     return out.select(*keys, "alpha", "beta", t.alias("t_nw"), "r2", "n")
 
@@ -65,31 +81,82 @@ def window_features(buckets: DataFrame, window_us: int) -> DataFrame:
     return buckets.groupBy(*STREAM, S.floor_to(F.col("t"), window_us).alias("window")).agg(F.avg("depth").alias("depth_mean"), wide.alias("frac_spread_gt1"))
 
 
-def _pair(x: str, name: str, least: int) -> Column:
+def _r2_of_pair(x: str, least: int) -> Column:
     """R2 of a regression of dmid_ticks on x alone, over rows where both are known."""
     n, sxx, syy, sxy = (F.expr(f"{f}(dmid_ticks, {x})") for f in ("regr_count", "regr_sxx", "regr_syy", "regr_sxy"))
-    return F.when((n >= least) & (sxx > 0) & (syy > 0), sxy * sxy / (sxx * syy)).alias(name)
+    return F.when((n >= least) & (sxx > 0) & (syy > 0), sxy * sxy / (sxx * syy))
+
 
+def _r2_with_square(least: int) -> Column:
+    """R2 of a regression of dmid_ticks on flow and flow * |flow|, from their co-moments."""
+    m = {k: F.expr(e) for k, e in (
+        ("xx", "var_pop(x)"), ("zz", "var_pop(z)"), ("yy", "var_pop(y)"),
+        ("xz", "covar_pop(x, z)"), ("xy", "covar_pop(x, y)"), ("zy", "covar_pop(z, y)"),
+    )}
+    det = m["xx"] * m["zz"] - m["xz"] * m["xz"]
+    explained = (m["xy"] * m["zz"] - m["zy"] * m["xz"]) * m["xy"] + (m["zy"] * m["xx"] - m["xy"] * m["xz"]) * m["zy"]
+    return F.when((F.count("x") >= least) & (m["xx"] > 0) & (m["yy"] > 0), F.try_divide(explained, det) / m["yy"])
 
-def window_panel(base: DataFrame, freq_us: int, window_us: int, *, shift: int = 5, least: int = MIN_OBSERVATIONS) -> DataFrame:
+
+def window_panel(base: DataFrame, freq_us: int, window_us: int, *, shift: int = 5, least: int = MIN_OBSERVATIONS, max_lags: int = 8) -> DataFrame:
     """One row per window of a base grid (with ti): the regressions, features and controls of the study.
 
     Coarsens to freq_us, drops funding times, and returns symbol, day0, window, beta, t_nw, r2_flow, n, r2_quad,
     r2_ti, r2_plc_p5, r2_plc_m5, depth_mean, frac_spread_gt1, block, weekend, day and events (of the whole day).
-    Rows with a missing value are left out.
+    Rows with a missing value are left out. The grid is read once and shuffled by stream once: windows give the moved
+    flow, the events of the day, the means and slope of each row's window and its lagged scores, and one aggregation
+    takes every co-moment.
     """
-    rows = drop_and_coarsen(base, freq_us)
-    main = window_regressions(rows, window_us, least=least).select(*STREAM, "window", "beta", "t_nw", F.col("r2").alias("r2_flow"), "n")
-    quad = window_regressions(rows.withColumn("flow_abs", F.col("flow") * F.abs("flow")), window_us, z="flow_abs", least=least).select(*STREAM, "window", F.col("r2").alias("r2_quad"))
-    both = rows.withColumn("plc_p", shifted(rows, "flow", shift * freq_us)).withColumn("plc_m", shifted(rows, "flow", -shift * freq_us))
-    others = both.groupBy(*STREAM, S.floor_to(F.col("t"), window_us).alias("window")).agg(_pair("ti", "r2_ti", least), _pair("plc_p", "r2_plc_p5", least), _pair("plc_m", "r2_plc_m5", least))
-    events = base.groupBy(*STREAM).agg(F.sum("n_events").alias("events"))
-    panel = main.join(quad, [*STREAM, "window"], "left").join(others, [*STREAM, "window"], "left").join(window_features(rows, window_us), [*STREAM, "window"], "left").join(events, STREAM)
-    window = F.col("window")
-    return panel.withColumns({"block": S.four_hour_block(window), "weekend": S.is_weekend(F.col("day0")), "day": S.iso_day(F.col("day0"))}).dropna("any")
-
-
-def drop_and_coarsen(base: DataFrame, freq_us: int) -> DataFrame:
     from tobflow.operators.buckets import drop_funding, resample
 
-    return drop_funding(resample(base, freq_us), freq_us)
+    day, keys = Window.partitionBy(*STREAM), [*STREAM, "window"]
+    coarse = resample(base, freq_us).withColumn("events", F.sum("n_events").over(day))
+    rows = drop_funding(coarse, freq_us).withColumn("window", S.floor_to(F.col("t"), window_us))
+    known = F.col("flow").isNotNull() & F.col("dmid_ticks").isNotNull()
+    rows = rows.withColumns({
+        "plc_p": shifted(rows, "flow", shift * freq_us),
+        "plc_m": shifted(rows, "flow", -shift * freq_us),
+        "x": F.when(known, F.col("flow")),
+        "y": F.when(known, F.col("dmid_ticks")),
+        "z": F.when(known, F.col("flow") * F.abs("flow")),
+    }).sortWithinPartitions(*keys, "t")
+    whole = Window.partitionBy(*keys)
+    rows = rows.withColumns({
+        "n": F.count("x").over(whole),
+        "mx": F.avg("x").over(whole),
+        "my": F.avg("y").over(whole),
+        "slope": F.try_divide(F.covar_pop("x", "y").over(whole), F.var_pop("x").over(whole)),
+    })
+    own = F.col("x") - F.col("mx")
+    rows = rows.withColumns({"own2": own * own, "psi": own * (F.col("y") - F.col("my") - F.col("slope") * own)})
+    # lags count known rows: a row's place among them orders it, others have no score
+    order = Window.partitionBy(*keys).orderBy(F.col("psi").isNull(), "t")
+    lags = F.least(S.newey_west_lags(F.col("n")), F.lit(max_lags))
+    meat = F.col("psi") * F.col("psi")
+    for lag in range(1, max_lags + 1):
+        weight = F.greatest(F.lit(0.0), 1 - F.lit(lag) / (lags + 1))
+        meat = meat + 2 * weight * F.col("psi") * F.coalesce(F.lag("psi", lag).over(order), F.lit(0.0))
+    wide = F.coalesce((F.col("spread_ticks") > 1).cast("double"), F.lit(0.0))
+    panel = rows.withColumn("meat", meat).groupBy(*keys).agg(
+        F.max("n").alias("n"),
+        F.max("slope").alias("beta"),
+        F.sum("own2").alias("own2"),
+        F.sum("meat").alias("meat"),
+        _r2_of_pair("x", least).alias("r2_flow"),
+        _r2_with_square(least).alias("r2_quad"),
+        _r2_of_pair("ti", least).alias("r2_ti"),
+        _r2_of_pair("plc_p", least).alias("r2_plc_p5"),
+        _r2_of_pair("plc_m", least).alias("r2_plc_m5"),
+        F.avg("depth").alias("depth_mean"),
+        F.avg(wide).alias("frac_spread_gt1"),
+        F.max("events").alias("events"),
+    )
+    t_nw = F.try_divide(F.col("beta") * F.col("own2"), F.sqrt(F.when(F.col("meat") > 0, F.col("meat"))))
+    panel = panel.where(F.col("n") >= least).withColumns({
+        "t_nw": t_nw,
+        "block": S.four_hour_block(F.col("window")),
+        "weekend": S.is_weekend(F.col("day0")),
+        "day": S.iso_day(F.col("day0")),
+    })
+    names = ["beta", "t_nw", "r2_flow", "n", "r2_quad", "r2_ti", "r2_plc_p5", "r2_plc_m5", "depth_mean", "frac_spread_gt1", "events", "block", "weekend", "day"]
+    return panel.select(*keys, *names).dropna("any")

@@ -12,7 +12,7 @@ from tobflow.functions import scalars as S
 from tobflow.operators import bootstrap as B
 from tobflow.operators import buckets as K
 from tobflow.operators import depthfit, explore, predict, quality, strategy
-from tobflow.operators.events import event_flow, with_days
+from tobflow.operators.events import event_flow, with_days, with_median_day
 from tobflow.operators.regress import shifted, window_features, window_panel, window_regressions
 from tobflow.plans.fixture import BASE, COARSE, LATENCIES, TICK, WINDOW, book, trades
 from tobflow.schema import DAY, HOUR, STREAM
@@ -20,7 +20,6 @@ from tobflow.sources.market import first_days
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-DRAWS, SEED = 200, 7
 SPLIT = ("2024-01-21", "2024-01-26")
 
 
@@ -290,43 +289,92 @@ def lower_quantile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def depth_nls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = panel(spark, sf_dir).where("beta > 0 OR beta <= 0")
-    return depthfit.fit_panel(rows).drop("symbol")
-
-
-def _values(blocks: list[str], draws: int, seed: int) -> str:
-    table = B.multiplicities(blocks, draws, seed)
-    return ", ".join(f"({d}, '{b}', {m})" for d, b, m in table.itertuples(index=False))
-
-
-_DAYS = [f"2024-01-{d:02d}" for d in range(1, 31)]
-
-
-@query(f"""WITH {_PANEL}, mult(draw, day, m) AS (VALUES {_values(_DAYS, 40, SEED)}),
-reps AS (SELECT draw, r2_flow FROM (SELECT *, unnest(range(m)) FROM mult) JOIN panel USING (day)),
-draws AS (SELECT draw, median(r2_flow) AS r2 FROM reps GROUP BY draw)
-SELECT round(quantile_cont(r2, 0.025), 6) AS lo, round(quantile_cont(r2, 0.975), 6) AS hi FROM draws HAVING count(*) > 0""")
+    """Every coefficient of the nonlinear fit; its optimality is the query depth_gradient."""
+    return depthfit.fit_panel(panel(spark, sf_dir)).drop("symbol")
+
+
+@query(f"""WITH {_PANEL} SELECT unnest(['a', 'lam', 'weekend', 'blk_1', 'blk_2', 'blk_3', 'blk_4', 'blk_5']) AS parameter,
+  unnest([true, true, stddev_pop(weekend) > 0, {', '.join(f"stddev_pop(CASE WHEN block = {j} THEN 1 ELSE 0 END) > 0" for j in range(1, 6))}]) AS optimal FROM panel HAVING count(*) > 0""")
+def depth_gradient(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the loss is flat at the fit in each parameter; false for a control that is constant and so left out."""
+    rows = panel(spark, sf_dir)
+    slopes = depthfit.gradient(rows, depthfit.fit_panel(rows))
+    names = ["a", "lam", *depthfit.CONTROLS]
+    pairs = F.array(*[F.struct(F.lit(c).alias("parameter"), F.coalesce(F.abs(c) < 1e-4, F.lit(False)).alias("optimal")) for c in names])
+    return slopes.select(F.inline(pairs))
+
+
+@query(f"""WITH {_PANEL} SELECT "window", {', '.join(f'CAST(CASE WHEN block = {j} THEN 1 ELSE 0 END AS DOUBLE) AS blk_{j}' for j in range(1, 6))}, CAST(weekend AS DOUBLE) AS weekend FROM panel""")
+def depth_controls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return depthfit.controls(panel(spark, sf_dir)).select("window", *depthfit.CONTROLS)
+
+
+def _draws(blocks: int) -> str:
+    """CTE mult (draw, i, m): the multiplicity of block i in each draw, one digit each, for so many blocks."""
+    table = B.multiplicities(blocks)
+    digits = "".join(map(str, table.ravel().tolist()))
+    if len(digits) != table.size:
+        raise ValueError("a block is drawn more than nine times")
+    return f"""mult AS (
+  SELECT draw, i, CAST(substr(s, draw * {blocks} + i + 1, 1) AS BIGINT) AS m
+  FROM (SELECT '{digits}' AS s), (SELECT unnest(range({len(table)})) AS draw), (SELECT unnest(range({blocks})) AS i))"""
+
+
+@query(f"""WITH {_PANEL}, {_draws(30)},
+days AS (SELECT day, row_number() OVER (ORDER BY day) - 1 AS i FROM (SELECT DISTINCT day FROM panel)),
+reps AS (SELECT draw, r2_flow, r2_ti FROM (SELECT draw, i, unnest(range(m)) FROM mult) JOIN days USING (i) JOIN panel USING (day)),
+draws AS (SELECT draw, median(r2_flow) AS r2, median(r2_flow) - median(r2_ti) AS h4 FROM reps GROUP BY draw)
+SELECT round(quantile_cont(r2, 0.025), 6) AS lo, round(quantile_cont(r2, 0.975), 6) AS hi, round(quantile_cont(h4, 0.025), 6) AS h4_lo, round(quantile_cont(h4, 0.975), 6) AS h4_hi
+FROM draws HAVING count(*) > 0""")
 def bootstrap_median_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
-    draws = B.bootstrap(panel(spark, sf_dir), "day", B.draw_table(spark, _DAYS, 40, SEED), F.percentile("r2_flow", F.lit(0.5), F.col("m")).alias("r2"))
-    return rounded(B.percentile_ci(draws, "r2").where("r2.lo IS NOT NULL").select("r2.lo", "r2.hi"))
+    """All draws of the study over the days of the panel."""
+    statistics = {"r2": B.Median("r2_flow"), "h4": B.Difference(B.Median("r2_flow"), B.Median("r2_ti"))}
+    draws = B.bootstrap(panel(spark, sf_dir), "day", statistics, keys=["symbol"], columns=["r2_flow", "r2_ti"], order="window")
+    ci = B.percentile_ci(draws, "r2", "h4", keys=["symbol"])
+    return rounded(ci.select("r2.lo", "r2.hi", F.col("h4.lo").alias("h4_lo"), F.col("h4.hi").alias("h4_hi")))
 
 
 # ---- quality
 
 
 @query(f"""WITH {_BOOK}, b AS (SELECT *, ts // {DAY} * {DAY} AS day0 FROM book),
-l AS (SELECT *, lag(ts) OVER w AS pts, lag(lts) OVER w AS plts, bp = lag(bp) OVER w AND ap = lag(ap) OVER w AND bs = lag(bs) OVER w AND az = lag(az) OVER w AND ts = lag(ts) OVER w AS dup
+l AS (SELECT *, lag(ts) OVER w AS pts, lag(lts) OVER w AS plts, bp = lag(bp) OVER w AND ap = lag(ap) OVER w AND bs = lag(bs) OVER w AND az = lag(az) OVER w AND ts = lag(ts) OVER w AND lts = lag(lts) OVER w AS dup
       FROM b WINDOW w AS (PARTITION BY day0 ORDER BY seq)),
-g AS (SELECT *, ts - lag(ts) OVER (PARTITION BY day0 ORDER BY ts) AS gap, CAST(round_even((ap - bp) / {TICK}, 0) AS INT) AS spread FROM l)
-SELECT day0, count(*) AS "rows", count(*) FILTER (WHERE dup) AS duplicate_rows, count(*) FILTER (WHERE ts < pts) AS ts_backwards, count(*) FILTER (WHERE lts < plts) AS local_ts_backwards,
-  count(*) FILTER (WHERE bp >= ap) AS crossed_or_locked, CAST(floor(quantile_cont(spread, 0.5)) AS INT) AS spread_p50, CAST(floor(quantile_cont(spread, 0.99)) AS INT) AS spread_p99,
-  max(spread) AS spread_max, round(avg(CASE WHEN spread = 1 THEN 1.0 ELSE 0.0 END), 6) AS frac_spread_1tick, round(quantile_cont((lts - ts) / 1000, 0.5), 6) AS recv_delay_ms_p50,
-  round(coalesce(max(gap), 0) / 1000000, 6) AS max_gap_s FROM g GROUP BY day0""")
+g AS (SELECT *, ts - lag(ts) OVER (PARTITION BY day0 ORDER BY ts) AS gap, CAST(round_even((ap - bp) / {TICK}, 0) AS INT) AS spread,
+        bp IS NOT NULL AND ap IS NOT NULL AND bs IS NOT NULL AND az IS NOT NULL AS ok FROM l),
+p AS (SELECT DISTINCT day0, unnest([bp, ap]) AS price FROM g WHERE ok),
+pg AS (SELECT day0, price - lag(price) OVER (PARTITION BY day0 ORDER BY price) AS step FROM p),
+tick AS (SELECT day0, round(min(step), 10) AS inferred_tick FROM pg GROUP BY day0)
+SELECT day0, count(*) AS "rows", count(*) FILTER (WHERE NOT ok) AS rows_with_nan, count(*) FILTER (WHERE dup) AS duplicate_rows, count(*) FILTER (WHERE ts < pts) AS ts_backwards,
+  count(*) FILTER (WHERE lts < plts) AS local_ts_backwards, count(*) FILTER (WHERE ok AND bp >= ap) AS crossed_or_locked,
+  count(*) FILTER (WHERE ok AND NOT (abs(bp / {TICK} - round_even(bp / {TICK}, 0)) < 1e-6 AND abs(ap / {TICK} - round_even(ap / {TICK}, 0)) < 1e-6)) AS off_grid_rows,
+  any_value(inferred_tick) AS inferred_tick,
+  CAST(floor(quantile_cont(spread, 0.5)) AS INT) AS spread_p50, CAST(floor(quantile_cont(spread, 0.99)) AS INT) AS spread_p99, max(spread) AS spread_max,
+  round(avg(CASE WHEN spread = 1 THEN 1.0 ELSE 0.0 END), 6) AS frac_spread_1tick, round(quantile_cont((lts - ts) / 1000, 0.5), 6) AS recv_delay_ms_p50,
+  round(quantile_cont((lts - ts) / 1000, 0.99), 6) AS recv_delay_ms_p99, round(avg(CASE WHEN lts < ts THEN 1.0 ELSE 0.0 END), 6) AS frac_recv_delay_negative,
+  round(coalesce(max(gap), 0) / 1000000, 6) AS max_gap_s FROM g JOIN tick USING (day0) GROUP BY day0""")
 def quality_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = book(spark, sf_dir).withColumn("day0", S.day_start(F.col("timestamp")))
-    out = quality.quality_report(rows, TICK)
     spread = F.col("spread_ticks_p50_p99_max")
-    return rounded(out.select("day0", "rows", "duplicate_rows", "ts_backwards", "local_ts_backwards", "crossed_or_locked", spread[0].alias("spread_p50"), spread[1].alias("spread_p99"), spread[2].alias("spread_max"), "frac_spread_1tick", "recv_delay_ms_p50", "max_gap_s"))
+    out = quality.quality_report(rows, TICK).withColumns({"spread_p50": spread[0], "spread_p99": spread[1], "spread_max": spread[2]})
+    return rounded(out.drop("symbol", "spread_ticks_p50_p99_max", "rows_per_hour"))
+
+
+@query(f"""WITH {_BOOK}, b AS (SELECT ts // {DAY} * {DAY} AS day0, abs(bp / 1.0 - round_even(bp / 1.0, 0)) < 1e-6 AND abs(ap / 1.0 - round_even(ap / 1.0, 0)) < 1e-6 AS ok FROM book)
+SELECT day0, count(*) AS "rows", count(*) FILTER (WHERE NOT ok) AS off_grid_rows FROM b GROUP BY day0 HAVING count(*) FILTER (WHERE NOT ok) > {quality.OFF_GRID_SHARE} * count(*)""")
+def off_grid_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The days that the gate refuses for a tick of 1."""
+    rows = book(spark, sf_dir).withColumn("day0", S.day_start(F.col("timestamp")))
+    return quality.refused(quality.value_report(rows, 1.0)).select("day0", "rows", "off_grid_rows")
+
+
+@query(f"""WITH {_BOOK}, m AS (SELECT e.event_type AS source, b.ts, b.lts FROM book b JOIN events e ON e.event_id = b.seq)
+SELECT source, CAST(median(ts) AS BIGINT) // {DAY} * {DAY} AS day0, count(*) AS "rows" FROM m GROUP BY source""")
+def median_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The day of each group of rows by its median time, rows of other days staying with their group."""
+    kinds = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_id").alias("seq"), F.col("event_type").alias("source"))
+    rows = with_median_day(book(spark, sf_dir).join(kinds, "seq"), ["source"])
+    return rows.groupBy("source", "day0").agg(F.count("*").alias("rows"))
 
 
 @query(f"""WITH {_BOOK}, b AS (SELECT ts // {DAY} * {DAY} AS day0, ts // {HOUR} % 24 AS hour FROM book),
@@ -361,9 +409,33 @@ def symbol_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return explore.largest(explore.universe(volumes))
 
 
-@query("""SELECT CAST(CAST(d AS DATE) AS VARCHAR) AS day FROM range(TIMESTAMP '2023-10-01', TIMESTAMP '2026-03-02', INTERVAL 1 MONTH) t(d)""")
+_CANDIDATES = """u AS (SELECT upper(event_type) || (user_id % 12) || 'USDT' AS symbol, value, epoch_us(ts) // 60000000 AS minute FROM events),
+f AS (SELECT symbol, CAST(round(sum(CAST(round(value * 100) AS BIGINT)) / 100.0, 2) AS DOUBLE) / 1e6 AS quote_volume_musd, count(*) AS n,
+        avg(CASE WHEN value > 50 THEN 1.0 ELSE 0.0 END) AS frac_spread_gt1, CAST(count(*) AS DOUBLE) / count(DISTINCT minute) AS median_updates_per_s FROM u GROUP BY symbol)"""
+
+
+@query(f"""WITH {_CANDIDATES} SELECT symbol, round(quote_volume_musd, 9) AS quote_volume_musd, round(frac_spread_gt1, 9) AS frac_spread_gt1, round(median_updates_per_s, 9) AS median_updates_per_s,
+  median_updates_per_s >= 1.01 AS eligible, row_number() OVER (ORDER BY median_updates_per_s >= 1.01 DESC, round(frac_spread_gt1, 9) DESC, round(quote_volume_musd, 9) DESC) AS place FROM f""")
+def symbol_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates in the order of the selection rule."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    symbol = F.concat(F.upper("event_type"), (F.col("user_id") % 12).cast("string"), F.lit("USDT"))
+    minute = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / (60 * 1_000_000))
+    cents = F.sum(F.round(F.col("value") * 100).cast("long"))
+    rows = e.groupBy(symbol.alias("symbol")).agg(
+        F.round(F.round(cents / 100, 2) / 1e6, 9).alias("quote_volume_musd"),
+        F.round(F.avg((F.col("value") > 50).cast("double")), 9).alias("frac_spread_gt1"),
+        F.round(F.count("*") / F.countDistinct(minute), 9).alias("median_updates_per_s"),
+    )
+    return explore.selection(rows, 1.01, place="place")
+
+
+@query("""WITH d AS (SELECT DISTINCT CAST(ts AS DATE) AS day FROM events), r AS (SELECT min(day) AS lo, max(day) AS hi FROM d)
+SELECT CAST(CAST(m AS DATE) AS VARCHAR) AS day FROM r, range(date_trunc('month', lo), CAST(hi AS TIMESTAMP) + INTERVAL 1 DAY, INTERVAL 1 MONTH) t(m) WHERE CAST(m AS DATE) >= lo""")
 def month_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return first_days(spark, "2023-09-02", "2026-03-01")
+    """The first of every month within the closed range of days of the events."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return first_days(e.agg(F.min("ts").cast("date").alias("start"), F.max("ts").cast("date").alias("end")))
 
 
 # ---- prediction
@@ -412,18 +484,17 @@ def oos_r2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(rows.agg(predict.out_of_sample_r2(F.col("y"), F.col("yhat")).alias("oos_r2"), F.count("*").alias("n")))
 
 
-_TEST_DAYS = [f"2024-01-{d:02d}" for d in range(21, 26)]
-
-
-@query(f"""WITH {_FRAME}, mult(draw, day, m) AS (VALUES {_values(_TEST_DAYS, DRAWS, SEED)}),
+@query(f"""WITH {_FRAME}, {_draws(5)},
 e AS (SELECT model, latency_ms, day, sum((y - yhat) * (y - yhat)) AS sse, sum(y * y) AS sst FROM pred GROUP BY ALL),
-d AS (SELECT model, latency_ms, draw, 1 - sum(m * sse) / sum(m * sst) AS r2 FROM e JOIN mult USING (day) GROUP BY ALL)
+n AS (SELECT *, row_number() OVER (PARTITION BY model, latency_ms ORDER BY day) - 1 AS i FROM e),
+d AS (SELECT model, latency_ms, draw, 1 - sum(m * sse) / sum(m * sst) AS r2 FROM n JOIN mult USING (i) GROUP BY ALL)
 SELECT model, latency_ms, round(quantile_cont(r2, 0.025), 6) AS lo, round(quantile_cont(r2, 0.975), 6) AS hi FROM d GROUP BY ALL""")
 def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
-    errors = predict.day_errors(predicted(spark, sf_dir)).withColumnRenamed("day", "block")
-    draws = errors.join(B.draw_table(spark, _TEST_DAYS, DRAWS, SEED), "block").groupBy("model", "latency_ms", "draw")
-    r2 = draws.agg((1 - F.sum(F.col("m") * F.col("sse")) / F.sum(F.col("m") * F.col("sst0"))).alias("r2"))
-    return rounded(r2.groupBy("model", "latency_ms").agg(F.percentile("r2", F.lit(0.025)).alias("lo"), F.percentile("r2", F.lit(0.975)).alias("hi")))
+    """All draws of the study over the days that are scored."""
+    keys = ["model", "latency_ms"]
+    errors = predict.day_errors(predicted(spark, sf_dir))
+    draws = B.bootstrap(errors, "day", {"r2": B.Explained("sse", "sst0")}, keys=keys, columns=["sse", "sst0"], order="day", batch=5000)
+    return rounded(B.percentile_ci(draws, "r2", keys=keys).select(*keys, "r2.lo", "r2.hi"))
 
 
 @query(f"""WITH {_FRAME}, main AS (SELECT * FROM longer WHERE model = 'flow' AND latency_ms = {LATENCIES[1] / 1000}),

@@ -11,11 +11,12 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tobflow.config import check_date
 from tobflow.functions import scalars as S
 from tobflow.operators.events import nan_to_null
-from tobflow.schema import BOOK_COLUMNS, BOOK_FILE, TRADE_COLUMNS, TRADES_FILE
+from tobflow.schema import BOOK_COLUMNS, BOOK_FILE, TRADE_COLUMNS, TRADES_FILE, WINDOWS
 
 ATTEMPTS, TIMEOUT_S = 4, 60
 #: The day a file is for, in its name.
@@ -60,31 +61,47 @@ def missing_days(spark: SparkSession, rows: DataFrame, days: list[str]) -> list[
     return sorted(r.day for r in wanted.join(have, "day", "left_anti").collect())
 
 
+def committed(spark: SparkSession, root: str) -> set[tuple[str, str]]:
+    """(symbol, day) of every day that a table partitioned by them holds: a listing, nothing is read."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/symbol=*/day=*/*.parquet")
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
+    folders = [f.getPath().getParent() for f in found or []]
+    return {(f.getParent().getName().removeprefix("symbol="), f.getName().removeprefix("day=")) for f in folders}
+
+
+def pending(spark: SparkSession, root: str, wanted: Iterable[tuple[str, str]]) -> list[tuple[str, str]]:
+    """The wanted (symbol, day) that the table does not hold."""
+    have = committed(spark, root)
+    return [w for w in wanted if w not in have]
+
+
 def write_days(rows: DataFrame, root: str) -> None:
-    """Append rows (symbol, day0, ...) by symbol and day, leaving out streams that are there."""
-    spark = rows.sparkSession
+    """Append rows (symbol, day0, t, ...) by symbol and day. A day is one file of one job, so it is there as a whole or not at all."""
     dated = rows.withColumn("day", S.iso_day(F.col("day0")))
-    try:
-        have = spark.read.parquet(root).select("symbol", F.col("day").cast("string").alias("day")).distinct()
-        dated = dated.join(F.broadcast(have), ["symbol", "day"], "left_anti")
-    except Exception as e:  # nothing is there yet
-        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-            raise
-    dated.repartition("symbol", "day").sortWithinPartitions("t").write.mode("append").partitionBy("symbol", "day").parquet(root)
+    dated.repartition("symbol", "day").sortWithinPartitions("symbol", "day", "t").write.mode("append").partitionBy("symbol", "day").parquet(root)
+
+
+def write_windows(panel: DataFrame, path: str) -> None:
+    """A panel of one symbol as a window table, in the order of its windows."""
+    names = StructType.fromDDL(WINDOWS).names
+    panel.select(*names).orderBy("window").coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+
+
+def read_windows(spark: SparkSession, path: str) -> DataFrame:
+    """A window table as write_windows makes it."""
+    return spark.read.schema(WINDOWS).option("header", True).option("enforceSchema", False).csv(path)
 
 
-def first_days(spark: SparkSession, start: str, end: str) -> DataFrame:
-    """day: the first of every month in the closed range."""
-    months = spark.sql(f"SELECT explode(sequence(trunc(DATE'{start}', 'MM'), DATE'{end}', INTERVAL 1 MONTH)) AS day")
-    return months.where(F.col("day") >= F.lit(start).cast("date")).select(F.col("day").cast("string").alias("day"))
+def first_days(ranges: DataFrame) -> DataFrame:
+    """day: the first of every month in each closed range (start, end: dates)."""
+    months = F.explode(F.sequence(F.trunc("start", "MM"), F.col("end"), F.expr("INTERVAL 1 MONTH")))
+    return ranges.select("start", months.alias("day")).where(F.col("day") >= F.col("start")).select(F.col("day").cast("string").alias("day"))
 
 
 def download(url: str, path: Path, opener: Callable = urllib.request.urlopen, sleep: Callable[[float], None] = time.sleep) -> Path:
     """Fetch a file unless it is there. Retries lost connections and short bodies; HTTP errors are raised at once."""
     if path.exists():
         return path
-    if found := re.search(_DATE, path.name):
-        check_date(found[1])
     path.parent.mkdir(parents=True, exist_ok=True)
     part = path.with_name(path.name + ".part")
     for attempt in range(1, ATTEMPTS + 1):
@@ -123,5 +140,5 @@ def listing(url: str, pattern: str, opener: Callable = urllib.request.urlopen) -
 
 def quote_volume(lines: DataFrame) -> DataFrame:
     """symbol and quote_volume (the eighth field) of daily candle lines (symbol, line); header lines are left out."""
-    fields = F.split("line", ",")
-    return lines.where(~F.col("line").startswith("open_time")).select("symbol", F.try_element_at(fields, F.lit(8)).try_cast("double").alias("quote_volume"))
+    volume = F.try_element_at(F.split("line", ","), F.lit(8)).try_cast("double")
+    return lines.where(~F.col("line").startswith("open_time")).select("symbol", volume.alias("quote_volume"))

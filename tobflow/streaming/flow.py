@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,22 +17,27 @@ PRICES = ["bid_price", "bid_amount", "ask_price", "ask_amount"]
 FLOWS = "symbol string, seq long, timestamp long, flow double"
 
 
-def _flows(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    rows = pd.concat(list(frames)).sort_values("seq", ignore_index=True)
-    if state.exists:
-        rows = pd.concat([pd.DataFrame([state.get], columns=PRICES), rows], ignore_index=True)
+def _side(rows: pd.DataFrame, was: pd.DataFrame, price: str, size: str, sign: int) -> pd.Series:
+    """What a side adds: its size now where its price is as good or better, less its size before where that is as good or worse."""
+    step = sign * (rows[price] - was[price])
+    return rows[size].where(step >= 0, 0.0) - was[size].where(step <= 0, 0.0)
+
+
+def flows_of(rows: pd.DataFrame, before: list | tuple | None) -> pd.Series:
+    """Flow of each update of rows in the order of seq; before is the book row that precedes them."""
     was = rows[PRICES].shift()
-    side = lambda p, q, up: (rows[q].where((rows[p] >= was[p]) if up else (rows[p] <= was[p]), 0.0) - was[q].where((rows[p] <= was[p]) if up else (rows[p] >= was[p]), 0.0))
-    known = rows[["bid_amount", "ask_amount"]].notna().all(axis=1) & was[["bid_amount", "ask_amount"]].notna().all(axis=1)
-    flow = (side("bid_price", "bid_amount", True) - side("ask_price", "ask_amount", False)).where(known)
-    out = rows.assign(symbol=key[0], flow=flow)
-    state.update(tuple(float(x) for x in rows[PRICES].iloc[-1]))
-    yield out.iloc[1 if state_was(out) else 0 :][["symbol", "seq", "timestamp", "flow"]]
+    if before is not None and len(rows):
+        was.iloc[0] = [np.nan if x is None else x for x in before]
+    sizes = ["bid_amount", "ask_amount"]
+    known = rows[sizes].notna().all(axis=1) & was[sizes].notna().all(axis=1)
+    return (_side(rows, was, "bid_price", "bid_amount", 1) - _side(rows, was, "ask_price", "ask_amount", -1)).where(known)
 
 
-def state_was(rows: pd.DataFrame) -> bool:
-    """Whether the first row is the carried one, which has no seq."""
-    return bool(rows["seq"].isna().iloc[0])
+def _flows(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    rows = pd.concat(list(frames)).sort_values("seq", ignore_index=True)
+    flow = flows_of(rows, state.get if state.exists else None)
+    state.update(tuple(float(x) for x in rows[PRICES].iloc[-1]))
+    yield rows.assign(symbol=key[0], flow=flow)[["symbol", "seq", "timestamp", "flow"]]
 
 
 def stream_flow(book: DataFrame) -> DataFrame:
