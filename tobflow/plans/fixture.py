@@ -14,7 +14,16 @@ LATENCIES = (0, 60 * SECOND, 300 * SECOND)
 
 def book(spark: SparkSession, sf_dir: str) -> DataFrame:
     """symbol, seq, timestamp, local_timestamp and the top of the book after each event."""
-    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return book_of(spark.read.parquet(f"{sf_dir}/events.parquet"))
+
+
+def streamed_book(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The book as a stream over the events file."""
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    return book_of(spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir))
+
+
+def book_of(e: DataFrame) -> DataFrame:
     k = F.get_json_object("props", "$.k").cast("int")
     ts = F.unix_micros(F.col("ts").cast("timestamp"))
     bid = F.floor(k / 10).cast("double") * 0.5 + 100.0
@@ -38,4 +47,12 @@ def trades(spark: SparkSession, sf_dir: str, clock: str = "timestamp") -> DataFr
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
     ts = F.unix_micros(F.col("ts").cast("timestamp"))
     side = F.when(F.col("event_type") == "purchase", "buy").when(F.col("event_type") == "signup", "sell").otherwise("unknown")
-    return e.select(F.lit("EVT").alias("symbol"), day_start(ts + (3000 if clock == "local_timestamp" else 0)).alias("day0"), F.col("event_id").alias("seq"), ts.alias("timestamp"), (ts + 3000).alias("local_timestamp"), side.alias("side"), F.round(F.col("value") * 100).alias("amount"))
+    return e.select(
+        F.lit("EVT").alias("symbol"),
+        day_start(ts + (3000 if clock == "local_timestamp" else 0)).alias("day0"),
+        F.col("event_id").alias("seq"),
+        ts.alias("timestamp"),
+        (ts + 3000).alias("local_timestamp"),
+        side.alias("side"),
+        F.round(F.col("value") * 100).alias("amount"),
+    )

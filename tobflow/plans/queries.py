@@ -4,19 +4,24 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tobflow.config import FEE_BPS, WALK_FORWARD_DAYS
+from tobflow.config import BOOTSTRAP_DRAWS, FEE_BPS, WALK_FORWARD_DAYS
 from tobflow.functions import scalars as S
 from tobflow.operators import bootstrap as B
 from tobflow.operators import buckets as K
 from tobflow.operators import depthfit, explore, predict, quality, strategy
 from tobflow.operators.events import event_flow, with_days, with_median_day
 from tobflow.operators.regress import shifted, window_features, window_panel, window_regressions
-from tobflow.plans.fixture import BASE, COARSE, LATENCIES, TICK, WINDOW, book, trades
+from tobflow.operators import quality_fold as fold
+from tobflow.plans import explorer, study
+from tobflow.plans.fixture import BASE, COARSE, LATENCIES, TICK, WINDOW, book, streamed_book, trades
 from tobflow.schema import DAY, HOUR, STREAM
 from tobflow.sources.market import first_days
+from tobflow.streaming.dense import dense_buckets
+from tobflow.streaming.flow import stream_flow
+from tobflow.streaming.run import drained, rocksdb
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -334,6 +339,52 @@ def bootstrap_median_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(ci.select("r2.lo", "r2.hi", F.col("h4.lo").alias("h4_lo"), F.col("h4.hi").alias("h4_hi")))
 
 
+@query(f"""WITH {_PANEL} SELECT CASE WHEN avg(CASE WHEN beta > 0 THEN 1.0 ELSE 0.0 END) >= 0.95 THEN 'PASS' ELSE 'FAIL' END AS h1,
+  CASE WHEN median(r2_quad) - median(r2_flow) < 0.02 THEN 'PASS' ELSE 'FAIL' END AS h2 FROM panel HAVING count(*) > 0""")
+def hypotheses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdicts that need no interval."""
+    nothing = F.struct(F.lit(None).cast("double").alias("lo"), F.lit(None).cast("double").alias("hi"))
+    summary = explore.panel_summary(panel(spark, sf_dir)).withColumns({"lam": F.lit(None).cast("double"), "lam_ci": nothing, "h4_ci": nothing})
+    return explore.verdicts(summary).select("h1", "h2")
+
+
+@query(f"""WITH {_COARSE}, {_HAC}, {_PLACEBO}, {_fit('plc_p', 'moved', 'fp')}, {_fit('plc_m', 'moved', 'fm')},
+w AS (SELECT strftime(make_timestamp(o."window"), '%Y-%m-%d') AS day, o.beta, o.r2, h.t_nw, p.r2 AS r2_p5, m.r2 AS r2_m5
+      FROM ols o LEFT JOIN hac h USING ("window") LEFT JOIN fp p USING ("window") LEFT JOIN fm m USING ("window")),
+u AS (SELECT * FROM w UNION ALL SELECT 'pooled', beta, r2, t_nw, r2_p5, r2_m5 FROM w)
+SELECT day, count(*) AS windows, round(avg(CASE WHEN beta > 0 THEN 1.0 ELSE 0.0 END), 6) AS frac_beta_pos, count(*) FILTER (WHERE beta <= 0) AS n_beta_nonpos,
+  round(median(r2), 6) AS r2_median, round(median(t_nw), 5) AS t_nw_median, round(median(r2_m5), 6) AS r2_m5_median, round(median(r2_p5), 6) AS r2_p5_median,
+  round(quantile_cont(r2, 0.25), 6) AS r2_q25, round(quantile_cont(r2, 0.75), 6) AS r2_q75 FROM u GROUP BY day""")
+def pilot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pilot's summary of each day and of all days."""
+    grid = K.resample(base(spark, sf_dir), COARSE)
+    windows = study.pilot_windows(grid, COARSE, WINDOW).withColumn("day", S.iso_day(F.col("day0")))
+    out = study.pilot_summary(windows, "day").unionByName(study.pilot_summary(windows.withColumn("day", F.lit("pooled")), "day"))
+    return rounded(out.withColumn("t_nw_median", F.round("t_nw_median", 5)))
+
+
+@query(f"""WITH {_PANEL}, best AS (SELECT min("window") AS "window" FROM panel WHERE round(abs(r2_flow - (SELECT median(r2_flow) FROM panel)), 9) =
+  (SELECT min(round(abs(r2_flow - (SELECT median(r2_flow) FROM panel)), 9)) FROM panel))
+SELECT t, flow, dmid_ticks, round(regr_slope(dmid_ticks, flow) OVER (), 6) + 0 AS slope FROM coarse JOIN best ON t // {WINDOW} * {WINDOW} = "window" WHERE dmid_ticks IS NOT NULL""")
+def example_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The buckets of the window closest to the median, with the slope of their line."""
+    grid = base(spark, sf_dir).persist()
+    rows = window_panel(grid, COARSE, WINDOW).withColumn("r2_flow", F.round("r2_flow", 9))
+    points = explorer.example_window(grid, rows, COARSE, WINDOW)
+    line = explorer.fitted_line(points).select("symbol", F.round("slope", 6).alias("slope"))
+    return points.where("dmid_ticks IS NOT NULL").join(line, "symbol").select("t", "flow", "dmid_ticks", (F.col("slope") + 0).alias("slope"))
+
+
+@query(f"""WITH {_PANEL}, s AS (SELECT quantile_cont(depth_mean, 0.01) AS lo, quantile_cont(depth_mean, 0.99) AS hi, exp(avg(ln(depth_mean))) AS mid,
+  exp(avg(ln(CASE WHEN beta > 0 THEN beta END))) AS b FROM panel)
+SELECT k, round(lo * power(hi / lo, k / 9.0), 6) AS depth, round(b * power(lo * power(hi / lo, k / 9.0) / mid, -1.0), 6) AS slope FROM s, (SELECT unnest(range(10)) AS k)""")
+def depth_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten points of the power law of exponent 1 through the geometric means."""
+    rows = panel(spark, sf_dir)
+    out = explorer.depth_curve(rows, rows.select("symbol").distinct().withColumn("lam", F.lit(1.0)), 10)
+    return rounded(out.withColumn("k", F.row_number().over(Window.partitionBy("symbol").orderBy("depth")).cast("long") - 1).drop("symbol"))
+
+
 # ---- quality
 
 
@@ -360,6 +411,15 @@ def quality_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out.drop("symbol", "spread_ticks_p50_p99_max", "rows_per_hour"))
 
 
+@query(ORACLES["quality_report"])
+def quality_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality report from merged states of chunks of 100 updates."""
+    rows = book(spark, sf_dir).withColumns({"day0": S.day_start(F.col("timestamp")), "chunk": F.floor(F.col("seq") / 100)})
+    spread = F.col("spread_ticks_p50_p99_max")
+    out = fold.merged_report(fold.chunk_states(rows, TICK, "chunk"), "chunk").withColumns({"spread_p50": spread[0], "spread_p99": spread[1], "spread_max": spread[2]})
+    return rounded(out.drop("symbol", "spread_ticks_p50_p99_max", "rows_per_hour"))
+
+
 @query(f"""WITH {_BOOK}, b AS (SELECT ts // {DAY} * {DAY} AS day0, abs(bp / 1.0 - round_even(bp / 1.0, 0)) < 1e-6 AND abs(ap / 1.0 - round_even(ap / 1.0, 0)) < 1e-6 AS ok FROM book)
 SELECT day0, count(*) AS "rows", count(*) FILTER (WHERE NOT ok) AS off_grid_rows FROM b GROUP BY day0 HAVING count(*) FILTER (WHERE NOT ok) > {quality.OFF_GRID_SHARE} * count(*)""")
 def off_grid_days(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -520,6 +580,29 @@ def strategy_pnl(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out.withColumns({"gross_bps": F.round("gross_bps", 4), "net_bps": F.round("net_bps", 4)}))
 
 
+@query(f"""WITH {_FRAME}, {_draws(5)},
+e AS (SELECT model, latency_ms, day, sum((y - yhat) * (y - yhat)) AS sse, sum(y * y) AS sst FROM pred GROUP BY ALL),
+n AS (SELECT *, row_number() OVER (PARTITION BY model, latency_ms ORDER BY day) - 1 AS i FROM e WHERE model = 'flow' AND latency_ms = {LATENCIES[1] / 1000}),
+d AS (SELECT model, latency_ms, draw, 1 - sum(m * sse) / sum(m * sst) AS r2 FROM n JOIN mult USING (i) GROUP BY ALL),
+ci AS (SELECT model, latency_ms, round(quantile_cont(r2, 0.025), 6) AS lo, round(quantile_cont(r2, 0.975), 6) AS hi FROM d GROUP BY ALL),
+r AS (SELECT model, latency_ms, round(1 - sum(sse) / sum(sst), 6) AS oos_r2, CASE WHEN 1 - sum(sse) / sum(sst) > 0 THEN 'PASS' ELSE 'FAIL' END AS verdict FROM e GROUP BY ALL),
+p AS (SELECT *, sign(yhat) AS p, coalesce(t - lag(t) OVER w = {COARSE}, false) AS joins, coalesce(lead(t) OVER w - t = {COARSE}, false) AS goes_on, lag(sign(yhat)) OVER w AS before
+      FROM pred WINDOW w AS (PARTITION BY model, latency_ms ORDER BY t)),
+q AS (SELECT *, p * y * {TICK} / mid_entry * 10000 AS gross, abs(p - CASE WHEN joins THEN before ELSE 0 END) + CASE WHEN goes_on THEN 0 ELSE abs(p) END AS turn FROM p),
+x AS (SELECT model, latency_ms, round(avg(gross), 6) AS gross_bps_per_bucket, round(sum(gross) / nullif(sum(turn), 0), 6) AS break_even_bps,
+        round((sum(gross) - sum(turn * ({FEE_BPS} + half_spread_bps))) / count(DISTINCT day), 4) AS net_bps_per_day, round(sum(turn) / count(DISTINCT day), 6) AS turnover_per_day,
+        round(median(half_spread_bps), 6) AS median_half_spread_bps FROM q GROUP BY ALL)
+SELECT * FROM r JOIN x USING (model, latency_ms) LEFT JOIN ci USING (model, latency_ms)""")
+def evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Out-of-sample R2 with the interval of the main row, economics a day, and the verdict of the held-out test."""
+    rows = rows_long(spark, sf_dir)
+    models = predict.fit_models(rows.where(F.col("day") < SPLIT[0]))
+    later = rows.where((F.col("day") >= SPLIT[0]) & (F.col("day") < SPLIT[1]))
+    out = study.evaluate(later, models, BOOTSTRAP_DRAWS, main=("flow", LATENCIES[1] / 1000), freq_us=COARSE)
+    out = out.withColumns({"net_bps_per_day": F.round("net_bps_per_day", 4), "lo": F.col("oos_r2_ci.lo"), "hi": F.col("oos_r2_ci.hi"), "verdict": S.passed(F.col("oos_r2") > 0)})
+    return rounded(out.drop("symbol", "oos_r2_ci"))
+
+
 @query(f"WITH {_FRAME} SELECT round(power(corr(x, ar_lag), 2), 6) AS r2 FROM frame")
 def explain_r2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(explore.pooled_r2(frame(spark, sf_dir), "x", "ar_lag").drop("symbol"))
@@ -529,3 +612,23 @@ def explain_r2(spark: SparkSession, sf_dir: str) -> DataFrame:
 def shifted_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = coarse(spark, sf_dir)
     return rows.select("t", shifted(rows, "flow", 5 * COARSE).alias("flow_before"))
+
+
+# ---- streams
+
+
+@query(ORACLES["event_flows"])
+def stream_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flow of each update, from a stream that carries the last book row."""
+    return drained(stream_flow(streamed_book(spark, sf_dir))).select("seq", "flow")
+
+
+LATE_S = 600
+
+
+@query(f"""WITH {_grid(COARSE)}, seen AS (SELECT (max(ts) // 1000 - {LATE_S * 1000}) * 1000 AS until FROM book)
+SELECT t, flow, dmid_ticks, depth, spread_ticks, CAST(n_events AS BIGINT) AS n_events, mid FROM grid, seen WHERE t + {COARSE} <= until""")
+def stream_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dense grid that timers give out up to the watermark."""
+    with rocksdb(spark):
+        return drained(dense_buckets(streamed_book(spark, sf_dir), COARSE, TICK, f"{LATE_S} seconds")).drop("symbol")

@@ -57,7 +57,7 @@ class DenseBuckets(StatefulProcessor):
                 last = own[c].dropna()
                 had[c] = float(last.iloc[-1]) if len(last) else had[c]
         self._keep(state)
-        yield pd.DataFrame(columns=[x.split()[0] for x in GRID.split(", ")])
+        return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         state = json.loads(self.kept.get()[0])
@@ -72,7 +72,8 @@ class DenseBuckets(StatefulProcessor):
             was = now
         state |= {"next": max(state["next"], end), "was": was}
         self._keep(state)
-        yield pd.DataFrame(out, columns=[x.split()[0] for x in GRID.split(", ")])
+        if out:
+            yield pd.DataFrame(out, columns=[x.split()[0] for x in GRID.split(", ")])
 
     def _keep(self, state: dict) -> None:
         """Save the state, with one timer at the end of the next bucket to give out."""
