@@ -52,6 +52,44 @@ def test_store_of_messy_rows(spark):
     assert store.chunks().count() < store.recipes().select(F.explode("digests")).count()
 
 
+def rewritten(spark, store, name, change, tmp_path):
+    """A copy of a store in which one of its tables is changed."""
+    for part in ("chunks", "recipes", "top"):
+        df = spark.read.parquet(f"{store.path}/{part}")
+        (change(df) if part == name else df).write.parquet(str(tmp_path / part))
+    return token_store.TokenStore(spark, str(tmp_path), store.width)
+
+
+def _reversed_recipe(df):
+    long = F.size("digests") > 1
+    return df.withColumn("digests", F.when(long & (F.col("doc_id") == 6), F.reverse("digests")).otherwise(F.col("digests")))
+
+
+def _honest_leaf(df):
+    """The changed recipe with a leaf that fits it."""
+    fit = F.udf(lambda d, c: token_store.leaf(d, [bytes(x) for x in c]) if c is not None else None, "binary")
+    return _reversed_recipe(df).withColumn("leaf", F.when(F.col("leaf").isNotNull(), fit("doc_id", "digests")))
+
+
+@pytest.mark.parametrize("name, change, says", [
+    ("chunks", lambda df: df.orderBy("digest").offset(1), "chunk is missing"),
+    ("chunks", lambda df: df.withColumn("ids", F.expr("substring(ids, 1, length(ids) - 2)")), "is damaged"),
+    ("recipes", _reversed_recipe, "recipe of document 6 is changed"),
+    ("recipes", _honest_leaf, "not what its manifest says"),
+    ("recipes", lambda df: df.where("doc_id IS NULL OR doc_id <> 6"), "not what its manifest says"),
+    ("recipes", lambda df: df.where("root IS NULL"), "the manifest has 0 parts"),
+    ("recipes", lambda df: df.where("part > 0"), "the manifest has"),
+])
+def test_a_changed_store_is_an_error(spark, tmp_path, name, change, says):
+    store = rewritten(spark, token_store.write_store(messy(spark)), name, change, tmp_path)
+    with pytest.raises(Exception, match=says):
+        token_store.checksums(store).collect()
+    if says == "chunk is missing":
+        with pytest.raises(Exception, match="no chunk"):
+            store.read().collect()
+        assert [r.kind for r in store.damaged().collect()] == ["missing"]
+
+
 FILES = ["word_bpe_49k.json", "byte_bpe_50k.json"]
 
 

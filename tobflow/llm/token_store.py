@@ -4,10 +4,12 @@ Layout of a store folder, all Parquet:
   chunks    digest, ids: each distinct chunk once, ids as little-endian integers of ``width`` bytes
   recipes   part, doc_id, row_hash, n_tokens, start_in_part, digests, leaf: ascending by doc_id over the parts
   manifest  part, n_docs, n_tokens, root: Merkle root over the part's leaves, in order
+  top       parts, root: how many parts there are, and a digest of their roots, in order
 
 A chunk ends where a rolling hash of its last eight ids has zero low bits (so equal passages are cut alike), or at
 its largest size. A leaf hashes a document's id and its chunk digests, so roots vouch for recipes, and digests for
-chunks.
+chunks. Reading verifies all of it: a chunk that is damaged or gone, a recipe that is changed, and a manifest that
+lacks a part or a document each end in an error.
 """
 
 from __future__ import annotations
@@ -21,10 +23,10 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tobflow.llm.common import documents, keyed, new_path, table
+from tobflow.llm.common import documents, drop_tables, keyed, new_path, table
 from tobflow.llm.encoding import encoder as shared_encoder
 from tobflow.llm.encoding import slices
 from tobflow.llm.near_dup import mix
@@ -161,17 +163,42 @@ class TokenStore:
         rows = self.spark.read.schema(RECIPES).parquet(f"{self.path}/recipes").where("root IS NOT NULL")
         return rows.select("part", F.col("start_in_part").alias("n_docs"), "n_tokens", "root")
 
+    def top(self) -> DataFrame:
+        """parts and root, one row, from the manifest as it is now."""
+        roots = F.transform(F.array_sort(F.collect_list(F.struct("part", "root"))), lambda x: F.concat(x["part"].cast("string"), F.lit(":"), F.hex(x["root"])))
+        return self.manifest().agg(F.count("*").alias("parts"), F.sha2(F.array_join(roots, " "), 256).alias("root"))
+
+    def check_top(self) -> None:
+        """ValueError if the manifest is not that of the time of writing."""
+        kept = self.spark.read.schema("parts long, root string").parquet(f"{self.path}/top").first()
+        now = self.top().first()
+        if kept != now:
+            raise ValueError(f"the manifest has {now.parts} parts of root {now.root}, not {kept.parts if kept else 'any'} of {kept.root if kept else 'any'}")
+
+    def verified_recipes(self) -> DataFrame:
+        """The recipes; a row whose leaf is not that of its document and digests is an error."""
+        return self.recipes().mapInArrow(_leaves_hold, RECIPES.removesuffix(", root binary"))
+
+    def verified_parts(self) -> DataFrame:
+        """part and n_tokens; a part whose recipes are not those its manifest row counts and its root covers is an error."""
+        leaves = self.recipes().select("part", "doc_id", "start_in_part", "n_tokens", "leaf")
+        return leaves.groupBy("part").cogroup(self.manifest().groupBy("part")).applyInArrow(_part_holds, "part int, n_tokens long")
+
     def read(self) -> DataFrame:
         """part, doc_id, row_hash, start_in_part, n_tokens and ids (binary), put together from the recipes."""
-        steps = self.recipes().select("part", "doc_id", "row_hash", "start_in_part", "n_tokens", F.posexplode("digests").alias("at", "digest"))
-        joined = steps.join(self.chunks(), "digest").groupBy("part", "doc_id", "row_hash", "start_in_part", "n_tokens")
+        row = ["part", "doc_id", "row_hash", "start_in_part", "n_tokens"]
+        steps = self.verified_recipes().select(*row, F.posexplode("digests").alias("at", "digest"))
+        found = F.coalesce("ids", F.raise_error(F.concat(F.lit("no chunk "), F.hex("digest"))).cast("binary"))
+        joined = steps.join(self.chunks(), "digest", "left").select(*row, "at", found.alias("ids")).groupBy(*row)
         parts = joined.agg(F.array_sort(F.collect_list(F.struct("at", "ids"))).alias("x"))
-        return parts.select("part", "doc_id", "row_hash", "start_in_part", "n_tokens", F.concat_ws("", F.transform("x.ids", F.hex)).alias("x")).select("part", "doc_id", "row_hash", "start_in_part", "n_tokens", F.unhex("x").alias("ids"))
+        return parts.select(*row, F.concat_ws("", F.transform("x.ids", F.hex)).alias("x")).select(*row, F.unhex("x").alias("ids"))
 
     def damaged(self) -> DataFrame:
-        """What does not verify: kind (chunk, leaf or part) and its name in hex; no rows for a sound store."""
+        """What does not verify: kind (chunk, missing, leaf or part) and its name in hex; no rows for a sound store."""
         kinds = "kind string, name string"
-        return self.chunks().mapInArrow(_bad_chunks, kinds).union(self.recipes().mapInArrow(_bad_leaves, kinds)).union(
+        used = self.recipes().select(F.explode("digests").alias("digest")).distinct()
+        missing = used.join(self.chunks().select("digest"), "digest", "left_anti").select(F.lit("missing").alias("kind"), F.lower(F.hex("digest")).alias("name"))
+        return missing.union(self.chunks().mapInArrow(_bad_chunks, kinds)).union(self.recipes().mapInArrow(_bad_leaves, kinds)).union(
             self.recipes().select("part", "start_in_part", "doc_id", "leaf").join(self.manifest().select("part", "root"), "part").groupBy("part").applyInArrow(_bad_parts, kinds))
 
 
@@ -197,12 +224,34 @@ def _bad_parts(group: pa.Table) -> pa.Table:
     return pa.Table.from_batches([_bad("part", bad)])
 
 
+def _leaves_hold(batches):
+    for b in batches:
+        for d, c, x in zip(b.column("doc_id").to_pylist(), b.column("digests").to_pylist(), b.column("leaf").to_pylist(), strict=True):
+            if leaf(d, c) != x:
+                raise ValueError(f"the recipe of document {d} is changed")
+        yield b
+
+
+def _part_holds(recipes: pa.Table, manifest: pa.Table) -> pa.Table:
+    part = (recipes if recipes.num_rows else manifest).column("part")[0].as_py()
+    if manifest.num_rows != 1:
+        raise ValueError(f"part {part} has {manifest.num_rows} manifest rows")
+    row, recipes, tree = manifest.to_pylist()[0], recipes.sort_by("start_in_part"), Merkle()
+    for x in recipes.column("leaf").to_pylist():
+        tree.add(x)
+    n = recipes.column("n_tokens").to_numpy()
+    starts = np.cumsum(n) - n
+    if row["n_docs"] != len(n) or row["n_tokens"] != n.sum() or (recipes.column("start_in_part").to_numpy() != starts).any() or tree.root() != row["root"]:
+        raise ValueError(f"part {part} is not what its manifest says")
+    return pa.table({"part": pa.array([part], pa.int32()), "n_tokens": pa.array([row["n_tokens"]], pa.int64())})
+
+
 def write_store(docs: DataFrame, *, tokenizer: str | None = None, end_id: int = 2, width: int = 2, path: str | None = None) -> TokenStore:
     """Encode every row of docs, end each with end_id, and write a store.
 
     Null text counts as empty and is its end id alone; null doc_ids come first; rows are in the order of doc_id,
     then of a hash of their text, and a repeated row is stored as often as it occurs (its chunks once); an
-    empty table makes an empty store; other columns are ignored.
+    empty table makes an empty store; a very long text is cut into as many chunks as it takes; other columns are ignored.
     """
     spark = docs.sparkSession
     path = path or new_path(spark, "tokens")
@@ -211,7 +260,10 @@ def write_store(docs: DataFrame, *, tokenizer: str | None = None, end_id: int =
     chunks.write.option("compression", "zstd").parquet(f"{path}/chunks")
     ordered = spool.select("doc_id", "row_hash", "n_tokens", "digests").repartitionByRange("doc_id", "row_hash").sortWithinPartitions("doc_id", "row_hash")
     ordered.mapInArrow(_recipes, RECIPES).write.option("compression", "zstd").parquet(f"{path}/recipes")
-    return TokenStore(spark, path, width)
+    drop_tables(spool)
+    store = TokenStore(spark, path, width)
+    store.top().coalesce(1).write.parquet(f"{path}/top")
+    return store
 
 
 @cache
@@ -268,28 +320,33 @@ def _document_crcs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         parts = batch.column("parts")
         counts = parts.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
         flat = parts.flatten()
+        if flat.field("size").null_count:
+            raise ValueError("a chunk is missing")
         sizes, crcs = flat.field("size").to_numpy(), flat.field("crc").to_numpy()
         n = np.add.reduceat(sizes, np.cumsum(counts) - counts) // 4
-        yield pa.record_batch([batch.column("part"), batch.column("doc_id"), batch.column("start_in_part"), pa.array(n), pa.array(joined_crc(crcs, sizes, counts).astype(np.int64))], names=["part", "doc_id", "start_in_part", "n_tokens", "ids_crc32"])
+        if (n != batch.column("n_tokens").to_numpy()).any():
+            raise ValueError("chunks do not add up to their document's ids")
+        crc = pa.array(joined_crc(crcs, sizes, counts).astype(np.int64))
+        yield pa.record_batch([batch.column("part"), batch.column("doc_id"), batch.column("start_in_part"), pa.array(n), crc], names=["part", "doc_id", "start_in_part", "n_tokens", "ids_crc32"])
 
 
 def checksums(store: TokenStore) -> DataFrame:
-    """doc_id, start, n_tokens and ids_crc32 of every document, from the store's files.
+    """doc_id, start, n_tokens and ids_crc32 of every document, from the store's files, all of which are verified.
 
     Each chunk file is read, verified against its digest and summed up where it lies; a document's CRC-32 is
-    put together from those of its chunks, so that no ids are shuffled.
+    put together from those of its chunks, so that no ids are shuffled. Recipes are held against their leaves, parts
+    against their roots and counts, and the parts against the top.
     """
+    store.check_top()
     measured = table(store.chunks().mapInArrow(_measure_chunks(store.width), "digest binary, size long, crc long"), "chunk-sums")
-    steps = store.recipes().select("part", "doc_id", "row_hash", "start_in_part", F.posexplode("digests").alias("at", "digest"))
-    joined = steps.join(measured, "digest").groupBy("part", "doc_id", "row_hash", "start_in_part").agg(F.array_sort(F.collect_list(F.struct("at", "size", "crc"))).alias("parts"))
-    sums = joined.select("part", "doc_id", "start_in_part", "parts").mapInArrow(_document_crcs, "part int, doc_id long, start_in_part long, n_tokens long, ids_crc32 long")
-    # one row per part, in the order of the parts
-    offsets, total = [], 0
-    for part, n in store.manifest().select("part", "n_tokens").orderBy("part").collect():
-        offsets.append((part, total))
-        total += n
-    parts = store.spark.createDataFrame(offsets, "part int, before long")
-    return sums.join(F.broadcast(parts), "part").select("doc_id", (F.col("before") + F.col("start_in_part")).alias("start"), "n_tokens", "ids_crc32")
+    row = ["part", "doc_id", "row_hash", "start_in_part", "n_tokens"]
+    steps = store.verified_recipes().select(*row, F.posexplode("digests").alias("at", "digest"))
+    joined = steps.join(measured, "digest", "left").groupBy(*row).agg(F.array_sort(F.collect_list(F.struct("at", "size", "crc"))).alias("parts"))
+    sums = joined.mapInArrow(_document_crcs, "part int, doc_id long, start_in_part long, n_tokens long, ids_crc32 long")
+    # a row a part, in the order of the parts
+    so_far = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = store.verified_parts().select("part", F.coalesce(F.sum("n_tokens").over(so_far), F.lit(0)).alias("before"))
+    return sums.join(parts, "part").select("doc_id", (F.col("before") + F.col("start_in_part")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
