@@ -1,7 +1,8 @@
 """WARC archives and their Merkle fixity audit.
 
-A page becomes a WARC response record. Records lie in segments of ``segment_ids`` consecutive page ids, in the order of
-their ids, each at the sum of the lengths before it. A leaf hashes a record's offset, length and SHA-256; a node
+A page becomes a WARC/1.1 resource record. Records lie in segments of ``segment_ids`` consecutive page ids, in the order
+of their ids, each at the sum of the lengths before it; records without an id are dealt over segments of their own by
+their digest, so that no segment holds them all. A leaf hashes a record's offset, length and SHA-256; a node
 hashes the hashes of up to FANOUT children in order, and so stands for their range of offsets; a segment's
 root is its only node of the top level. An audit compares the roots of two replicas and descends only from
 nodes that differ.
@@ -18,27 +19,36 @@ FANOUT = 16
 KEY = ["segment", "level", "place"]
 
 
-def warc_record(page_id: Column, url: Column, html: Column) -> Column:
-    """A WARC/1.1 response record as text."""
-    body = F.coalesce(html, F.lit(""))
-    head = F.concat(
-        F.lit("WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:"),
-        F.coalesce(page_id.cast("string"), F.lit("null")),
-        F.lit(">\r\nWARC-Target-URI: "),
-        F.coalesce(url, F.lit("")),
-        F.lit("\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "),
-        F.octet_length(body).cast("string"),
-        F.lit("\r\n\r\n"),
-    )
-    return F.concat(head, body, F.lit("\r\n\r\n"))
+#: Date of all records: pages have none of their own.
+DATE = "2024-01-01T00:00:00Z"
+#: The last of the segments of records without an id; the others lie below it.
+NO_ID = -(1 << 62)
+
+
+def warc_record(page_id: Column, url: Column, html: Column, date: str = DATE) -> Column:
+    """A WARC/1.1 resource record as text. A page without a URL goes by its record's name; line ends in a URL are escaped."""
+    body, name = F.coalesce(html, F.lit("")), F.concat(F.lit("urn:page:"), F.coalesce(page_id.cast("string"), F.lit("null")))
+    uri = F.replace(F.replace(F.coalesce(url, name), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
+    fields = {
+        "WARC-Type": F.lit("resource"),
+        "WARC-Record-ID": F.concat(F.lit("<"), name, F.lit(">")),
+        "WARC-Date": F.lit(date),
+        "WARC-Target-URI": uri,
+        "Content-Type": F.lit("text/html; charset=utf-8"),
+        "Content-Length": F.octet_length(body).cast("string"),
+    }
+    lines = [part for k, v in fields.items() for part in (F.lit(f"{k}: "), v, F.lit("\r\n"))]
+    return F.concat(F.lit("WARC/1.1\r\n"), *lines, F.lit("\r\n"), body, F.lit("\r\n\r\n"))
 
 
 def write_replica(pages: DataFrame, name: str, segment_ids: int = 256) -> DataFrame:
     """Write (segment, page_id, record) to the shared folder and read it back."""
     page_id = F.col("page_id").cast("long")
-    segment = F.coalesce(F.floor(page_id / segment_ids), F.lit(-1)).cast("long")
     record = warc_record(page_id, F.col("url"), F.col("html")).cast("binary")
-    return table(pages.select(segment.alias("segment"), page_id.alias("page_id"), record.alias("record")), name)
+    of_digest = F.conv(F.substring(F.sha2("record", 256), 1, 4), 16, 10).cast("long")
+    segment = F.coalesce(F.expr(f"(page_id - pmod(page_id, {segment_ids}L)) div {segment_ids}L"), NO_ID - of_digest)
+    rows = pages.select(page_id.alias("page_id"), record.alias("record"))
+    return table(rows.select(segment.alias("segment"), "page_id", "record"), name)
 
 
 def leaves(replica: DataFrame) -> DataFrame:
@@ -90,9 +100,9 @@ def differing_leaves(left: DataFrame, right: DataFrame) -> DataFrame:
 def fixity_audit(left: DataFrame, right: DataFrame) -> DataFrame:
     """The records of replica ``left`` with ``intact``: whether replica ``right`` holds the same bytes at the same place.
 
-    Both are tables of (segment, page_id, record). Null URLs and pages are empty, null page ids lie in a segment of
-    their own, repeated rows are records of their own, an empty replica gives no rows; records that only
-    ``right`` has show as differing places, not as rows.
+    Both are tables of (segment, page_id, record). Null pages are empty, null page ids lie in segments of their own,
+    repeated rows are records of their own, records of one id are in the order of their digests, a very long page is
+    one record, an empty replica gives no rows; records that only ``right`` has show as differing places, not as rows.
     """
     ours = table(leaves(left), "leaves")
     bad = differing_leaves(merkle_tree(ours), merkle_tree(leaves(right)))
@@ -109,14 +119,16 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _SQL_RECORD = (
-    "concat('WARC/1.1', c, 'WARC-Type: response', c, 'WARC-Record-ID: <urn:page:', coalesce(CAST(page_id AS VARCHAR), 'null'), '>', c, "
-    "'WARC-Target-URI: ', coalesce(url, ''), c, 'Content-Type: text/html; charset=utf-8', c, 'Content-Length: ', "
-    "strlen(coalesce({html}, '')), c, c, coalesce({html}, ''), c, c)"
+    "concat('WARC/1.1', c, 'WARC-Type: resource', c, 'WARC-Record-ID: <', name, '>', c, 'WARC-Date: " + DATE + "', c, "
+    "'WARC-Target-URI: ', replace(replace(coalesce(url, name), chr(13), '%0D'), chr(10), '%0A'), c, "
+    "'Content-Type: text/html; charset=utf-8', c, 'Content-Length: ', strlen(coalesce({html}, '')), c, c, coalesce({html}, ''), c, c)"
 )
 OP7_SQL = f"""
-WITH base AS (SELECT *, chr(13) || chr(10) AS c,
+WITH base AS (SELECT *, chr(13) || chr(10) AS c, concat('urn:page:', coalesce(CAST(page_id AS VARCHAR), 'null')) AS name,
   CASE WHEN page_id % 97 = 13 THEN regexp_replace(html, '(?s)^([^e]*)e', '\\1') ELSE html END AS drilled FROM pages),
-recs AS (SELECT page_id, coalesce(CAST(floor(page_id / 256) AS BIGINT), -1) AS segment, {_SQL_RECORD.format(html="html")} AS a, {_SQL_RECORD.format(html="drilled")} AS b FROM base),
+built AS (SELECT page_id, {_SQL_RECORD.format(html="html")} AS a, {_SQL_RECORD.format(html="drilled")} AS b FROM base),
+recs AS (
+  SELECT page_id, coalesce((page_id - ((page_id % 256) + 256) % 256) // 256, {NO_ID} - CAST('0x' || substr(sha256(a), 1, 4) AS BIGINT)) AS segment, a, b FROM built),
 sized AS (
   SELECT page_id, segment, CAST(strlen(a) AS BIGINT) AS n_bytes, sha256(a) AS record_sha256, sha256(b) AS other, CAST(strlen(b) AS BIGINT) AS other_bytes FROM recs),
 placed AS (
