@@ -267,6 +267,32 @@ def test_audit_of_messy_pages(spark):
     assert warc.fixity_audit(nothing, a).count() == 0
 
 
+def duck(sql, **tables):
+    import duckdb
+
+    con = duckdb.connect()
+    for name, path in tables.items():
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{path}/*.parquet'")
+    return con.execute(sql).fetchall(), [d[0] for d in con.description]
+
+
+def test_records_are_valid_and_placed_as_sql_has_it(spark, tmp_path):
+    rows = [(i, f"http://x/{i}", f"<p>e{i}</p>") for i in (*range(-300, 600, 7), 2**60 + 1)] + [(None, f"http://n/{i}", "e") for i in range(40)] + [(5, "http://x/a\r\nHost: b", None), (None, None, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    pages.write.parquet(str(tmp_path / "pages.parquet"))
+    replica = warc.write_replica(pages, "valid").collect()
+    for r in replica:
+        head, body = bytes(r["record"]).split(b"\r\n\r\n", 1)
+        version, *fields = head.decode().split("\r\n")
+        named = dict(f.split(": ", 1) for f in fields)
+        assert version == "WARC/1.1" and len(named) == len(fields) == 6 and named["WARC-Type"] == "resource" and named["WARC-Date"].endswith("Z")
+        assert ":" in named["WARC-Target-URI"] and body.endswith(b"\r\n\r\n") and int(named["Content-Length"]) == len(body) - 4
+    segments = {r["segment"] for r in replica if r["page_id"] is None}
+    assert len(segments) > 20 and not segments & {r["segment"] for r in replica if r["page_id"] is not None}
+    want, names = duck(warc.OP7_SQL, pages=tmp_path / "pages.parquet")
+    assert rows_of(warc.op7_warc(spark, str(tmp_path)), *names) == sorted(want, key=str)
+
+
 # ---- decontamination
 
 ITEM = "A train leaves Berlin at 9 and travels 240 km in 3 hours before it turns around. How fast does the train go on its way to Berlin?"
@@ -284,6 +310,17 @@ def test_templates_find_changed_questions(spark):
     assert all(r["item_id"] == 7 for r in got.values())
 
 
+def test_items_without_a_telling_window_are_found_whole(spark, tmp_path):
+    items = [(1, ITEM), (2, "Name the capital of France."), (3, "Berlin 5 km Paris 7 km London 9 km Rome 11 km"), (4, "..."), (5, "capital"), (6, "")]
+    rows = [(1, "Please: name the capital, of France!"), (2, "name the capital of Spain"), (3, "From Berlin 5 km Paris 7 km London 9 km Rome 11 km on"), (4, "Berlin 5 km Paris 7 km London 9 km Rome 12 km"), (5, None), (6, ITEM), (None, "a capital idea"), (7, "Capital " * 3000)]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = rows_of(decontam.op9_decontam(spark, str(tmp_path)), "doc_id", "item_id")
+    assert got == sorted([(1, 2), (1, 5), (2, 5), (3, 3), (6, 1), (None, 5), (7, 5)], key=str)
+    want, names = duck(decontam.OP9_SQL, documents=tmp_path / "documents.parquet", benchmark=tmp_path / "benchmark.parquet")
+    assert rows_of(decontam.op9_decontam(spark, str(tmp_path)), *names) == sorted(want, key=str)
+
+
 def test_decontamination_of_messy_rows(spark):
     bench = spark.createDataFrame([(1, f"{ITEM}", 0, 0, 0)], BENCH)
     docs = messy(spark).withColumn("text", F.when(F.col("doc_id").isin(6, 3), F.concat("text", F.lit(". "), F.lit(ITEM))).otherwise(F.col("text")))

@@ -3,7 +3,7 @@
 Numbers, units and names become typed slots, so a question keeps its template when its parameters change.
 Windows of template tokens are hashed and joined to the benchmark's windows; matches of one alignment are
 gathered, and an alignment counts only if its slots are consistent: a benchmark value always has the same
-value in the document.
+value in the document. Items without a telling window (too short, or slots only) are looked for whole, word by word.
 """
 
 from __future__ import annotations
@@ -26,6 +26,7 @@ MARKS = (
 )
 STRIP = (rf"[^\p{{L}}\p{{M}}\p{{Nd}}{NUMBER}-{UNIT}]+", " ")
 TEMPLATE = (rf"([{NUMBER}-{UNIT}])[^ ]*", "$1")
+PLAIN = ((f"[{START}-{UNIT}]", ""), (" +", " "))
 
 
 def marked(text: Column) -> Column:
@@ -40,6 +41,13 @@ def tokens(text: Column) -> Column:
     return F.split(text, " ")
 
 
+def plain_words(text: Column) -> Column:
+    """Words of a marked text without their marks."""
+    for pattern, to in PLAIN:
+        text = F.regexp_replace(text, pattern, to)
+    return tokens(F.trim(text))
+
+
 def window_hashes(hashes: Column, size: int) -> Column:
     """Hash of each run of ``size`` hashed words, in order; none where there are fewer."""
     places = F.sequence(F.lit(0), F.size(hashes) - size)
@@ -55,15 +63,42 @@ def _hashed(words: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def benchmark_windows(benchmark: DataFrame, size: int, literals: int) -> tuple[DataFrame, DataFrame]:
-    """(items: item_id, item_words, item_windows; windows: item_id, at, hash of those with enough literal words)."""
+def benchmark_windows(benchmark: DataFrame, size: int, literals: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(items: item_id, item_words, item_windows; windows: item_id, at, hash of those with enough literal words; items without any)."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), marked(F.coalesce(F.col("text"), F.lit(""))).alias("m")).where("item_id IS NOT NULL").distinct()
-    items = items.select("item_id", tokens(F.col("m")).alias("item_words"), _template_tokens(F.col("m")).alias("t"))
+    items = items.select("item_id", tokens(F.col("m")).alias("item_words"), _template_tokens(F.col("m")).alias("t"), plain_words(F.col("m")).alias("plain"))
     n_literal = lambda i: F.size(F.filter(F.slice("t", i + 1, size), lambda w: ~w.rlike(f"^[{NUMBER}-{UNIT}]")))
     places = F.when(F.size("t") >= size, F.filter(F.sequence(F.lit(0), F.size("t") - size), lambda i: n_literal(i) >= literals)).otherwise(F.array().cast("array<int>"))
-    items = items.withColumn("hashes", window_hashes(_hashed(F.col("t")), size)).withColumn("places", places).where(F.size("places") > 0)
+    items = items.withColumn("hashes", window_hashes(_hashed(F.col("t")), size)).withColumn("places", places)
+    whole = items.where((F.size("places") == 0) & (F.array_join("plain", "") != "")).select("item_id", F.col("plain").alias("item_words"))
+    items = items.where(F.size("places") > 0)
     windows = items.select("item_id", F.explode("places").alias("at"), "hashes").select("item_id", "at", F.get("hashes", F.col("at")).alias("hash"))
-    return items.select("item_id", "item_words", F.size("places").alias("item_windows")), windows
+    return items.select("item_id", "item_words", F.size("places").alias("item_windows")), windows, whole
+
+
+def whole_items(rows: DataFrame, whole: DataFrame) -> DataFrame | None:
+    """Pairs of a row and an item (item_id, item_words) whose words, values and all, stand in the row's text; None without items.
+
+    A text's runs of words are hashed once for each length that items have; hits are compared word by word.
+    """
+    lengths = sorted(r[0] for r in whole.select(F.size("item_words")).distinct().collect())
+    if not lengths:
+        return None
+    words = rows.select("doc_id", "row_hash", plain_words(marked(F.col("text"))).alias("w"))
+    items = whole.select("item_id", "item_words", F.xxhash64("item_words").alias("hash"))
+    out = None
+    for n in lengths:
+        places = F.when(F.size("w") >= n, F.sequence(F.lit(1), F.size("w") - n + 1))
+        runs = words.select("doc_id", "row_hash", F.explode(F.transform(places, _run_of(n))).alias("run"))
+        hits = runs.withColumn("hash", F.xxhash64("run")).join(items, "hash").where(F.col("run") == F.col("item_words"))
+        found = hits.select("doc_id", "row_hash", "item_id")
+        out = found if out is None else out.union(found)
+    one = F.lit(1).cast("int")
+    return out.distinct().select("doc_id", "row_hash", "item_id", one.alias("n_windows"), one.alias("item_windows"), F.lit(1.0).alias("coverage"), F.lit(0).alias("n_changed"))
+
+
+def _run_of(n: int):
+    return lambda i: F.slice("w", i, n)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, *, size: int = 8, literals: int = 4, coverage: float = 0.5) -> DataFrame:
@@ -72,12 +107,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, size: int = 8, litera
     Returns doc_id, row_hash, item_id, n_windows, item_windows, coverage and n_changed (slots whose values
     differ from the item's: above 0, the item was re-parameterised). Null texts count as empty and match
     nothing; rows with a null doc_id keep it; items of fewer than ``size`` words or without a window of
-    ``literals`` literal words cannot be checked; repeated rows of a document or an item count once; an empty
-    table gives no rows; other columns are ignored.
+    ``literals`` literal words are found only whole, their values unchanged, as one window; items without words match
+    nothing; repeated rows of a document or an item count once; a very long text has as many windows as words; ties of
+    alignments count as one item; an empty table gives no rows; other columns are ignored.
     """
-    items, windows = benchmark_windows(benchmark, size, literals)
-    items, windows = table(items, "items"), table(windows, "windows")
-    small = windows.count() * 64 <= BROADCAST_BYTES
+    items, windows, whole = benchmark_windows(benchmark, size, literals)
+    items, windows, whole = table(items, "items"), table(windows, "windows"), table(whole, "whole-items")
+    # bytes of the items' words, as of their windows' hashes, are what a broadcast holds
+    held = items.agg(F.coalesce(F.sum(F.octet_length(F.array_join("item_words", " ")) + 24 * F.size("item_words")), F.lit(0))).first()[0]
+    small = windows.count() * 64 + held <= BROADCAST_BYTES
     rows = keyed(docs)
     # projections of their own, and an outer explode, which no filter is inferred from: what repeats is computed anew
     words = rows.select("doc_id", "row_hash", _hashed(_template_tokens(marked(F.col("text")))).alias("words"))
@@ -100,7 +138,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, size: int = 8, litera
     joined = joined.where(consistent).withColumn("n_changed", F.size(F.filter(F.array_distinct("slots"), lambda s: s["theirs"] != s["ours"])))
     best = joined.groupBy("doc_id", "row_hash", "item_id", "item_windows").agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"), F.max("n_changed").alias("n_changed"))
     best = best.select("doc_id", "row_hash", "item_id", F.size("places").alias("n_windows"), "item_windows", (F.size("places") / F.col("item_windows")).alias("coverage"), "n_changed")
-    return best.where(F.col("coverage") >= coverage)
+    best = best.where(F.col("coverage") >= coverage)
+    extra = whole_items(rows, whole)
+    return best if extra is None else best.union(extra)
 
 
 def op9_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,7 +159,8 @@ WITH sides AS (
   SELECT 'd' AS side, doc_id AS id, {_sql_marked("coalesce(text, '')")} AS m FROM documents
   UNION ALL SELECT 'b', item_id, {_sql_marked("coalesce(text, '')")} FROM benchmark),
 toks AS (
-  SELECT DISTINCT side, id, string_split(m, ' ') AS w, string_split(regexp_replace(m, '{TEMPLATE[0]}', '\\1', 'g'), ' ') AS t FROM sides),
+  SELECT DISTINCT side, id, string_split(m, ' ') AS w, string_split(regexp_replace(m, '{TEMPLATE[0]}', '\\1', 'g'), ' ') AS t,
+         string_split(trim(regexp_replace(regexp_replace(m, '{PLAIN[0][0]}', '', 'g'), '{PLAIN[1][0]}', ' ', 'g')), ' ') AS p FROM sides),
 wins AS (
   SELECT side, id, w, t, i, t[i:i+7] AS win FROM (SELECT *, unnest(range(1, len(t) - 6)) AS i FROM toks WHERE len(t) >= 8)),
 items AS (
@@ -137,4 +178,7 @@ good AS (
   SELECT h.doc_id, h.item_id, h.pos, coalesce(s.changed, 0) AS changed FROM hits h LEFT JOIN slots s USING (doc_id, item_id, shift) WHERE s.n IS NULL OR s.n = s.k)
 SELECT doc_id, item_id, count(DISTINCT pos) AS n_windows, item_windows, max(changed) AS n_changed
 FROM good JOIN sized ON item_id = id GROUP BY doc_id, item_id, item_windows HAVING count(DISTINCT pos) >= 0.5 * item_windows
+UNION ALL
+SELECT DISTINCT d.id, b.id, 1, 1, 0 FROM toks d JOIN toks b ON d.side = 'd' AND b.side = 'b' AND b.id NOT IN (SELECT id FROM sized) AND array_to_string(b.p, '') <> '' AND len(d.p) >= len(b.p)
+WHERE list_contains(list_transform(range(1, len(d.p) - len(b.p) + 2), lambda i: d.p[i : i + len(b.p) - 1]), b.p)
 """
