@@ -10,9 +10,9 @@ from tobflow.operators.events import event_flow
 from tobflow.schema import DAY, STREAM
 
 
-def day_grid(days: DataFrame, freq_us: int, first: int = 0) -> DataFrame:
+def day_grid(days: DataFrame, freq_us: int) -> DataFrame:
     """One row (symbol, day0, k) per bucket of each (symbol, day0)."""
-    buckets = F.sequence(F.lit(first).cast("long"), F.lit(DAY // freq_us - 1).cast("long"))
+    buckets = F.sequence(F.lit(0).cast("long"), F.lit(DAY // freq_us - 1).cast("long"))
     return days.select(*STREAM).distinct().select(*STREAM, F.explode(buckets).alias("k"))
 
 
@@ -35,31 +35,35 @@ def bucket_flow(book: DataFrame, freq_us: int, clock: str = "timestamp", *, earl
     return inside.groupBy(*STREAM, "k").agg(F.coalesce(F.sum("flow"), F.lit(0.0)).alias("flow"), F.count("*").alias("n_events"), *[v.alias(c) for c, v in last.items()])
 
 
-def bucketize(book: DataFrame, freq_us: int, tick, clock: str = "timestamp", *, days: DataFrame | None = None) -> DataFrame:
+def bucketize(book: DataFrame, freq_us: int, tick, clock: str = "timestamp") -> DataFrame:
     """The dense day grid of each stream: symbol, day0, t, flow, dmid_ticks, depth, spread_ticks, n_events, mid.
 
-    book has symbol, day0 and seq (see with_days). State is carried forward over empty buckets, and into the
-    day from the last row before it, which is bucket -1 of the grid. tick is a number, or a table of symbol, day0 and
-    tick. With days (symbol, day0) given, book is read once.
+    book has symbol, day0 and seq (see with_days) and is read once. State is carried forward over empty buckets, and
+    into the day from the last row before it, which is bucket -1. Only buckets with rows are sorted; each then stands
+    for the empty ones up to the next. tick is a number, or a table of symbol, day0 and tick.
     """
-    flows = bucket_flow(book, freq_us, clock, early=True)
-    grid = day_grid(book if days is None else days, freq_us, first=-1).join(flows, [*STREAM, "k"], "left")
+    last = DAY // freq_us - 1
     order = Window.partitionBy(*STREAM).orderBy("k")
     so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    counts = {"flow": F.coalesce("flow", F.lit(0.0)), "n_events": F.coalesce("n_events", F.lit(0))}
-    filled = grid.withColumns(counts | {c: F.last(c, ignorenulls=True).over(so_far) for c in ("mid", "depth", "spread")})
-    filled = filled.withColumn("was", F.lag("mid").over(order)).where("k >= 0")
+    rows = bucket_flow(book, freq_us, clock, early=True)
+    rows = rows.withColumns({c: F.last(c, ignorenulls=True).over(so_far) for c in ("mid", "depth", "spread")})
+    begin = F.when(F.lag("k").over(order).isNull(), F.least(F.col("k"), F.lit(0))).otherwise(F.col("k"))
+    end = F.coalesce(F.lead("k").over(order) - 1, F.lit(last).cast("long"))
+    rows = rows.withColumns({"was": F.lag("mid").over(order), "begin": F.greatest(begin, F.lit(0)), "end": end})
+    grid = rows.where(F.col("end") >= 0).select("*", F.explode(F.sequence("begin", "end")).alias("at"))
     if isinstance(tick, DataFrame):
-        filled, tick = filled.join(F.broadcast(tick.select(*STREAM, "tick")), STREAM), F.col("tick")
-    return filled.select(
+        grid, tick = grid.join(F.broadcast(tick.select(*STREAM, "tick")), STREAM), F.col("tick")
+    own, known = F.col("at") == F.col("k"), F.col("at") >= F.col("k")
+    moved = F.when(own, F.col("mid") - F.col("was")).when(known, F.col("mid") - F.col("mid"))
+    return grid.select(
         *STREAM,
-        (F.col("day0") + F.col("k") * freq_us).alias("t"),
-        "flow",
-        S.in_ticks(F.col("mid") - F.col("was"), tick).alias("dmid_ticks"),
-        "depth",
-        S.in_ticks(F.col("spread"), tick).alias("spread_ticks"),
-        "n_events",
-        "mid",
+        (F.col("day0") + F.col("at") * freq_us).alias("t"),
+        F.when(own, F.col("flow")).otherwise(0.0).alias("flow"),
+        S.in_ticks(moved, tick).alias("dmid_ticks"),
+        F.when(known, F.col("depth")).alias("depth"),
+        S.in_ticks(F.when(known, F.col("spread")), tick).alias("spread_ticks"),
+        F.when(own, F.col("n_events")).otherwise(F.lit(0)).alias("n_events"),
+        F.when(known, F.col("mid")).alias("mid"),
     )
 
 
@@ -75,18 +79,24 @@ def resample(buckets: DataFrame, freq_us: int) -> DataFrame:
     return out.select(*[c for c in buckets.columns if c in out.columns])
 
 
-def trade_imbalance(trades: DataFrame, freq_us: int, clock: str = "timestamp", days: DataFrame | None = None) -> DataFrame:
-    """symbol, day0, t and ti: signed traded size of every bucket of the days; unknown sides and other days' trades count nothing."""
+def signed_sums(trades: DataFrame, freq_us: int, clock: str = "timestamp") -> DataFrame:
+    """symbol, day0, k and ti: signed traded size of the day's buckets that have trades; unknown sides count nothing."""
     k = S.bucket_id(F.col(clock), F.col("day0"), freq_us)
     signed = trades.select(*STREAM, k.alias("k"), S.signed_size(F.col("side"), F.col("amount")).alias("x"))
-    signed = signed.where((F.col("k") >= 0) & (F.col("k") < DAY // freq_us))
-    sums = signed.groupBy(*STREAM, "k").agg(F.sum("x").alias("ti"))
-    grid = day_grid(trades if days is None else days, freq_us).join(sums, [*STREAM, "k"], "left")
+    inside = signed.where((F.col("k") >= 0) & (F.col("k") < DAY // freq_us))
+    return inside.groupBy(*STREAM, "k").agg(F.sum("x").alias("ti"))
+
+
+def trade_imbalance(trades: DataFrame, freq_us: int, clock: str = "timestamp", days: DataFrame | None = None) -> DataFrame:
+    """symbol, day0, t and ti: signed traded size of every bucket of the days; unknown sides and other days' trades count nothing."""
+    grid = day_grid(trades if days is None else days, freq_us).join(signed_sums(trades, freq_us, clock), [*STREAM, "k"], "left")
     return grid.select(*STREAM, (F.col("day0") + F.col("k") * freq_us).alias("t"), F.coalesce("ti", F.lit(0.0)).alias("ti"))
 
 
-def with_imbalance(buckets: DataFrame, imbalance: DataFrame) -> DataFrame:
-    return buckets.join(imbalance, [*STREAM, "t"])
+def with_imbalance(buckets: DataFrame, trades: DataFrame, freq_us: int, clock: str = "timestamp") -> DataFrame:
+    """A dense grid with ti, the trade imbalance of each bucket: 0 where there are no trades."""
+    sums = signed_sums(trades, freq_us, clock).select(*STREAM, (F.col("day0") + F.col("k") * freq_us).alias("t"), "ti")
+    return buckets.join(sums, [*STREAM, "t"], "left").withColumn("ti", F.coalesce("ti", F.lit(0.0)))
 
 
 def drop_funding(buckets: DataFrame, freq_us: int, minutes: int = 2) -> DataFrame:

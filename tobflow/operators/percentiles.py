@@ -1,42 +1,32 @@
-"""Exact percentiles from counted values, in two levels, so that no buffer holds a group's values."""
+"""Exact percentiles from counted values: a buffer never holds more than a group's distinct values, which are sorted and may spill."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Cells of equal width that a group's values are first counted in.
-CELLS = 1024
-
 
 def counted(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     """keys, value and n: how often each known value occurs."""
     return rows.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("value")).agg(F.count("*").alias("n"))
 
 
+def ranked(counts: DataFrame, keys: list[str]) -> DataFrame:
+    """counts (keys, value, n, ...) with _from and _all: how many of the group come before a row's values, and how many there are."""
+    group = Window.partitionBy(*keys)
+    before = group.orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
+    return counts.withColumns({"_from": F.coalesce(F.sum("n").over(before), F.lit(0)), "_all": F.sum("n").over(group)})
+
+
+def picked(p: float, where: Column | None = None) -> Column:
+    """An aggregate over ranked rows (those of a condition): the p-th quantile, interpolated between ranks."""
+    rank = p * (F.col("_all") - 1)
+    value = F.col("value") if where is None else F.when(where, F.col("value"))
+    low, high = (F.max(F.when((r >= F.col("_from")) & (r < F.col("_from") + F.col("n")), value)) for r in (F.floor(rank), F.ceil(rank)))
+    part = rank - F.floor(rank)
+    return low + F.max(part if where is None else F.when(where, part)) * (high - low)
+
+
 def percentiles(counts: DataFrame, keys: list[str], wanted: dict[str, float]) -> DataFrame:
-    """keys and one column per wanted percentile, interpolated between ranks, from keys, value and n.
-
-    The cells that hold a wanted rank are found from sums per cell; only their values are sorted and summed. Groups
-    without values have no row.
-    """
-    span = counts.groupBy(*keys).agg(F.min("value").alias("_lo"), F.max("value").alias("_hi"), F.sum("n").alias("_all"))
-    cell = F.when(F.col("_hi") > F.col("_lo"), F.least(F.lit(CELLS - 1), F.floor((F.col("value") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * CELLS))).otherwise(0)
-    placed = counts.join(span.drop("_all"), keys).select(*keys, "value", "n", cell.cast("int").alias("_cell"))
-    so_far = Window.partitionBy(*keys).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
-    cells = placed.groupBy(*keys, "_cell").agg(F.sum("n").alias("_in")).join(span.select(*keys, "_all"), keys)
-    cells = cells.withColumn("_before", F.coalesce(F.sum("_in").over(so_far), F.lit(0)))
-    ranks = {name: p * (F.col("_all") - 1) for name, p in wanted.items()}
-    holds = F.lit(False)
-    for rank in ranks.values():
-        for r in (F.floor(rank), F.ceil(rank)):
-            holds = holds | ((r >= F.col("_before")) & (r < F.col("_before") + F.col("_in")))
-    near = placed.join(cells.where(holds).drop("_in"), [*keys, "_cell"])
-    inside = Window.partitionBy(*keys, "_cell").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
-    near = near.withColumn("_from", F.col("_before") + F.coalesce(F.sum("n").over(inside), F.lit(0)))
-    out = []
-    for name, rank in ranks.items():
-        at = [F.max(F.when((r >= F.col("_from")) & (r < F.col("_from") + F.col("n")), F.col("value"))) for r in (F.floor(rank), F.ceil(rank))]
-        part = F.max(rank - F.floor(rank))
-        out.append((at[0] + part * (at[1] - at[0])).alias(name))
-    return near.groupBy(*keys).agg(*out)
+    """keys and one column per wanted percentile, from keys, value and n. Groups without values have no row."""
+    return ranked(counts, keys).groupBy(*keys).agg(*[picked(p).alias(name) for name, p in wanted.items()])

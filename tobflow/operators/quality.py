@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tobflow.functions import scalars as S
-from tobflow.operators.percentiles import counted, percentiles
+from tobflow.operators.percentiles import counted, picked, ranked
 from tobflow.schema import BOOK_COLUMNS, HOUR, SECOND
 
 #: Tick candidates are 5, 2 and 1 times a power of ten from 10**4 to 10**-8.
@@ -63,30 +63,41 @@ def order_report(book: DataFrame, keys: tuple[str, ...] = ("symbol", "day0")) ->
     return order_flags(book, keys).groupBy(*keys).agg(*[v.alias(name) for name, v in _of_order().items()])
 
 
-def value_report(book: DataFrame, tick, keys: tuple[str, ...] = ("symbol", "day0")) -> DataFrame:
-    """The figures that do not depend on the order of rows, by keys."""
+def value_counts(book: DataFrame, tick, keys: tuple[str, ...] = ("symbol", "day0")) -> DataFrame:
+    """keys, kind, value and n, from one reading: how often each receive delay (d, in ms), hour (h) and, in complete rows, spread in ticks (s), price (p) and flag (f: 1 crossed, 2 off the grid) occurs."""
     tick = F.lit(tick) if isinstance(tick, (int, float)) else tick
-    good, by = complete(), list(keys)
-    gridded = S.on_grid(F.col("bid_price"), tick) & S.on_grid(F.col("ask_price"), tick)
-    report = book.groupBy(*keys).agg(
-        F.count("*").alias("rows"),
-        F.count_if(~good).alias("rows_with_nan"),
-        F.count_if(good & (F.col("bid_price") >= F.col("ask_price"))).alias("crossed_or_locked"),
-        F.count_if(good & ~gridded).alias("off_grid_rows"),
+    bid, ask = F.col("bid_price"), F.col("ask_price")
+    flag = (bid >= ask).cast("int") + 2 * (~(S.on_grid(bid, tick) & S.on_grid(ask, tick))).cast("int")
+    entry = lambda kind, v: F.struct(F.lit(kind).alias("kind"), v.cast("double").alias("value"))
+    always = [entry("d", (F.col("local_timestamp") - F.col("timestamp")) / 1000), entry("h", F.pmod(F.floor(F.col("timestamp") / HOUR), F.lit(24)))]
+    full = [entry("s", F.rint((ask - bid) / tick)), entry("p", bid), entry("p", ask), entry("f", flag)]
+    entries = F.when(complete(), F.array(*always, *full)).otherwise(F.array(*always))
+    return book.select(*keys, F.inline(entries)).groupBy(*keys, "kind", "value").agg(F.count("*").alias("n"))
+
+
+def value_report(book: DataFrame, tick, keys: tuple[str, ...] = ("symbol", "day0")) -> DataFrame:
+    """The figures that do not depend on the order of rows, by keys, all from the counts of values."""
+    by = [*keys, "kind"]
+    rows = ranked(value_counts(book, tick, keys), by)
+    rows = rows.withColumn("step", F.col("value") - F.lag("value").over(Window.partitionBy(*by).orderBy("value")))
+    of = lambda kind: F.col("kind") == kind
+    n = lambda where: F.coalesce(F.sum(F.when(where, F.col("n"))), F.lit(0))
+    share = lambda kind, where: F.try_divide(n(of(kind) & where), F.sum(F.when(of(kind), F.col("n"))))
+    flagged = lambda bit: of("f") & (F.col("value").cast("int").bitwiseAND(bit) > 0)
+    spreads = [picked(p, of("s")).cast("int") for p in (0.5, 0.99, 1.0)]
+    return rows.groupBy(*keys).agg(
+        n(of("d")).alias("rows"),
+        (n(of("d")) - n(of("s"))).alias("rows_with_nan"),
+        n(flagged(1)).alias("crossed_or_locked"),
+        n(flagged(2)).alias("off_grid_rows"),
+        F.when(n(of("s")) > 0, F.array(*spreads)).alias("spread_ticks_p50_p99_max"),
+        share("s", F.col("value") == 1).alias("frac_spread_1tick"),
+        picked(0.5, of("d")).alias("recv_delay_ms_p50"),
+        picked(0.99, of("d")).alias("recv_delay_ms_p99"),
+        share("d", F.col("value") < 0).alias("frac_recv_delay_negative"),
+        F.round(F.min(F.when(of("p"), F.col("step"))), 10).alias("inferred_tick"),
+        F.array(*[n(of("h") & (F.col("value") == h)) for h in range(24)]).alias("rows_per_hour"),
     )
-    spreads = counted(book.where(good).withColumn("_s", F.rint((F.col("ask_price") - F.col("bid_price")) / tick)), by, "_s")
-    delays = counted(book.withColumn("_d", (F.col("local_timestamp") - F.col("timestamp")) / 1000), by, "_d")
-    share = lambda c: F.sum(F.when(c, F.col("n")).otherwise(0)) / F.sum("n")
-    spread = percentiles(spreads, by, {"p50": 0.5, "p99": 0.99, "top": 1.0})
-    spread = spread.select(*by, F.array(*[F.col(c).cast("int") for c in ("p50", "p99", "top")]).alias("spread_ticks_p50_p99_max"))
-    one = spreads.groupBy(*by).agg(share(F.col("value") == 1).alias("frac_spread_1tick"))
-    delay = percentiles(delays, by, {"recv_delay_ms_p50": 0.5, "recv_delay_ms_p99": 0.99})
-    early = delays.groupBy(*by).agg(share(F.col("value") < 0).alias("frac_recv_delay_negative"))
-    hours = rows_per_hour(book, keys).groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("hour", "rows"))).alias("_h"))
-    hours = hours.select(*by, F.transform("_h", lambda x: x["rows"]).alias("rows_per_hour"))
-    for part in (spread, one, delay, early, price_step(book, keys), hours):
-        report = report.join(part, by, "left")
-    return report
 
 
 def quality_report(book: DataFrame, tick, keys: tuple[str, ...] = ("symbol", "day0")) -> DataFrame:
@@ -119,12 +130,12 @@ def infer_tick(prices: DataFrame, keys: tuple[str, ...] = ("symbol",), least: fl
     prices has keys and price. Equal prices are counted first, so only distinct ones meet the 39 candidates;
     tick is null where none fits.
     """
-    counted = prices.where("price IS NOT NULL").groupBy(*keys, "price").agg(F.count("*").alias("n"))
-    low = counted.groupBy(*keys).agg(F.min("price").alias("low"), F.sum("n").alias("all"))
-    tried = counted.withColumn("tick", F.explode(F.array(*[F.lit(t) for t in TICKS])))
-    shares = tried.groupBy(*keys, "tick").agg(F.sum(F.when(S.on_grid(F.col("price"), F.col("tick")), F.col("n")).otherwise(0)).alias("on"))
+    by_price = counted(prices.withColumnRenamed("price", "value"), list(keys), "value")
+    tried = by_price.select(*keys, "value", "n", F.explode(F.array(*[F.lit(t) for t in TICKS])).alias("tick"))
+    on = F.sum(F.when(S.on_grid(F.col("value"), F.col("tick")), F.col("n")).otherwise(0))
+    shares = tried.groupBy(*keys, "tick").agg(on.alias("on"), F.sum("n").alias("all"), F.min("value").alias("low"))
     fits = (F.col("tick") <= F.col("low")) & (F.col("on") / F.col("all") >= least)
-    return shares.join(low, list(keys)).groupBy(*keys).agg(F.round(F.max(F.when(fits, F.col("tick"))), 12).alias("tick"))
+    return shares.groupBy(*keys).agg(F.round(F.max(F.when(fits, F.col("tick"))), 12).alias("tick"))
 
 
 def refused(report: DataFrame, share: float = OFF_GRID_SHARE) -> DataFrame:

@@ -5,29 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tobflow.operators.percentiles import counted, percentiles
+from tobflow.functions import scalars as S
+from tobflow.operators.percentiles import picked, ranked
 
 KEYS = ("symbol", "model", "latency_ms")
 
 
 def positions(predicted: DataFrame, freq_us: int, keys: tuple[str, ...] = KEYS) -> DataFrame:
-    """keys, day, t, p, prev (the position coming in, 0 after a gap) and goes_on (whether the next decision follows at once).
+    """predicted with p, prev (the position coming in, 0 after a gap) and goes_on (whether the next decision follows at once).
 
-    Windows are of one day. The last decision of each day and the first of the next are a row a day, shifted over days
-    and joined back, so a session that runs over midnight stays one.
+    Windows are of one day. A decision next to midnight is also sent to the day beside it, where it only shows its
+    neighbour what comes before or behind, so a session that runs over midnight stays one.
     """
-    day = [*keys, "day"]
-    order, days = Window.partitionBy(*day).orderBy("t"), Window.partitionBy(*keys).orderBy("day")
-    rows = predicted.withColumn("p", F.signum("yhat"))
-    border = rows.groupBy(*day).agg(F.max_by(F.struct("t", "p"), "t").alias("last"), F.min("t").alias("first"))
-    border = border.select(*day, F.lag("last").over(days).alias("_before"), F.lead("first").over(days).alias("_after"))
-    rows = rows.join(border, day)
-    before = F.coalesce(F.lag(F.struct("t", "p")).over(order), F.col("_before"))
-    after = F.coalesce(F.lead("t").over(order), F.col("_after"))
-    rows = rows.withColumns({"_was": before, "_next": after})
-    joins = F.coalesce(F.col("t") - F.col("_was.t") == freq_us, F.lit(False))
-    goes_on = F.coalesce(F.col("_next") - F.col("t") == freq_us, F.lit(False))
-    return rows.withColumns({"prev": F.when(joins, F.col("_was.p")).otherwise(0.0), "goes_on": goes_on}).drop("_was", "_next", "_before", "_after")
+    day = lambda shift: S.day_start(F.col("t") + shift)
+    beside = [F.when(day(k) != day(0), F.struct(day(k).alias("_day"), F.lit(False).alias("_own"))) for k in (freq_us, -freq_us)]
+    places = F.filter(F.array(F.struct(day(0).alias("_day"), F.lit(True).alias("_own")), *beside), lambda x: x.isNotNull())
+    rows = predicted.withColumn("p", F.signum("yhat")).select("*", F.explode(places).alias("_place")).select("*", "_place.*").drop("_place")
+    order = Window.partitionBy(*keys, "_day").orderBy("t")
+    joins = F.coalesce(F.col("t") - F.lag("t").over(order) == freq_us, F.lit(False))
+    goes_on = F.coalesce(F.lead("t").over(order) - F.col("t") == freq_us, F.lit(False))
+    rows = rows.withColumns({"prev": F.when(joins, F.lag("p").over(order)).otherwise(0.0), "goes_on": goes_on})
+    return rows.where("_own").drop("_day", "_own")
 
 
 def sign_strategy(predicted: DataFrame, freq_us: int, fee_bps: float, keys: tuple[str, ...] = KEYS) -> DataFrame:
@@ -35,20 +33,22 @@ def sign_strategy(predicted: DataFrame, freq_us: int, fee_bps: float, keys: tupl
 
     Positions run over decision times freq_us apart and are closed at gaps. A unit of turnover costs the fee and
     the half spread of its row; closing pays that of the last row. Returns keys, gross_bps, turnover, net_bps,
-    break_even_bps (null without turnover), gross_bps_per_bucket, buckets, days and median_half_spread_bps.
+    break_even_bps (null without turnover), gross_bps_per_bucket, buckets, days and median_half_spread_bps. Rows are
+    read once: sums by day and half spread give both the totals and the median.
     """
     gross = F.col("p") * F.col("y") * F.col("tick") / F.col("mid_entry") * 1e4
     close = F.when(F.col("goes_on"), 0.0).otherwise(F.abs("p"))
     rows = positions(predicted, freq_us, keys).withColumns({"gross": gross, "turn": F.abs(F.col("p") - F.col("prev")) + close})
-    cost = F.col("turn") * (F.lit(fee_bps) + F.col("half_spread_bps"))
-    days = rows.groupBy(*keys, "day").agg(F.sum("gross").alias("gross"), F.sum("turn").alias("turn"), F.sum(cost).alias("cost"), F.count("*").alias("n"))
-    out = days.groupBy(*keys).agg(
+    sums = {"n": F.count("*"), "gross": F.sum("gross"), "turn": F.sum("turn")}
+    parts = rows.groupBy(*keys, "day", F.col("half_spread_bps").alias("value")).agg(*[v.alias(k) for k, v in sums.items()])
+    cost = F.col("turn") * (F.lit(fee_bps) + F.col("value"))
+    out = ranked(parts, list(keys)).groupBy(*keys).agg(
         F.sum("gross").alias("gross_bps"),
         F.sum("turn").alias("turnover"),
-        (F.sum("gross") - F.sum("cost")).alias("net_bps"),
+        (F.sum("gross") - F.sum(cost)).alias("net_bps"),
         (F.sum("gross") / F.sum("n")).alias("gross_bps_per_bucket"),
         F.sum("n").alias("buckets"),
-        F.count("day").alias("days"),
+        F.countDistinct("day").alias("days"),
+        picked(0.5).alias("median_half_spread_bps"),
     )
-    spread = percentiles(counted(predicted, list(keys), "half_spread_bps"), list(keys), {"median_half_spread_bps": 0.5})
-    return out.join(spread, list(keys), "left").withColumn("break_even_bps", F.try_divide(F.col("gross_bps"), F.col("turnover")))
+    return out.withColumn("break_even_bps", F.try_divide(F.col("gross_bps"), F.col("turnover")))

@@ -56,7 +56,7 @@ def day_buckets(spark: SparkSession, book: DataFrame, freq_us: int, clock: str =
     streams = [(r.symbol, r.day0) for r in report.select(*STREAM).orderBy(*STREAM).collect()]
     seen = Observation()
     own = report.select(*STREAM, "tick")
-    grid = K.bucketize(quality.observe_order(book, streams, seen), freq_us, own, clock, days=own)
+    grid = K.bucketize(quality.observe_order(book, streams, seen), freq_us, own, clock)
     return grid.join(F.broadcast(own), STREAM), report, lambda: quality.observed_order(spark, streams, seen)
 
 
@@ -87,8 +87,7 @@ def build_buckets(spark: SparkSession, symbols: Iterable[str], days: Iterable[st
         return None
     book = market.read_book(spark, *files[BOOK])
     grid, report, order = day_buckets(spark, book, freq_us)
-    ti = K.trade_imbalance(market.read_trades(spark, *files[TRADES]), freq_us, days=report)
-    market.write_days(K.with_imbalance(grid, ti), paths.buckets())
+    market.write_days(K.with_imbalance(grid, market.read_trades(spark, *files[TRADES]), freq_us), paths.buckets())
     written = spark.read.parquet(paths.buckets()).drop("day").join(F.broadcast(report.select(*STREAM)), STREAM, "left_semi")
     names = {"frac_dmid_zero": "frac_dmid_zero_10s", "frac_spread_gt1": "frac_spread_gt1_10s_bucket_end"}
     coarse = K.drop_funding(K.resample(written.drop("tick"), 10 * freq_us), 10 * freq_us)
@@ -110,8 +109,8 @@ def build_frames(spark: SparkSession, symbols: Iterable[str], days: Iterable[str
     if bad := quality.order_flags(book).where("local_back").select("symbol", "day0").limit(1).collect():
         raise ValueError(f"the receive clock of {bad[0].symbol} runs backwards")
     grid, report, _ = day_buckets(spark, book, STEP_US, "local_timestamp")
-    ti = K.trade_imbalance(market.read_trades(spark, *files[TRADES]), STEP_US, "local_timestamp", days=report)
+    fine = K.with_imbalance(grid, market.read_trades(spark, *files[TRADES]), STEP_US, "local_timestamp")
     latencies = tuple(1000 * x for x in C.LATENCIES_MS)
-    frame = predict.predictive_frame(K.with_imbalance(grid, ti), F.col("tick"), STEP_US, 10 * SECOND, latencies)
+    frame = predict.predictive_frame(fine, F.col("tick"), STEP_US, 10 * SECOND, latencies)
     market.write_days(frame.drop("day"), paths.frames())
     report.unpersist()

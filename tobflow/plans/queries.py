@@ -90,9 +90,8 @@ coarse AS (SELECT * FROM coarse_all WHERE NOT {_funding('t', f't + {COARSE}')})"
 
 
 def base(spark: SparkSession, sf_dir: str, clock: str = "timestamp") -> DataFrame:
-    rows = with_days(book(spark, sf_dir), clock)
-    ti = K.trade_imbalance(trades(spark, sf_dir, clock), BASE, clock, days=rows)
-    return K.with_imbalance(K.bucketize(rows, BASE, TICK, clock), ti)
+    grid = K.bucketize(with_days(book(spark, sf_dir), clock), BASE, TICK, clock)
+    return K.with_imbalance(grid, trades(spark, sf_dir, clock), BASE, clock)
 
 
 def coarse(spark: SparkSession, sf_dir: str) -> DataFrame:
