@@ -1,6 +1,9 @@
 """A corpus pipeline of tobflow.llm operators: each stage reads the Parquet table that the one before it wrote.
 
-Part of the llm subpackage, kept at the top for its callers. Stages work on all that their predecessor kept.
+Part of the llm subpackage, kept at the top for its callers. Stages work on all that their predecessor kept. Rows are
+known by doc_id and a hash of their text, so null and repeated ids are told apart by their texts; rows equal in both
+share every decision. Null texts count as empty; texts are taken whole, however long; an empty table passes every
+stage; further columns are carried by all but the last stage, whatever their names.
 """
 
 from __future__ import annotations
@@ -17,7 +20,7 @@ from tobflow.llm.toxicity import without_toxic
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity model does not reject."""
+    """Documents that the toxicity model does not reject: all of a score below 0.5, null and empty texts among them."""
     return without_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
@@ -35,17 +38,17 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: five-word shingles, similarity 0.8 or more."""
+    """One document of each group of near duplicates: five-word shingles, similarity 0.8 or more. Texts without words stay."""
     return without(docs, near_duplicates(docs, shingle=5, percent=80, with_hash=True).where("NOT kept"))
 
 
 def decontam(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item, at its own values or others; texts without words stay."""
     return without(docs, contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in training sequences."""
+    """The pieces of all documents in training sequences; a null or empty text is its end id alone."""
     return pack(docs)
 
 
