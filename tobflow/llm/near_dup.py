@@ -228,6 +228,7 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, ban
     empty texts have no shingles and link with nothing; component_id is the smallest doc_id reachable; repeated
     rows of a doc_id share its component and are all kept or all dropped; a null doc_id is never the smallest
     unless alone, and of a component of null doc_ids only, one text is kept; an empty table gives no rows; other columns are ignored.
+    A very long text has as many shingles as words; of equally near hubs a node takes the smaller.
     """
     base = keyed(docs)
     source = base.select("doc_id", "row_hash", F.col("text").cast("binary").alias("bytes"))

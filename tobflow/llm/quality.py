@@ -148,8 +148,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, *, per_class: int = 2000,
 
     Learns from at most per_class labelled texts a class outside the held-out fold (see training_sample), whose
     texts come from docs; a score depends on the text alone. Null and empty texts get the score of an average of
-    nothing; a null doc_id is held out; repeated rows score alike; without labels the model is untrained;
-    an empty table gives no rows; other columns are ignored.
+    nothing; a null doc_id is held out; repeated rows score alike; a very long text is scored whole (only the
+    sample leaves out texts above ``longest``); without labels the model is untrained; an empty table gives no rows; other columns are ignored.
     """
     sample = training_sample(docs, labels, "quality", per_class, longest)
     model = fit(sample["text"].tolist(), sample["label"].to_numpy(dtype=np.int64))

@@ -275,8 +275,8 @@ def dedup_substrings(docs: DataFrame, size: int = 200) -> DataFrame:
 
     Texts are UTF-8 bytes; matches never cross rows; strings are judged on the input. Null and empty texts, and
     those shorter than ``size``, stay as they are (null as empty); repeated rows repeat as a whole and lose all
-    bytes that a string of ``size`` covers; a null doc_id is carried; an empty table gives no rows; other
-    columns are ignored.
+    bytes that a string of ``size`` covers; a null doc_id is carried; a very long text is cut at anchors like
+    any other; equal strings are all removed, so no tie arises; an empty table gives no rows; other columns are ignored.
     """
     rows = keyed(docs)
     spans = table(repeated_spans(rows, size), "spans")

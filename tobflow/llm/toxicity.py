@@ -300,7 +300,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, *, per_class: int = 1500,
 
     Learns from at most per_class labelled texts a class outside the held-out fold (see training_sample), whose
     texts come from docs; a score depends on the text alone. Null and empty texts get the score of a document
-    without tokens; a null doc_id is held out; repeated rows score alike; without labels every score is that of
+    without tokens; a very long text is scored whole (only the sample leaves out texts above ``longest``);
+    a null doc_id is held out; repeated rows score alike; without labels every score is that of
     an untrained model; an empty table gives no rows; other columns are ignored.
     """
     model = _learned(docs, labels, per_class, longest)
