@@ -225,6 +225,33 @@ def test_clustered_vectors_with_default_parameters(spark):
     assert true > 20_000 and found >= 0.995 * true
 
 
+def test_crowds_of_near_equal_vectors(spark):
+    """A crowd within range of each other, a shell around it that links with some of it, a chain off it, and a second label."""
+    rng = np.random.default_rng(6)
+    centre = rng.normal(size=24)
+    centre /= np.linalg.norm(centre)
+    x = [centre + rng.normal(size=24) * 0.006 for _ in range(1500)]
+    away = rng.normal(size=(500, 24))
+    x += [centre + 0.2 * a / np.linalg.norm(a) * rng.uniform(0.6, 1.4) for a in away]
+    x += [centre + k * 0.15 * away[0] / np.linalg.norm(away[0]) for k in range(1, 9)]
+    rows = [(i, v.tolist(), "ab"[i % 5 == 0]) for i, v in enumerate(x)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")
+    want = {}
+    for label in "ab":
+        ids = [r[0] for r in rows if r[2] == label]
+        y = np.array([rows[i][1] for i in ids])
+        y /= np.linalg.norm(y, axis=1, keepdims=True)
+        linked = (y @ y.T >= 0.98) & ~np.eye(len(ids), dtype=bool)
+        root = vd.roots(len(ids), *np.nonzero(linked))
+        want |= {i: (n, ids[r]) for i, n, r in zip(ids, linked.sum(axis=1).tolist(), root, strict=True)}
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in vd.vector_duplicates(table).collect()}
+    assert sum(n for n, _ in want.values()) > 1_000_000
+    assert all(got[i][0] <= want[i][0] for i in got) and sum(n for n, _ in got.values()) >= 0.999 * sum(n for n, _ in want.values())
+    assert np.mean([got[i] == want[i] for i in got]) > 0.99
+    crowd = vd.crowds(np.array([v / np.linalg.norm(v) for v in x]), 0.98)
+    assert len(crowd) >= 1 and len(crowd[0]) >= 1400
+
+
 def test_links_between_cells_and_slices_are_complete(spark):
     """With the widest overlap no pair in range is dealt apart; cells above twice their size are dealt over slices."""
     rng, rows = np.random.default_rng(4), []

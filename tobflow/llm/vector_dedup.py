@@ -5,7 +5,9 @@ pivots drawn from it, again and again. A node joins the cell of its closest pivo
 partner in range may have as home, so cells overlap. Within a cell, nodes meet in small overlapping clusters; each
 cluster gives its nodes robust-pruned adjacency lists, and a node's lists are united, with their reverse lists, to
 one flat graph. Each node is searched for in its home cell, from its own place and the clusters' medoids: a greedy
-beam search, which expands every node in range. What the links found tie together is then verified in double
+beam search, which expands every node in range. Crowds don't enter the graph: nodes within half the angle of range of
+a hub are linked with each other for certain, so a crowd counts as one, and others are held against it by products of
+whole blocks. What the links found tie together is then verified in double
 precision, each node with each other of its tie, so a link found from one end counts at both. A hashed sample of
 nodes is audited against all nodes of its label; where recall is short, all is searched again with cells that
 overlap as far as any partner in range can lie, and a wider beam.
@@ -31,6 +33,8 @@ FOUND = "node long, n_links long, root long"
 NEAR, RANDOM, DEGREE, ALPHA = 12, 4, 8, 1.2
 #: Clusters that a node joins in its cell, and nodes of a cluster at most.
 OVERLAP, CLUSTER = 3, 256
+#: Hubs tried in a cell, and nodes that make a crowd around one.
+HUBS, CROWD = 64, 48
 #: Rows of a cell that one task deals, and most rounds of dealing.
 DEAL_ROWS, ROUNDS = 50_000, 6
 
@@ -145,6 +149,37 @@ def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             return root
 
 
+def crowds(y: np.ndarray, least: float) -> list[np.ndarray]:
+    """Disjoint sets of at least CROWD vectors, each within half the angle of ``least`` of a hub, its first: all of a set link."""
+    inner = np.cos(np.arccos(least) / 2) + 1e-9
+    tried = np.random.default_rng(len(y)).permutation(len(y))[:HUBS]
+    near = y[tried] @ y.T >= inner
+    free, out = np.ones(len(y), bool), []
+    for k in np.argsort(-near.sum(axis=1), kind="stable"):
+        members = np.flatnonzero(near[k] & free)
+        if len(members) >= CROWD and free[tried[k]]:
+            out.append(np.append(tried[k], members[members != tried[k]]))
+            free[members] = False
+    return out
+
+
+def crowd_links(x: np.ndarray, crowd: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """(row of x, row of the crowd): one link for each row of x that links with any vector of the crowd, found exactly."""
+    dots = x @ crowd[0]
+    width = np.arccos(np.clip((crowd @ crowd[0]).min(), -1, 1))
+    reach = np.cos(min(np.pi, np.arccos(least) + width)) - 1e-9
+    rows = np.flatnonzero(dots >= reach)
+    best = np.zeros(len(rows), np.int64)
+    linked = dots[rows] >= least
+    for at in range(0, len(rows), 512):
+        part = np.flatnonzero(~linked[at : at + 512]) + at
+        if len(part):
+            products = x[rows[part]] @ crowd.T
+            best[part] = products.argmax(axis=1)
+            linked[part] = products.max(axis=1) >= least
+    return rows[linked], best[linked]
+
+
 def _search(least: float, beam: int):
     def run(group: pa.Table) -> pa.Table:
         group = group.sort_by([("node", "ascending")])
@@ -155,12 +190,19 @@ def _search(least: float, beam: int):
         out: list[list[np.ndarray]] = [[np.empty(0, np.int64)] for _ in range(3)]
         if len(members) and len(asked):
             y = x[members]
-            links, medoids = flat_graph(y)
+            pairs = [(asked[:0], asked[:0])]
+            loose = np.ones(len(members), bool)
+            for crowd in crowds(y, least):
+                loose[crowd] = False
+                who, node = crowd_links(x[asked], y[crowd], least)
+                pairs += [(asked[who], members[crowd[node]]), (members[crowd], np.full(len(crowd), members[crowd[0]]))]
+            members = members[loose]
+            y = x[members]
+            links, medoids = flat_graph(y) if len(y) else (None, None)
             place = np.full(len(ids), -1)
             place[members] = np.arange(len(members))
-            k = min(3, len(medoids))
-            pairs = []
-            for at in range(0, len(asked), 256):
+            k = 0 if medoids is None else min(3, len(medoids))
+            for at in range(0, len(asked) if k else 0, 256):
                 rows = asked[at : at + 256]
                 near = np.argpartition(-(x[rows] @ y[medoids].T), k - 1, axis=1)[:, :k]
                 who, node = in_range(y, links, x[rows], np.concatenate([place[rows, None], medoids[near]], axis=1), least, beam)
