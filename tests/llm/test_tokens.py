@@ -146,6 +146,7 @@ def test_damage_is_found(spark, tmp_path):
     recipes = spark.read.schema(token_store.RECIPES).parquet(f"{store.path}/recipes")
     swapped = recipes.withColumn("digests", F.when(F.col("doc_id") == 8, F.array(F.unhex(F.lit("00")))).otherwise(F.col("digests")))
     swapped.write.parquet(str(tmp_path / "bad/recipes"))
+    spark.read.parquet(f"{store.path}/top").write.parquet(str(tmp_path / "bad/top"))
     bad = token_store.TokenStore(spark, str(tmp_path / "bad"), 2)
     kinds = {r["kind"] for r in bad.damaged().collect()}
     assert {"chunk", "leaf"} <= kinds
