@@ -158,7 +158,7 @@ OP9_SQL = f"""
 WITH sides AS (
   SELECT 'd' AS side, doc_id AS id, {_sql_marked("coalesce(text, '')")} AS m FROM documents
   UNION ALL SELECT 'b', item_id, {_sql_marked("coalesce(text, '')")} FROM benchmark),
-toks AS (
+toks AS MATERIALIZED (
   SELECT DISTINCT side, id, string_split(m, ' ') AS w, string_split(regexp_replace(m, '{TEMPLATE[0]}', '\\1', 'g'), ' ') AS t,
          string_split(trim(regexp_replace(regexp_replace(m, '{PLAIN[0][0]}', '', 'g'), '{PLAIN[1][0]}', ' ', 'g')), ' ') AS p FROM sides),
 wins AS (
@@ -166,6 +166,7 @@ wins AS (
 items AS (
   SELECT * FROM wins WHERE side = 'b' AND len(list_filter(win, lambda x: NOT regexp_matches(x, '^[{NUMBER}-{UNIT}]'))) >= 4),
 sized AS (SELECT id, count(*) AS item_windows FROM items GROUP BY id),
+shorts AS (SELECT t.id, t.p FROM toks t LEFT JOIN sized s ON s.id = t.id WHERE t.side = 'b' AND s.id IS NULL AND array_to_string(t.p, '') <> ''),
 hits AS (
   SELECT d.id AS doc_id, b.id AS item_id, d.i - b.i AS shift, b.i AS pos, any_value(d.w) AS dw, any_value(b.w) AS bw
   FROM (SELECT * FROM wins WHERE side = 'd') d JOIN items b ON d.win = b.win GROUP BY ALL),
@@ -179,6 +180,6 @@ good AS (
 SELECT doc_id, item_id, count(DISTINCT pos) AS n_windows, item_windows, max(changed) AS n_changed
 FROM good JOIN sized ON item_id = id GROUP BY doc_id, item_id, item_windows HAVING count(DISTINCT pos) >= 0.5 * item_windows
 UNION ALL
-SELECT DISTINCT d.id, b.id, 1, 1, 0 FROM toks d JOIN toks b ON d.side = 'd' AND b.side = 'b' AND b.id NOT IN (SELECT id FROM sized) AND array_to_string(b.p, '') <> '' AND len(d.p) >= len(b.p)
-WHERE list_contains(list_transform(range(1, len(d.p) - len(b.p) + 2), lambda i: d.p[i : i + len(b.p) - 1]), b.p)
+SELECT DISTINCT d.id, b.id, 1, 1, 0 FROM shorts b, (SELECT id, p FROM toks WHERE side = 'd') d WHERE len(d.p) >= len(b.p)
+  AND list_contains(list_transform(range(1, len(d.p) - len(b.p) + 2), lambda i: d.p[i : i + len(b.p) - 1]), b.p)
 """
