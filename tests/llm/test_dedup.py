@@ -252,6 +252,43 @@ def test_crowds_of_near_equal_vectors(spark):
     assert len(crowd) >= 1 and len(crowd[0]) >= 1400
 
 
+def test_small_labels_are_audited_beside_a_large_one(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, rng.normal(size=8).tolist(), 0 if i < 3000 else i % 7 + 1) for i in range(3140)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = vd.vector_duplicates(table, audits=64).where("audited_links IS NOT NULL").join(table, "vec_id").groupBy("label").count().collect()
+    counts = {r["label"]: r["count"] for r in got}
+    assert set(counts) == set(range(8)) and min(counts.values()) >= 4 and sum(counts.values()) == 64
+
+
+@pytest.mark.parametrize("blind", [1, 9])
+def test_labels_that_the_search_misses_are_searched_again(spark, monkeypatch, blind):
+    """A search that sees nothing of one label: only that label is searched again; what stays missing is told."""
+    rng, rows = np.random.default_rng(9), []
+    for c in range(40):
+        centre = rng.normal(size=8)
+        rows += [(len(rows) + i, (centre + rng.normal(size=8) * 0.05).tolist(), "ab"[c % 2]) for i in range(4)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")
+    real, asked = vd.linked, []
+
+    def linked(nodes, **how):
+        asked.append({r["part"][0] for r in nodes.select("part").distinct().collect()})
+        return real(nodes.where("NOT part LIKE 'a/%'") if len(asked) <= blind else nodes, **how)
+
+    monkeypatch.setattr(vd, "linked", linked)
+    want = vector_dedup(rows)
+    assert sum(r[1] for r in want) > 100
+    if blind == 1:
+        assert rows_of(vd.vector_duplicates(table), *VECTORS) == want
+        assert asked == [{"a", "b"}, {"a"}]
+    else:
+        with pytest.warns(UserWarning, match="0.000"):
+            got = vd.vector_duplicates(table)
+        odd = {i for i, _, label in rows if label == "b"}
+        assert [r for r in rows_of(got, *VECTORS) if r[0] in odd] == [r for r in want if r[0] in odd]
+        assert asked == [{"a", "b"}, {"a"}, {"a"}]
+
+
 def test_links_between_cells_and_slices_are_complete(spark):
     """With the widest overlap no pair in range is dealt apart; cells above twice their size are dealt over slices."""
     rng, rows = np.random.default_rng(4), []

@@ -9,12 +9,13 @@ beam search, which expands every node in range. Crowds don't enter the graph: no
 a hub are linked with each other for certain, so a crowd counts as one, and others are held against it by products of
 whole blocks. What the links found tie together is then verified in double
 precision, each node with each other of its tie, so a link found from one end counts at both. A hashed sample of
-nodes is audited against all nodes of its label; where recall is short, all is searched again with cells that
-overlap as far as any partner in range can lie, and a wider beam.
+each label's nodes is audited against all nodes of the label; labels whose recall is short are searched again with
+cells that overlap as far as any partner in range can lie and wider beams, and audited again.
 """
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -321,22 +322,48 @@ def _audit(queries: dict[str, tuple[np.ndarray, np.ndarray]], least: float):
 
 
 def audited(nodes: DataFrame, *, least: float, audits: int) -> DataFrame:
-    """node and true_links, for ``audits`` nodes by a hash: their links among all nodes of their label, by brute force."""
-    sample = nodes.orderBy(F.xxhash64("node", F.lit("audit"))).limit(audits).select("node", "part", "vector").collect()
+    """part, node and true_links for at most ``audits`` nodes: their links among all nodes of their label, by brute force.
+
+    Labels take turns, so that each has its share however large another is; within a label a hash chooses.
+    """
+    chance = F.xxhash64("node", F.lit("audit"))
+    turns = nodes.select("part", chance.alias("chance")).groupBy("part", F.pmod("chance", F.lit(audits)).alias("turn")).agg(F.min("chance").alias("chance"))
+    chosen = turns.orderBy("turn", "chance").limit(audits).select("part", "chance")
+    sample = nodes.withColumn("chance", chance).join(F.broadcast(chosen), ["part", "chance"]).select("node", "part", "vector").collect()
     by_part: dict[str, list] = {}
     for r in sample:
         by_part.setdefault(r["part"], []).append((r["node"], r["vector"]))
     queries = {p: (np.array([n for n, _ in rows], np.int64), np.array([v for _, v in rows], float)) for p, rows in by_part.items()}
     counts = nodes.select("node", "part", "vector", "copies").mapInArrow(_audit(queries, least), "node long, true_links long").groupBy("node").agg(F.sum("true_links").alias("true_links"))
-    asked = nodes.sparkSession.createDataFrame([(r["node"],) for r in sample], "node long")
-    return table(asked.join(counts, "node", "left").select("node", F.coalesce("true_links", F.lit(0)).alias("true_links")), "audit")
+    asked = nodes.sparkSession.createDataFrame([(r["part"], r["node"]) for r in sample], "part string, node long")
+    return table(asked.join(counts, "node", "left").select("part", "node", F.coalesce("true_links", F.lit(0)).alias("true_links")), "audit")
 
 
-def recall(found: DataFrame, audit: DataFrame) -> float:
-    """Share of the audited nodes' links that the search found; 1 where they have none."""
+def recall(found: DataFrame, audit: DataFrame) -> DataFrame:
+    """part and recall: the share of the audited nodes' links that the search found, for each audited label; 1 where they have none."""
     got = audit.join(found.groupBy("node").agg(F.sum("n_links").alias("n_links")), "node", "left")
-    there, seen = got.agg(F.sum("true_links"), F.sum(F.least("true_links", F.coalesce("n_links", F.lit(0))))).first()
-    return seen / there if there else 1.0
+    there, seen = F.sum("true_links"), F.sum(F.least("true_links", F.coalesce("n_links", F.lit(0))))
+    return got.groupBy("part").agg(F.when(there > 0, seen / there).otherwise(1.0).alias("recall"))
+
+
+def searched(nodes: DataFrame, audit: DataFrame, *, least: float, cell_size: int, sigmas: float, beam: int, enough: float) -> DataFrame:
+    """What ``linked`` finds; labels short of ``enough`` recall are searched again, with cells as wide as a partner can lie and wider beams.
+
+    Labels beyond the audit's reach are searched again as soon as an audited one is short. What is still short
+    after the last search is returned with a warning that gives the figure.
+    """
+    found = linked(nodes, least=least, cell_size=cell_size, beam=beam, sigmas=sigmas)
+    for wider in (8 * beam, 64 * beam):
+        figures = table(recall(found, audit), "recall")
+        if figures.where(F.col("recall") < enough).isEmpty():
+            return found
+        again = table(nodes.join(F.broadcast(figures.where(F.col("recall") >= enough)), "part", "left_anti"), "again")
+        new = linked(again, least=least, cell_size=cell_size, beam=wider, sigmas=None)
+        found = table(found.join(again.select("node"), "node", "left_anti").unionByName(new), "found")
+    lowest = recall(found, audit).agg(F.min("recall")).first()[0]
+    if lowest is not None and lowest < enough:
+        warnings.warn(f"links found are {lowest:.3f} of those of the audited vectors in the label where fewest are", stacklevel=2)
+    return found
 
 
 def vector_duplicates(vectors: DataFrame, *, least: float = 0.98, cell_size: int = 4000, sigmas: float = 4.0, beam: int = 6, audits: int = 256, enough: float = 0.99) -> DataFrame:
@@ -346,9 +373,9 @@ def vector_duplicates(vectors: DataFrame, *, least: float = 0.98, cell_size: int
     are null, empty, zero or hold null or non-finite components, link with nothing. n_links counts the other
     rows linked, copies of the vector included; component_id is the smallest vec_id reachable; repeated rows are
     copies of each other; a null vec_id is never the smallest unless alone; audited_links is the count by
-    brute force over all vectors of the label for ``audits`` vectors, and null for others; an empty table gives
-    no rows; other columns are ignored. Where the audit finds less than ``enough`` of their links, all is
-    searched again with the widest overlap of cells and a wider beam.
+    brute force over all vectors of the label for ``audits`` vectors, dealt over labels, and null for others; an
+    empty table gives no rows; other columns are ignored. Labels where the search found less than ``enough`` of
+    the audited links are searched again, see ``searched``.
     """
     base = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"), F.col("label"))
     finite = F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
@@ -362,14 +389,12 @@ def vector_duplicates(vectors: DataFrame, *, least: float = 0.98, cell_size: int
     rows = table(rows.withColumn("node", F.when(F.col("vector").isNotNull(), F.xxhash64("part", "vector"))), "vectors")
     nodes = table(rows.where("node IS NOT NULL").groupBy("node", "part", "vector").agg(F.count("*").alias("copies")), "nodes")
 
-    found = linked(nodes, least=least, cell_size=cell_size, beam=beam, sigmas=sigmas)
     audit = audited(nodes, least=least, audits=audits)
-    if recall(found, audit) < enough:
-        found = linked(nodes, least=least, cell_size=cell_size, beam=8 * beam, sigmas=None)
+    found = searched(nodes, audit, least=least, cell_size=cell_size, sigmas=sigmas, beam=beam, enough=enough)
 
     counts = found.groupBy("node").agg(F.sum("n_links").alias("n_links"))
     labels = components(found.select(F.col("node").alias("u"), F.col("root").alias("v")))
-    out = rows.drop("vector").join(nodes.select("node", "copies"), "node", "left").join(counts, "node", "left").join(labels, "node", "left").join(audit, "node", "left")
+    out = rows.drop("vector").join(nodes.select("node", "copies"), "node", "left").join(counts, "node", "left").join(labels, "node", "left").join(audit.drop("part"), "node", "left")
     out = table(out.withColumn("component", F.coalesce("component", "node")), "linked")
     smallest = out.where("component IS NOT NULL").groupBy("component").agg(F.min("vec_id").alias("smallest"))
     out = out.join(smallest, "component", "left")
