@@ -7,6 +7,7 @@ import pytest
 from brute import DATA, empty, held_out, messy
 
 from tobflow.llm import quality, toxicity
+from tobflow.llm.features import training_sample
 
 LABELS = "doc_id long, quality int, toxic int"
 
@@ -37,6 +38,16 @@ def test_labels_of_the_held_out_fold_are_not_learned(spark):
         assert a == b
 
 
+def test_a_sample_does_not_depend_on_the_order_of_rows(spark):
+    """Ids with labels of both classes are left out; of two texts of an id the least is taken; repeated labels count once."""
+    docs = [(i, f"text {i}") for i in range(40)] + [(3, "a text before"), (8, "z text after")]
+    labels = [(i, i % 2, 0) for i in range(40)] + [(6, 1, 0), (9, 1, 0)]
+    want = {("a text before" if i == 3 else f"text {i}", i % 2) for i in range(40) if not held_out(i) and i != 6}
+    for turn in (1, -1):
+        got = training_sample(spark.createDataFrame(docs[::turn], "doc_id long, text string"), spark.createDataFrame(labels[::turn], LABELS), "quality", 100, 1000)
+        assert len(got) == len(want) and set(got.itertuples(index=False, name=None)) == want
+
+
 @pytest.mark.parametrize("score", [toxicity.score_toxicity, quality.score_quality])
 def test_messy_rows(spark, score):
     labels = spark.createDataFrame([(1, 1, 0), (2, 0, 1), (2, 0, 1), (6, 1, None), (None, 1, 1), (99, 0, 1)], LABELS)

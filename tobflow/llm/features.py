@@ -41,11 +41,13 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     """At most per_class labelled texts of each class, as a pandas table of text and label.
 
     The documented bound of what a classifier learns from: rows outside the held-out fold, in the order of a
-    hash of their doc_id, with texts of at most ``longest`` characters, so that the sample fits the driver.
+    hash of their doc_id, with texts of at most ``longest`` characters, so that the sample fits the driver. A doc_id
+    with labels of both classes has no class, and is left out; of several texts the least is taken.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & (training_fold() != 0))
-    picked = [known.where(F.col(label) == y).select("doc_id", F.col(label).cast("int").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for y in (0, 1)]
-    sample = picked[0].union(picked[1]).dropDuplicates(["doc_id"])
+    known = known.groupBy("doc_id").agg(F.min(label).cast("int").alias("label"), F.max(label).alias("other")).where(F.col("label") == F.col("other"))
+    picked = [known.where(F.col("label") == y).select("doc_id", "label").orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for y in (0, 1)]
+    sample = picked[0].union(picked[1])
     rows = keyed(docs).where(F.length("text") <= longest).join(F.broadcast(sample), "doc_id").select("doc_id", "text", "label")
-    out = rows.toPandas().drop_duplicates(["doc_id"]).sort_values("doc_id", ignore_index=True)
+    out = rows.toPandas().sort_values(["doc_id", "text"]).drop_duplicates(["doc_id"], ignore_index=True)
     return out[["text", "label"]]
