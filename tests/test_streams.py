@@ -129,3 +129,31 @@ def test_streaming_matches_batch(tmp_path, spark):
     assert got == want
     sums = streaming.stream_buckets(spark.table("flows"), "10 seconds", "1 minute").agg(F.sum("n_events")).first()[0]
     assert sums == n
+
+
+def test_no_task_gets_a_whole_symbol(tmp_path, spark, monkeypatch):
+    """Chunks of 16 numbers: flows over chunks' borders, gaps of seq and files that share a chunk equal the batch's, and a group has no more rows."""
+    rows = rough_book(3, 200)
+    rows["seq"] += np.where(rows["seq"] >= 100, 1000, 0)
+    df = frame(spark, rows.assign(symbol=np.where(rows["seq"] % 3 == 0, "Y", "X")))
+    for low, high in ((0, 57), (57, 1150), (1150, 1200)):
+        df.where((F.col("seq") >= low) & (F.col("seq") < high)).repartition(3).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    most = 16
+
+    def bounded(f):
+        def run(key, rows):
+            assert len(rows) <= most, len(rows)
+            return f(key, rows)
+
+        return run
+
+    for name in ("_inner_flows", "_border"):
+        monkeypatch.setattr(streaming, name, bounded(getattr(streaming, name)))
+    stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    q = streaming.stream_flow(stream, bits=4).writeStream.format("memory").queryName("chunked").option("checkpointLocation", str(tmp_path / "cp")).start()
+    q.processAllAvailable()
+    q.stop()
+    order = ["symbol", "seq"]
+    got = [tuple(r) for r in spark.table("chunked").select("symbol", "seq", "timestamp", "flow").orderBy(order).collect()]
+    want = [tuple(r) for r in event_flow(df, ["symbol"]).select("symbol", "seq", "timestamp", "flow").orderBy(order).collect()]
+    assert len(got) == 200 and repr(got) == repr(want)
