@@ -157,3 +157,34 @@ def test_no_task_gets_a_whole_symbol(tmp_path, spark, monkeypatch):
     got = [tuple(r) for r in spark.table("chunked").select("symbol", "seq", "timestamp", "flow").orderBy(order).collect()]
     want = [tuple(r) for r in event_flow(df, ["symbol"]).select("symbol", "seq", "timestamp", "flow").orderBy(order).collect()]
     assert len(got) == 200 and repr(got) == repr(want)
+
+
+def test_dense_buckets_from_chunks(tmp_path, spark, monkeypatch):
+    """Chunks of 16 numbers of a rough book, with times out of order, in three files: the day grid's buckets, and no group of rows above 16."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    rows = rough_book(4, 300)
+    end = rows.iloc[-1:].assign(seq=2000, timestamp=DAY0 + 4 * 3600 * SECOND)
+    df = frame(spark, pd.concat([rows, end]))
+    for low, high in ((0, 90), (90, 203), (203, 2001)):
+        df.where((F.col("seq") >= low) & (F.col("seq") < high)).repartition(3).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    whole = dense._parts
+
+    def bounded(freq_us):
+        sums = whole(freq_us)
+
+        def run(key, rows):
+            assert len(rows) <= 16, len(rows)
+            return sums(key, rows)
+
+        return run
+
+    monkeypatch.setattr(dense, "_parts", bounded)
+    stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    q = dense.dense_buckets(stream, 30 * SECOND, 0.1, "10 minutes", bits=4).writeStream.format("memory").outputMode("append").queryName("chunks").option("checkpointLocation", str(tmp_path / "cp")).start()
+    q.processAllAvailable()
+    q.stop()
+    spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    names = ["symbol", "t", "flow", "dmid_ticks", "depth", "spread_ticks", "n_events", "mid"]
+    got = spark.table("chunks").select(names).orderBy("symbol", "t").collect()
+    want = K.bucketize(df, 30 * SECOND, 0.1).where(F.col("t") < DAY0 + (4 * 3600 - 600) * SECOND).select(names).orderBy("symbol", "t").collect()
+    assert len(want) == 460 and [tuple(r) for r in got] == [tuple(r) for r in want]
