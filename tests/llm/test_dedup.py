@@ -300,6 +300,40 @@ def test_links_between_cells_and_slices_are_complete(spark):
         assert rows_of(vd.vector_duplicates(table, cell_size=size, sigmas=None, beam=48), *VECTORS) == vector_dedup(rows)
 
 
+def test_each_of_many_cells_above_its_size_is_dealt(spark):
+    """Cells of many dimensions, each a little above its size, so that few of its nodes are pivots: none is without one."""
+    rng, rows = np.random.default_rng(5), []
+    for label in range(120):
+        dim = 4 + label % 9
+        for _ in range(8):
+            centre = rng.normal(size=dim)
+            rows += [(len(rows) + i, (centre + rng.normal(size=dim) * 0.1).tolist(), label) for i in range(4)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    want = vector_dedup(rows)
+    assert sum(r[1] for r in want) > 1000
+    assert rows_of(vd.vector_duplicates(table, cell_size=30), *VECTORS) == want
+
+
+def test_dealing_copies_a_node_few_times(spark):
+    """Vectors without structure, the worst to deal: cells keep their size, and rows do not multiply round by round."""
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(12_000, 64))
+    rows = [(i, "0/64", v, 1) for i, v in enumerate((x / np.linalg.norm(x, axis=1, keepdims=True)).tolist())]
+    nodes = spark.createDataFrame(rows, "node long, part string, vector array<double>, copies long")
+    dealt = vd.cells_of(nodes, least=0.98, cell_size=600, sigmas=4.0)
+    sizes = [(r["n"], r["homes"]) for r in dealt.groupBy("cell").agg(F.count("*").alias("n"), F.count_if("home").alias("homes")).collect()]
+    assert sum(h for _, h in sizes) == len(rows) and dealt.groupBy("cell", "node").count().where("count > 1").isEmpty()
+    assert max(n for n, _ in sizes) <= 600 and sum(n for n, _ in sizes) <= 10 * len(rows)
+
+
+def test_a_pair_that_meets_in_one_home_counts_at_both_ends():
+    """Three in range of each other: 0 is at home here, 1 is a guest that finds 0 in its own home too, 2 one that does not."""
+    x = np.array([[1, 0.0], [1, 0.01], [1, 0.02]])
+    columns = {"node": [0, 1, 2], "copies": [1, 10, 100], "at": [7, 8, 9], "is_member": [True] * 3, "is_query": [True, False, False], "is_guest": [False, True, True]}
+    group = vd.pa.table(columns | {"others": vd.pa.array([[8], [], []], vd.pa.list_(vd.pa.int64())), "vector": vd.pa.array(x.tolist())})
+    assert vd._search(0.98, 6)(group).to_pydict() == {"node": [0, 1, 2], "n_links": [110, 0, 1], "root": [0, 0, 0]}
+
+
 def test_no_node_meets_all_others_of_its_cell():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(3000, 16))

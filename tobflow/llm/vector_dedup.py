@@ -1,11 +1,13 @@
 """Embedding near-dedup on a robust-pruned flat graph.
 
 Equal vectors become one node. The nodes of a label form a cell; a cell above its size is dealt over the cells of
-pivots drawn from it, again and again. A node joins the cell of its closest pivot, its home, and every other that a
-partner in range may have as home, so cells overlap. Within a cell, nodes meet in small overlapping clusters; each
-cluster gives its nodes robust-pruned adjacency lists, and a node's lists are united, with their reverse lists, to
-one flat graph. Each node is searched for in its home cell, from its own place and the clusters' medoids: a greedy
-beam search, which expands every node in range. Crowds don't enter the graph: nodes within half the angle of range of
+pivots drawn from it, again and again. A node joins the cell of its closest pivot, its home, and as a guest others
+that a partner in range may have as home: of two nodes at home in different cells, at least one lies within half the
+margin of the border between them and is a guest in the other's home. A pair that meets in one home only is counted
+there for both ends. Cells are dealt as ids; vectors go to their cells once. Within a cell, nodes meet in small
+overlapping clusters; each cluster gives its nodes robust-pruned adjacency lists, and a node's lists are united, with
+their reverse lists, to one flat graph. Each node is searched for in its home cell, from its own place and the
+clusters' medoids: a greedy beam search, which expands every node in range. Crowds don't enter the graph: nodes within half the angle of range of
 a hub are linked with each other for certain, so a crowd counts as one, and others are held against it by products of
 whole blocks. What the links found tie together is then verified in double
 precision, each node with each other of its tie, so a link found from one end counts at both. A hashed sample of
@@ -23,12 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tobflow.llm.common import bound, table
+from tobflow.llm.common import BROADCAST_BYTES, bound, drop_tables, table
 from tobflow.llm.graph import components
 from tobflow.llm.near_dup import mix
 
 U = np.uint64
-CELLS = "cell long, node long, vector array<double>, copies long, home boolean"
+CELLS = "parent long, cell long, node long, home boolean"
 FOUND = "node long, n_links long, root long"
 #: Closest and random candidates of a node in a cluster, neighbours that it keeps there, and how much closer another must be to drop one.
 NEAR, RANDOM, DEGREE, ALPHA = 12, 4, 8, 1.2
@@ -36,8 +38,16 @@ NEAR, RANDOM, DEGREE, ALPHA = 12, 4, 8, 1.2
 OVERLAP, CLUSTER = 3, 256
 #: Hubs tried in a cell, and nodes that make a crowd around one.
 HUBS, CROWD = 64, 48
-#: Rows of a cell that one task deals, and most rounds of dealing.
-DEAL_ROWS, ROUNDS = 50_000, 6
+#: Rows of a cell that one task deals, most rounds of dealing, and pivots of a cell: about so many for each cell_size of its nodes, and at most.
+DEAL_ROWS, ROUNDS, PIVOTS, MOST_PIVOTS = 50_000, 6, 6, 1024
+
+
+def unit(column: pa.Array | pa.ChunkedArray, n: int) -> np.ndarray:
+    """The n vectors of a list column in double precision, of length 1."""
+    flat = (column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column).flatten().to_numpy(zero_copy_only=False)
+    x = flat.astype(float).reshape(n, -1)
+    x /= np.abs(x).max(axis=1, keepdims=True)
+    return x / np.sqrt(np.einsum("nd,nd->n", x, x))[:, None]
 
 
 def pruned(x: np.ndarray, rng: np.random.Generator) -> np.ndarray:
@@ -55,15 +65,16 @@ def pruned(x: np.ndarray, rng: np.random.Generator) -> np.ndarray:
     cand, sim = np.take_along_axis(cand, order, 1), np.take_along_axis(sim, order, 1)
     dropped = sim < -1.5
     dropped[:, 1:] |= cand[:, 1:] == cand[:, :-1]
-    own = np.sqrt(np.maximum(0, 2 - 2 * sim))
-    between = np.sqrt(np.maximum(0, 2 - 2 * s[cand[:, :, None], cand[:, None, :]]))
+    # squares of distances, halved
+    own = 1 - sim
+    between = ALPHA * ALPHA * (1 - s[cand[:, :, None], cand[:, None, :]])
     kept = np.zeros(n, np.int64)
     for j in range(cand.shape[1]):
         take = ~dropped[:, j] & (kept < DEGREE)
         hit = np.flatnonzero(take)
         out[hit, kept[hit]] = cand[hit, j]
         kept[hit] += 1
-        dropped |= take[:, None] & (ALPHA * between[:, j, :] <= own)
+        dropped |= take[:, None] & (between[:, j, :] <= own)
     return out
 
 
@@ -81,6 +92,12 @@ def clusters(x: np.ndarray, rng: np.random.Generator) -> list[np.ndarray]:
     return [part for g in groups for part in np.array_split(g, -(-len(g) // CLUSTER))]
 
 
+def distinct(keys: np.ndarray) -> np.ndarray:
+    """The keys in order, each once; np.unique's hash table takes several times as long."""
+    keys = np.sort(keys)
+    return keys[np.append(True, keys[1:] != keys[:-1])] if len(keys) else keys
+
+
 def flat_graph(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Adjacency lists (padded with -1), united over all clusters and with their reverse lists, and the clusters' medoids."""
     n, rng = len(x), np.random.default_rng(len(x))
@@ -93,7 +110,7 @@ def flat_graph(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         medoids.append(members[np.argmax(x[members] @ x[members].mean(axis=0))])
     source += [np.arange(n), *target]
     target = [*target, rng.integers(0, n, n), *source[: len(target)]]
-    pairs = np.unique(np.concatenate(source) * n + np.concatenate(target))
+    pairs = distinct(np.concatenate(source) * n + np.concatenate(target))
     a, b = pairs // n, pairs % n
     a, b = a[a != b], b[a != b]
     rank = np.arange(len(a)) - np.searchsorted(a, a)
@@ -116,8 +133,8 @@ def in_range(x: np.ndarray, links: np.ndarray, queries: np.ndarray, entries: np.
     who, node = who[node >= 0], node[node >= 0]
     found: list[tuple[np.ndarray, np.ndarray]] = [(who[:0], node[:0])]
     while len(who):
-        keys = np.unique(who * n + node)
-        keys = keys[~seen[keys]]
+        keys = who * n + node
+        keys = distinct(keys[~seen[keys]])
         seen[keys] = True
         who, node = keys // n, keys % n
         sim = np.einsum("pd,pd->p", queries[who], x[node])
@@ -181,12 +198,22 @@ def crowd_links(x: np.ndarray, crowd: np.ndarray, least: float) -> tuple[np.ndar
     return rows[linked], best[linked]
 
 
+def guest_of(home: np.ndarray, others: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """Cells that rows are at home in, by number, and (row, number) as sorted keys for each other cell of a row (``others``) among them."""
+    known, number = np.unique(home, return_inverse=True)
+    counts = np.diff(others.offsets.to_numpy())
+    row, cell = np.repeat(np.arange(len(home)), counts), others.flatten().to_numpy()
+    place = np.minimum(np.searchsorted(known, cell), len(known) - 1)
+    there = known[place] == cell
+    return number, np.sort(row[there] * len(known) + place[there])
+
+
 def _search(least: float, beam: int):
     def run(group: pa.Table) -> pa.Table:
         group = group.sort_by([("node", "ascending")])
         ids, weight = group.column("node").to_numpy(), group.column("copies").to_numpy()
-        is_member, is_query = (group.column(x).to_numpy(zero_copy_only=False) for x in ("is_member", "is_query"))
-        x = group.column("vector").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
+        is_member, is_query, is_guest = (group.column(x).to_numpy(zero_copy_only=False) for x in ("is_member", "is_query", "is_guest"))
+        x = unit(group.column("vector"), len(ids))
         members, asked = np.flatnonzero(is_member), np.flatnonzero(is_query)
         out: list[list[np.ndarray]] = [[np.empty(0, np.int64)] for _ in range(3)]
         if len(members) and len(asked):
@@ -195,31 +222,45 @@ def _search(least: float, beam: int):
             loose = np.ones(len(members), bool)
             for crowd in crowds(y, least):
                 loose[crowd] = False
-                who, node = crowd_links(x[asked], y[crowd], least)
-                pairs += [(asked[who], members[crowd[node]]), (members[crowd], np.full(len(crowd), members[crowd[0]]))]
+                who, node = crowd_links(x, y[crowd], least)
+                pairs += [(who, members[crowd[node]]), (members[crowd], np.full(len(crowd), members[crowd[0]]))]
             members = members[loose]
-            y = x[members]
+            # the search runs in single precision and gives a little more; see below
+            single = x.astype(np.float32)
+            y = single[members]
             links, medoids = flat_graph(y) if len(y) else (None, None)
             place = np.full(len(ids), -1)
             place[members] = np.arange(len(members))
             k = 0 if medoids is None else min(3, len(medoids))
             for at in range(0, len(asked) if k else 0, 256):
                 rows = asked[at : at + 256]
-                near = np.argpartition(-(x[rows] @ y[medoids].T), k - 1, axis=1)[:, :k]
-                who, node = in_range(y, links, x[rows], np.concatenate([place[rows, None], medoids[near]], axis=1), least, beam)
+                near = np.argpartition(-(single[rows] @ y[medoids].T), k - 1, axis=1)[:, :k]
+                who, node = in_range(y, links, single[rows], np.concatenate([place[rows, None], medoids[near]], axis=1), least - 1e-5, beam)
+                sure = np.einsum("pd,pd->p", x[rows[who]], x[members[node]]) >= least
+                who, node = who[sure], node[sure]
                 pairs.append((rows[who], members[node]))
             a, b = (np.concatenate(z) for z in zip(*pairs, strict=True))
             a, b = a[a != b], b[a != b]
             root = roots(len(ids), a, b)
+            number, elsewhere = guest_of(group.column("at").to_numpy(), group.column("others").combine_chunks())
+            base = number.max() + 1
             tied = np.flatnonzero(np.isin(root, root[a]))
             order = tied[np.argsort(root[tied], kind="stable")]
             for tie in np.split(order, np.flatnonzero(np.diff(root[order])) + 1) if len(order) else []:
                 mine, theirs = tie[is_query[tie]], tie[is_member[tie]]
+                guests = np.flatnonzero(is_guest[theirs])
+                homes, home = np.unique(number[theirs[guests]], return_inverse=True)
                 count = np.zeros(len(tie), np.int64)
+                to_guests = np.zeros(len(guests), np.int64)
                 for at in range(0, len(mine), 512):
                     rows = mine[at : at + 512]
                     linked = (x[rows] @ x[theirs].T >= least) & (rows[:, None] != theirs[None, :])
                     count[np.searchsorted(tie, rows)] = linked @ weight[theirs]
+                    if len(guests):
+                        # a guest's own home counts those that are there too
+                        absent = ~np.isin(rows[:, None] * base + homes[None, :], elsewhere)
+                        to_guests += weight[rows] @ (linked[:, guests] & absent[:, home])
+                count[np.searchsorted(tie, theirs[guests])] += to_guests
                 for column, values in zip(out, (ids[tie], count, ids[root[tie]]), strict=True):
                     column.append(values)
         return pa.table([pa.array(np.concatenate(c), pa.int64()) for c in out], names=["node", "n_links", "root"])
@@ -227,82 +268,119 @@ def _search(least: float, beam: int):
     return run
 
 
+def apart_enough(pivots: np.ndarray, reach: float) -> np.ndarray:
+    """The pivots but those within reach of one before them, which would not part a crowd."""
+    kept: list[int] = []
+    for i, near in enumerate(pivots @ pivots.T >= 1 - reach * reach / 2):
+        if not near[kept].any():
+            kept.append(i)
+    return pivots[kept]
+
+
 def _deal(reach: float, sigmas: float | None):
-    """Rows sorted by cell and slice, the cell's pivots first: the new cells of each node, the first of which is its home if it was at home."""
+    """Rows sorted by cell and slice, the cell's pivots first: the new cells of each node; it is at home in the first if it was at home."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pivots, apart = np.empty((0, 0)), np.empty((0, 0))
+        pivots, margin = np.empty((0, 0)), np.empty((0, 0))
         for batch in batches:
             cell, heads = batch.column("cell").to_numpy(), batch.column("pivots")
             starts = np.append(np.flatnonzero(np.append(True, (cell[1:] != cell[:-1]) | np.asarray(heads.is_valid())[1:])), len(cell)) if len(cell) else [0]
             for a, b in zip(starts[:-1], starts[1:], strict=True):
                 if heads[int(a)].is_valid:
-                    pivots = np.array(heads[int(a)].as_py(), float)
+                    found = heads[int(a)].values
+                    pivots = apart_enough(unit(found, len(found)), reach)
+                    # a partner differs from a vector by reach at most, and so its products with two pivots by reach times their distance; in many
+                    # dimensions by a few times that over their root, but for pivots that may lie in one crowd
                     apart = np.sqrt(np.maximum(0, 2 - 2 * pivots @ pivots.T))
+                    likely = apart * (1.0 if sigmas is None else min(1.0, sigmas / np.sqrt(pivots.shape[1])))
+                    margin = reach * np.maximum(likely, np.minimum(apart, 2 * reach))
                     a += 1
-                if a == b:
-                    continue
-                part = batch.slice(a, b - a)
-                dots = part.column("vector").flatten().to_numpy().reshape(b - a, -1) @ pivots.T
-                best = dots.argmax(axis=1)
-                # a partner differs from this vector by reach at most, and so its products with two pivots by reach times their distance; in many
-                # dimensions by a few times that over their root
-                margin = reach * apart[best] * (1.0 if sigmas is None else min(1.0, sigmas / np.sqrt(pivots.shape[1])))
-                row, pivot = np.nonzero(dots[np.arange(b - a), best][:, None] - dots <= margin + 1e-9)
-                new = mix(cell[a : a + 1].astype(np.int64).view(np.uint64) + (pivot.astype(np.uint64) + U(1)) * U(0x9E3779B97F4A7C15)).view(np.int64)
-                kept = part.select(["node", "vector", "copies"]).take(pa.array(row))
-                home = np.asarray(part.column("home"), bool)[row] & (pivot == best[row])
-                yield pa.RecordBatch.from_arrays([pa.array(new), *kept.columns, pa.array(home)], names=["cell", "node", "vector", "copies", "home"])
+                for at in range(a, b, 2048):
+                    part = batch.slice(at, min(b - at, 2048))
+                    dots = unit(part.column("vector"), len(part)) @ pivots.T
+                    best = dots.argmax(axis=1)
+                    home = part.column("home").to_numpy(zero_copy_only=False)
+                    # of two at home here, one is within half of the margin
+                    row, pivot = np.nonzero(dots[np.arange(len(part)), best][:, None] - dots <= margin[best] * np.where(home, 0.5, 1.0)[:, None] + 1e-9)
+                    new = mix(cell[a : a + 1].astype(np.int64).view(np.uint64) + (pivot.astype(np.uint64) + U(1)) * U(0x9E3779B97F4A7C15)).view(np.int64)
+                    nodes = part.column("node").to_numpy()[row]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(row), cell[a])), pa.array(new), pa.array(nodes), pa.array(home[row] & (pivot == best[row]))], names=["parent", "cell", "node", "home"])
 
     return run
 
 
+def small(ids: DataFrame) -> DataFrame:
+    """A table of a few numbers a row, to be broadcast only where its counted size allows."""
+    return F.broadcast(ids) if ids.count() * 32 <= BROADCAST_BYTES else ids
+
+
+def pivots_of(cells: DataFrame, nodes: DataFrame) -> DataFrame:
+    """cell and its pivots, for each cell (cell, n, wanted, node): its nodes are dealt by a hash over ``wanted`` lots, and the least id of each lot is one.
+
+    So every cell has a pivot, and one of n nodes has the wanted number but for lots that stay empty.
+    """
+    lot = F.pmod(F.xxhash64("node", "cell"), "wanted")
+    chosen = table(cells.groupBy("cell", lot.alias("lot")).agg(F.min("node").alias("node"), F.first("n").alias("n")).drop("lot"), "pivot-ids")
+    out = table(nodes.select("node", "vector").join(small(chosen), "node").groupBy("cell").agg(F.array_sort(F.collect_list(F.struct("node", "vector")))["vector"].alias("pivots"), F.first("n").alias("n")), "pivots")
+    drop_tables(chosen)
+    return out
+
+
 def cells_of(nodes: DataFrame, *, least: float, cell_size: int, sigmas: float | None) -> DataFrame:
-    """cell, node, vector, copies, home: the nodes (node, part, vector, copies) in cells of at most cell_size, but for those that pivots cannot part.
+    """cell, node, home: the nodes (node, part, vector, copies) in cells of at most cell_size, but for those that pivots cannot part.
 
-    A cell that dealing would not shrink to two thirds stays as it is. sigmas: how many standard deviations of a
-    partner's offset cells overlap by; None: as far as it can be, whatever the dimension.
+    A cell that dealing would not spare a third of its products (nodes at home times nodes) stays as it is. sigmas: how
+    many standard deviations of a partner's offset cells overlap by; None: as far as it can be, whatever the dimension.
     """
-    now = table(nodes.select(F.xxhash64("part").alias("cell"), "node", "vector", "copies", F.lit(True).alias("home")), "cells")
-    done = []
-    for _ in range(ROUNDS):
-        sizes = now.groupBy("cell").agg(F.count("*").alias("n"))
-        wanted = F.least(F.lit(256), F.ceil(F.col("n") * 2 / cell_size))
-        big = table(sizes.where(F.col("n") > cell_size).select("cell", "n", wanted.alias("wanted")), "big-cells")
+    start = nodes.select(F.xxhash64("part").alias("cell"), "node", F.lit(True).alias("home"), "vector")
+    now, done, used = start.drop("vector"), [], []
+    for turn in range(ROUNDS):
+        sizes = now.groupBy("cell").agg(F.count("*").alias("n"), F.count_if("home").alias("homes"))
+        wanted = F.least(F.lit(MOST_PIVOTS), F.ceil(F.col("n") * PIVOTS / cell_size))
+        big = table(sizes.where(F.col("n") > cell_size).select("cell", "n", "homes", wanted.alias("wanted")), "big-cells")
+        used.append(big)
         if big.isEmpty():
             break
         done.append(now.join(big, "cell", "left_anti"))
-        rest = now.join(big, "cell")
-        # pivots: about ``wanted`` nodes of a cell, by a hash
-        chosen = rest.where(F.pmod(F.xxhash64("node", "cell"), F.ceil(F.col("n") / F.col("wanted"))) == 0).groupBy("cell").agg(F.collect_list("vector").alias("pivots"), F.first("n").alias("n"))
+        pivots = pivots_of(now.join(big, "cell"), nodes)
         slices = F.ceil(F.col("n") / DEAL_ROWS).cast("int")
-        heads = chosen.select("cell", F.explode(F.sequence(F.lit(0), slices - 1)).alias("slice"), "pivots", *[F.lit(None).cast(t).alias(c) for c, t in (("node", "long"), ("vector", "array<double>"), ("copies", "long"), ("home", "boolean"))])
-        members = rest.select("cell", F.pmod(F.xxhash64("node"), slices).alias("slice"), F.lit(None).cast("array<array<double>>").alias("pivots"), "node", "vector", "copies", "home")
+        blank = [F.lit(None).cast(t).alias(c) for c, t in (("node", "long"), ("vector", nodes.schema["vector"].dataType), ("home", "boolean"))]
+        heads = pivots.select("cell", F.explode(F.sequence(F.lit(0), slices - 1)).alias("slice"), "pivots", *blank)
+        rest = (now.join(nodes.select("node", "vector"), "node") if turn else start).join(big, "cell")
+        members = rest.select("cell", F.pmod(F.xxhash64("node"), slices).alias("slice"), F.lit(None).cast(pivots.schema["pivots"].dataType).alias("pivots"), "node", "vector", "home")
         rows = heads.unionByName(members).repartition("cell", "slice").sortWithinPartitions("cell", "slice", F.col("pivots").isNull())
         dealt = table(rows.mapInArrow(_deal(float(np.sqrt(2 - 2 * least)), sigmas), CELLS), "cells")
-        # cells as large as what they came from are not worth another round
-        largest, was = dealt.groupBy("cell").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0], big.agg(F.max("n")).first()[0]
-        if largest * 3 > was * 2:
-            done.append(rest.select("cell", "node", "vector", "copies", "home"))
-            now = now.limit(0)
-            break
-        now = dealt
+        drop_tables(pivots)
+        work = dealt.groupBy("parent", "cell").agg((F.count_if("home") * F.count("*")).alias("work")).groupBy("parent").agg(F.sum("work").alias("work"))
+        worth = table(work.join(big, work["parent"] == big["cell"]).where(F.col("work") * 3 <= F.col("n") * F.col("homes") * 2).select("parent"), "worth")
+        used += [dealt, worth]
+        done.append(now.join(big.join(worth, F.col("cell") == F.col("parent"), "left_anti").select("cell"), "cell", "left_semi"))
+        now = dealt.join(worth, "parent", "left_semi").select("cell", "node", "home")
     for part in done:
         now = now.unionByName(part)
-    return now
+    out = table(now, "dealt")
+    drop_tables(*used)
+    return out
 
 
 def linked(nodes: DataFrame, *, least: float, cell_size: int, beam: int, sigmas: float | None) -> DataFrame:
-    """node, n_links (copies of others) and root: for each node with a link, and for each that a cell ties to one."""
-    cells = table(cells_of(nodes, least=least, cell_size=cell_size, sigmas=sigmas), "dealt")
+    """node, n_links (copies of others) and root: rows for each node with a link, whose n_links add up, and for each that a cell ties to one."""
+    cells = cells_of(nodes, least=least, cell_size=cell_size, sigmas=sigmas)
     # a cell above twice its size is dealt over slices, and each of its queries is sent to all of them
     slices = cells.groupBy("cell").agg(F.ceil(F.count("*") / (2 * cell_size)).cast("int").alias("slices"))
+    places = cells.join(slices, "cell").groupBy("node").agg(F.collect_list(F.struct("cell", "home", "slices")).alias("places"))
+    at = F.element_at(F.filter("places", lambda p: p["home"]), 1)["cell"]
+    others = F.transform(F.filter("places", lambda p: ~p["home"]), lambda p: p["cell"])
+    placed = places.select("node", at.alias("at"), others.alias("others"), "places").join(nodes.select("node", "vector", "copies"), "node").withColumn("place", F.explode("places")).select("*", "place.*")
     own = F.pmod(F.xxhash64("node"), F.col("slices")).cast("int")
     every = F.sequence(F.lit(0), F.col("slices") - 1)
     as_member = F.transform(every, lambda i: F.struct(own.alias("held"), i.alias("asking"), F.lit(True).alias("is_member"), (F.col("home") & (i == own)).alias("is_query")))
     as_query = F.transform(F.filter(every, lambda i: F.col("home") & (i != own)), lambda i: F.struct(i.alias("held"), own.alias("asking"), F.lit(False).alias("is_member"), F.lit(True).alias("is_query")))
-    sent = cells.join(slices, "cell").select("cell", "node", "vector", "copies", F.explode(F.concat(as_member, as_query)).alias("s")).select("cell", "node", "vector", "copies", "s.*")
-    return table(sent.groupBy("cell", "held", "asking").applyInArrow(_search(least, beam), FOUND), "found")
+    mine = F.when(F.col("home"), F.col("others")).otherwise(F.array().cast("array<long>")).alias("others")
+    sent = placed.select("cell", "node", "vector", "copies", "at", mine, (~F.col("home")).alias("is_guest"), F.explode(F.concat(as_member, as_query)).alias("s")).select("cell", "node", "vector", "copies", "at", "others", "is_guest", "s.*")
+    out = table(sent.groupBy("cell", "held", "asking").applyInArrow(_search(least, beam), FOUND), "found")
+    drop_tables(cells)
+    return out
 
 
 def _audit(queries: dict[str, tuple[np.ndarray, np.ndarray]], least: float):
@@ -313,7 +391,7 @@ def _audit(queries: dict[str, tuple[np.ndarray, np.ndarray]], least: float):
             for p in set(part.tolist()) & set(queries):
                 ids, q = queries[p]
                 rows = np.flatnonzero(part == p)
-                x = batch.column("vector").take(pa.array(rows)).flatten().to_numpy().reshape(len(rows), -1)
+                x = unit(batch.column("vector").take(pa.array(rows)), len(rows))
                 count = ((q @ x.T >= least) & (ids[:, None] != node[rows][None, :])) @ copies[rows]
                 hit = np.flatnonzero(count)
                 yield pa.record_batch([pa.array(ids[hit]), pa.array(count[hit])], names=["node", "true_links"])
@@ -333,7 +411,7 @@ def audited(nodes: DataFrame, *, least: float, audits: int) -> DataFrame:
     by_part: dict[str, list] = {}
     for r in sample:
         by_part.setdefault(r["part"], []).append((r["node"], r["vector"]))
-    queries = {p: (np.array([n for n, _ in rows], np.int64), np.array([v for _, v in rows], float)) for p, rows in by_part.items()}
+    queries = {p: (np.array([n for n, _ in rows], np.int64), unit(pa.array([v for _, v in rows], pa.list_(pa.float64())), len(rows))) for p, rows in by_part.items()}
     counts = nodes.select("node", "part", "vector", "copies").mapInArrow(_audit(queries, least), "node long, true_links long").groupBy("node").agg(F.sum("true_links").alias("true_links"))
     asked = nodes.sparkSession.createDataFrame([(r["part"], r["node"]) for r in sample], "part string, node long")
     return table(asked.join(counts, "node", "left").select("part", "node", F.coalesce("true_links", F.lit(0)).alias("true_links")), "audit")
@@ -377,24 +455,28 @@ def vector_duplicates(vectors: DataFrame, *, least: float = 0.98, cell_size: int
     empty table gives no rows; other columns are ignored. Labels where the search found less than ``enough`` of
     the audited links are searched again, see ``searched``.
     """
+    # single precision is kept as it is, at half the bytes; all arithmetic is in double
+    single = vectors.schema["embedding"].dataType.simpleString() == "array<float>"
     base = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"), F.col("label"))
     finite = F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
     ok = F.col("label").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0) & finite
     # scaled by the largest component first, so that squares neither overflow nor vanish
     scaled = bound(F.array_max(F.transform("v", F.abs)), lambda top: F.when(top > 0, F.transform("v", lambda c: c / top)))
-    unit = bound(scaled, lambda u: bound(F.sqrt(F.aggregate(u, F.lit(0.0), lambda a, c: a + c * c)), lambda norm: F.transform(u, lambda c: c / norm)))
-    rows = base.select("vec_id", "label", F.when(ok, unit).alias("vector"))
-    part = F.concat_ws("/", F.col("label").cast("string"), F.size("vector").cast("string"))
-    rows = rows.select("vec_id", "vector", F.when(F.col("vector").isNotNull(), part).alias("part"))
-    rows = table(rows.withColumn("node", F.when(F.col("vector").isNotNull(), F.xxhash64("part", "vector"))), "vectors")
-    nodes = table(rows.where("node IS NOT NULL").groupBy("node", "part", "vector").agg(F.count("*").alias("copies")), "nodes")
+    scaled_to_one = bound(scaled, lambda u: bound(F.sqrt(F.aggregate(u, F.lit(0.0), lambda a, c: a + c * c)), lambda norm: F.transform(u, lambda c: c / norm)))
+    rows = base.select("vec_id", "label", "v", F.when(ok, scaled_to_one).alias("unit"))
+    part = F.concat_ws("/", F.col("label").cast("string"), F.size("unit").cast("string"))
+    rows = rows.select("vec_id", "v", "unit", F.when(F.col("unit").isNotNull(), part).alias("part"))
+    rows = rows.withColumn("node", F.when(F.col("unit").isNotNull(), F.xxhash64("part", "unit")))
+    vector = F.col("v").cast("array<float>") if single else F.col("v")
+    nodes = table(rows.where("node IS NOT NULL").select("node", "part", vector.alias("vector")).groupBy("node", "part").agg(F.min("vector").alias("vector"), F.count("*").alias("copies")), "nodes")
+    rows = table(rows.select("vec_id", "node"), "vectors")
 
     audit = audited(nodes, least=least, audits=audits)
     found = searched(nodes, audit, least=least, cell_size=cell_size, sigmas=sigmas, beam=beam, enough=enough)
 
     counts = found.groupBy("node").agg(F.sum("n_links").alias("n_links"))
     labels = components(found.select(F.col("node").alias("u"), F.col("root").alias("v")))
-    out = rows.drop("vector").join(nodes.select("node", "copies"), "node", "left").join(counts, "node", "left").join(labels, "node", "left").join(audit.drop("part"), "node", "left")
+    out = rows.join(nodes.select("node", "copies"), "node", "left").join(counts, "node", "left").join(labels, "node", "left").join(audit.drop("part"), "node", "left")
     out = table(out.withColumn("component", F.coalesce("component", "node")), "linked")
     smallest = out.where("component IS NOT NULL").groupBy("component").agg(F.min("vec_id").alias("smallest"))
     out = out.join(smallest, "component", "left")
